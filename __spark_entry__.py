@@ -78,6 +78,7 @@ def _select(name: str, dims: int) -> tuple[str, str]:
 
 
 def _points(spark: SparkSession, sf: str, name: str, dims: int = 2) -> DataFrame:
+    nf.configure(spark)
     if name == "vectors":
         vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
         coords = [

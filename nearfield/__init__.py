@@ -27,6 +27,7 @@ from nearfield.plans.overlaps import (
     range_cells,
 )
 from nearfield.plans.within import radius_join
+from nearfield.session import configure
 from nearfield.sources.points import (
     count_points,
     infer_dims,
@@ -45,6 +46,7 @@ __all__ = [
     "cell_histogram",
     "cells_with_queries",
     "completeness",
+    "configure",
     "count_points",
     "format_wide",
     "infer_dims",

@@ -8,6 +8,8 @@ by ``capacity``, so no cell, however crowded, is joined all against all.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from nearfield.plans.meet import meet_points, query_visits, tile_candidates
 from nearfield.plans.pyramid import build_pyramid, density_level, extent_of, top_level
 from nearfield.plans.staging import Stage
 
+# Share of a leaf's capacity to aim at; what a cell's parent holds must exceed the capacity.
+LEAF_FILL = 0.3
 # Query rows per query leaf.
 QUERY_CAPACITY = 128
 METHODS = ("bf", "ps")
@@ -62,49 +66,59 @@ def aknn_join(
         raise ValueError("partitioning 'qt' needs leaves")
     check_same_axes(q, t)
     q, t = plain_points(q, dims, "q"), plain_points(t, dims, "t")
-    q_extent, t_extent = extent_of(q, dims), extent_of(t, dims)
+    # Both sides' cells are prepared by jobs of their own, side by side.
+    with ThreadPoolExecutor(3) as jobs:
+        extents = [jobs.submit(extent_of, side, dims) for side in (q, t)]
+        weights = jobs.submit(weigh, t, dims, unique_ids)
+        q_extent, t_extent = (job.result() for job in extents)
+        weighed, unique = weights.result()
     if not q_extent.rows or not t_extent.rows:
         return empty_neighbors(q.sparkSession)
 
     stage = Stage(q.sparkSession)
     wanted = k + 1 if exclude_self else k
     capacity = capacity or max(64, 4 * wanted)
-    # Grid cells are sized like the reference unit domain divided by n; a tree halves it.
-    width = 1.0 / check_n(n) if partitioning == "gd" and n else 1.0
-    top = top_level(q_extent.union(t_extent), dims, width)
-
-    weighed, unique = weigh(t, dims, unique_ids)
-    level, level_column = None, None
+    level, level_column, width = 0, None, 1.0
     if partitioning == "qt":
         # Points outside the tree's unit box are counted like those of the root.
         weighed = with_leaf_level(weighed, leaves, dims)
         level_column = "leaf_level"
     elif n:
-        level = 0
-    else:
-        level = density_level(t_extent, dims, width, capacity)
+        width = 1.0 / check_n(n)
+    elif t_extent.side > 0:
+        # Evenly spread points fill cells of this width to LEAF_FILL of the capacity.
+        cells = max(1.0, t_extent.rows / (LEAF_FILL * capacity))
+        width = t_extent.side / cells ** (1.0 / dims)
+    top = top_level(q_extent.union(t_extent), dims, width)
+
     common = {"width": width, "top": top}
-    training = build_pyramid(
-        stage,
-        "training",
-        weighed,
-        dims,
-        capacity,
-        extent=t_extent,
-        level=level,
-        level_column=level_column,
-        **common,
-    )
-    queries = build_pyramid(
-        stage,
-        "queries",
-        plain_weight(q),
-        dims,
-        QUERY_CAPACITY,
-        extent=q_extent,
-        level=density_level(q_extent, dims, width, QUERY_CAPACITY),
-        **common,
-    )
+    with ThreadPoolExecutor(2) as jobs:
+        sides = [
+            jobs.submit(
+                build_pyramid,
+                stage,
+                "training",
+                weighed,
+                dims,
+                capacity,
+                extent=t_extent,
+                level=level,
+                level_column=level_column,
+                **common,
+            ),
+            jobs.submit(
+                build_pyramid,
+                stage,
+                "queries",
+                plain_weight(q),
+                dims,
+                QUERY_CAPACITY,
+                extent=q_extent,
+                level=density_level(q_extent, dims, width, QUERY_CAPACITY),
+                **common,
+            ),
+        ]
+        training, queries = (job.result() for job in sides)
     pairs = candidate_leaves(stage, queries, q, training, wanted)
     found = tile_candidates(stage, pairs, queries, dims)
     visits = query_visits(q, found, queries, wanted)

@@ -17,7 +17,8 @@ from nearfield.functions.geometry import axes_of, box_gap, box_span, longest_sid
 from nearfield.plans.pyramid import POINT, ROOT, Pyramid, box_names, high, key_names, low
 from nearfield.plans.staging import Stage
 
-# A query node with more candidate leaves than this, by dims, is split while it can be.
+# Candidate leaves, by dims, above which a query node is split if that can help; a query leaf
+# bears eight times as many.
 WIDE_FRONTIER = {2: 64, 3: 300}
 
 
@@ -50,12 +51,17 @@ def _prune(pairs: DataFrame, dims: int, k: int | None) -> DataFrame:
             .filter(F.col("gap") <= F.col("ub"))
         )
     q_side, t_side = _side(dims, "q_"), _side(dims, "t_")
-    open_t = F.max(~F.col("t_leaf")).over(all_rows)
-    wide = (F.count(F.lit(1)).over(all_rows) > WIDE_FRONTIER[dims]) & (q_side > 0)
     big_enough = (t_side * 4 >= q_side) | (q_side <= 0)
+    open_t = F.max(~F.col("t_leaf")).over(all_rows)
+    tiny_t = F.max(~F.col("t_leaf") & ~big_enough).over(all_rows)
+    # A smaller query node sees fewer cells, but only if its size makes much of the bound.
+    limit = F.when(F.col("q_leaf"), 8 * WIDE_FRONTIER[dims]).otherwise(WIDE_FRONTIER[dims])
+    wide = (F.count(F.lit(1)).over(all_rows) > limit) & (q_side * 4 > F.col("ub"))
+    # A query leaf falls apart into single queries only where training nodes are far smaller.
+    breaks = (~F.col("q_leaf") & open_t) | tiny_t | wide
     return (
-        kept.withColumn("active", open_t | wide)
-        .withColumn("q_split", F.col("active") & (q_side > 0))
+        kept.withColumn("q_split", breaks & (q_side > 0))
+        .withColumn("active", open_t | F.col("q_split"))
         .withColumn("t_split", F.col("active") & ~F.col("t_leaf") & big_enough)
         .drop("gap", "far", "held")
     )
@@ -108,25 +114,26 @@ def candidate_leaves(
     point_moves = None
     done = []
     while True:
-        frontier = stage.save(_prune(pairs, dims, k), f"frontier-{len(done)}")
-        done.append(frontier.filter(~F.col("active")))
-        facts = frontier.filter("active").agg(
-            F.count(F.lit(1)).alias("open"),
+        frontier, facts = stage.save_with(
+            _prune(pairs, dims, k),
+            f"frontier-{len(done)}",
+            F.count_if("active").alias("open"),
             F.count_if("t_split").alias("t_split"),
             F.count_if(F.col("q_split") & ~F.col("q_leaf")).alias("q_nodes"),
             F.count_if(F.col("q_split") & F.col("q_leaf")).alias("q_points"),
-        ).first()
-        if not facts.open:
+        )
+        done.append(frontier.filter(~F.col("active")))
+        if not facts["open"]:
             break
         live = frontier.filter("active")
         pairs = live.filter(~F.col("t_split"))
-        if facts.t_split:
+        if facts["t_split"]:
             pairs = pairs.unionByName(_replace(live.filter("t_split"), t_moves, "t_", dims))
         branches = [pairs.filter(~F.col("q_split"))]
-        if facts.q_nodes:
+        if facts["q_nodes"]:
             split = pairs.filter(F.col("q_split") & ~F.col("q_leaf"))
             branches.append(_replace(split, q_moves, "q_", dims))
-        if facts.q_points:
+        if facts["q_points"]:
             if point_moves is None:
                 point_moves = _point_children(queries, query_points)
             split = pairs.filter(F.col("q_split") & F.col("q_leaf"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.geometry import (
@@ -23,10 +23,12 @@ from nearfield.functions.geometry import (
     x_distance,
 )
 from nearfield.plans.pyramid import POINT, ROOT, Pyramid, box_names, high, key_names, low
-from nearfield.plans.staging import Stage, lookup
+from nearfield.plans.staging import Stage, level_mask, lookup, masked_levels
 
-# Query rows that share one copy of their candidate leaves.
+# Query rows that share one copy of their candidate leaves, and tiles per shuffle partition
+# that a small query table is still cut into.
 TILE_ROWS = 20_000
+TILES_PER_PARTITION = 8
 # Tiles served by one copy of a training leaf.
 LEAF_TILES = 1_000
 
@@ -36,6 +38,8 @@ class Candidates:
     """Staged cell-level tables: query nodes with their tile, and their candidate leaves."""
 
     nodes: DataFrame
+    node_count: int
+    node_levels: list[int]
     pairs: DataFrame
 
 
@@ -43,7 +47,16 @@ def tile_candidates(
     stage: Stage, pairs: DataFrame, queries: Pyramid, dims: int
 ) -> Candidates:
     q_keys, t_keys = key_names(dims, "q_"), key_names(dims, "t_")
-    nodes = stage.save(_tiled_nodes(pairs, queries, dims), "query-nodes")
+    base = min(queries.level_counts)
+    single = F.col("q_lvl") == POINT
+    nodes, facts = stage.save_with(
+        _tiled_nodes(pairs, queries, dims),
+        "query-nodes",
+        F.count(F.lit(1)).alias("nodes"),
+        F.count_if(single).alias("points"),
+        level_mask(F.when(~single, F.col("q_lvl")), base).alias("levels"),
+    )
+    levels = masked_levels(facts["levels"], base) + ([POINT] if facts["points"] else [])
     salts = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
     tiled = (
         pairs.drop("q_rows")
@@ -54,13 +67,18 @@ def tile_candidates(
             "tile", *q_keys, *t_keys, "t_n", "t_rows", "ub", *[f"t_{c}" for c in box_names(dims)]
         )
     )
-    return Candidates(nodes, stage.save(tiled, "candidates"))
+    return Candidates(nodes, facts["nodes"], levels, stage.save(tiled, "candidates"))
 
 
-def _tile():
+def _tile() -> Column:
     return F.xxhash64("tile", "salt")
 
 
+def tile_rows(queries: Pyramid) -> int:
+    partitions = int(queries.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(TILE_ROWS, queries.rows // (TILES_PER_PARTITION * partitions)))
+
+
 def query_visits(
     q: DataFrame, found: Candidates, queries: Pyramid, k: int | None
 ) -> DataFrame:
@@ -71,7 +89,7 @@ def query_visits(
     """
     dims = queries.dims
     axes, q_keys, t_keys = axes_of(dims), key_names(dims, "q_"), key_names(dims, "t_")
-    placed = _placed_queries(q, found.nodes, queries)
+    placed = _placed_queries(q, found, queries)
     placed = (
         placed.withColumn("salt", F.pmod(F.xxhash64("qid"), F.col("salts")).cast("int"))
         .withColumn("tile", _tile())
@@ -128,15 +146,16 @@ def meet_points(
 def _tiled_nodes(pairs: DataFrame, queries: Pyramid, dims: int) -> DataFrame:
     """Query nodes with the coarse query cell that is their ``tile`` and its ``salts``.
 
-    The tile of a node is the widest cell around it with at most ``TILE_ROWS`` rows. A node
+    The tile of a node is the widest cell around it with at most ``tile_rows`` rows. A node
     with more rows is a tile of its own, cut into parts.
     """
+    limit = tile_rows(queries)
     keys, q_keys = key_names(dims), key_names(dims, "q_")
     corners = [f"q_lo_{a}" for a in axes_of(dims)]
     nodes = pairs.select(*q_keys, "q_rows", *corners).dropDuplicates(q_keys)
 
     def tiled(rows: DataFrame, tile_keys: list[str], size: str) -> DataFrame:
-        parts = F.greatest(F.lit(1), F.ceil(F.col(size) / TILE_ROWS)).cast("int")
+        parts = F.greatest(F.lit(1), F.ceil(F.col(size) / limit)).cast("int")
         return rows.select(
             *q_keys,
             "q_rows",
@@ -145,14 +164,14 @@ def _tiled_nodes(pairs: DataFrame, queries: Pyramid, dims: int) -> DataFrame:
             parts.alias("salts"),
         )
 
-    big = tiled(nodes.filter(F.col("q_rows") > TILE_ROWS), q_keys, "q_rows")
-    fits = (F.col("rows") <= TILE_ROWS) | F.col("leaf")
+    big = tiled(nodes.filter(F.col("q_rows") > limit), q_keys, "q_rows")
+    fits = (F.col("rows") <= limit) | F.col("leaf")
     tiles = queries.nodes.filter(
-        fits & ((F.col("plvl") == ROOT) | (F.col("parent_rows") > TILE_ROWS))
+        fits & ((F.col("plvl") == ROOT) | (F.col("parent_rows") > limit))
     )
     facts = tiles.agg(F.collect_set("lvl").alias("levels"), F.count(F.lit(1)).alias("n")).first()
     # The low corner of a node's box lies in all cells around the node.
-    small = nodes.filter(F.col("q_rows") <= TILE_ROWS).withColumns(
+    small = nodes.filter(F.col("q_rows") <= limit).withColumns(
         {a: F.col(f"q_lo_{a}") for a in axes_of(dims)}
     )
     spread = queries.place(small, tiles.select(*keys, *box_names(dims)), facts.levels, facts.n)
@@ -160,15 +179,14 @@ def _tiled_nodes(pairs: DataFrame, queries: Pyramid, dims: int) -> DataFrame:
     return big.unionByName(tiled(found, keys, "rows"))
 
 
-def _placed_queries(q: DataFrame, nodes: DataFrame, queries: Pyramid) -> DataFrame:
+def _placed_queries(q: DataFrame, found: Candidates, queries: Pyramid) -> DataFrame:
     """Queries ``(qid, qx, qy[, qz])`` with the key ``q_*`` of their node and its tile."""
     dims = queries.dims
     axes, keys, q_keys = axes_of(dims), key_names(dims), key_names(dims, "q_")
-    facts = nodes.agg(F.collect_set("q_lvl").alias("levels"), F.count(F.lit(1)).alias("n")).first()
-    cells = nodes.withColumnsRenamed(
+    cells = found.nodes.withColumnsRenamed(
         {f"q_{c}": c for c in [*keys, *[f"lo_{a}" for a in axes]]}
     )
-    spread = queries.place(q, cells, facts.levels, facts.n)
+    spread = queries.place(q, cells, found.node_levels, found.node_count)
     single = F.col("lvl") == POINT
     own = [F.col("id"), *[F.lit(0).cast("bigint") for _ in axes[1:]]]
     spread = spread.select(
@@ -180,8 +198,8 @@ def _placed_queries(q: DataFrame, nodes: DataFrame, queries: Pyramid) -> DataFra
             for i, a in enumerate(axes)
         ],
     )
-    nodes = nodes.select(*q_keys, "q_rows", "tile", "salts")
-    return lookup(spread, nodes, q_keys, "q_rows", queries.rows, facts.n)
+    nodes = found.nodes.select(*q_keys, "q_rows", "tile", "salts")
+    return lookup(spread, nodes, q_keys, "q_rows", queries.rows, found.node_count)
 
 
 def _members(
@@ -204,26 +222,25 @@ def _members(
         .withColumn("crowded", F.col("pile") | (F.col("tiles") > LEAF_TILES))
         .withColumn("parts", F.ceil(F.col("tiles") / LEAF_TILES).cast("int"))
     )
-    wanted = stage.save(
-        wanted.withColumnsRenamed(
-            {f"t_{c}": c for c in [*keys, *box_names(dims), "rows"]}
-        ),
+    base = min(training.level_counts)
+    wanted, facts = stage.save_with(
+        wanted.withColumnsRenamed({f"t_{c}": c for c in [*keys, *box_names(dims), "rows"]}),
         "wanted-leaves",
-    )
-    facts = wanted.agg(
-        F.collect_set("lvl").alias("levels"),
+        level_mask(F.col("lvl"), base).alias("levels"),
         F.count(F.lit(1)).alias("leaves"),
         F.count_if("crowded").alias("crowded"),
-    ).first()
-    spread = training.place(t, wanted, facts.levels, facts.leaves)
+    )
+    spread = training.place(
+        t, wanted, masked_levels(facts["levels"], base), facts["leaves"]
+    )
     needs = needs.select("tile", *[F.col(f"t_{c}").alias(c) for c in keys])
     plain = needs
-    if facts.crowded:
+    if facts["crowded"]:
         crowded = wanted.filter("crowded").select(*keys, "rows", "pile", "parts")
         plain = needs.join(crowded, keys, "left_anti")
     found = spread.join(plain, keys).select("tile", *keys, "id", *axes)
-    if facts.crowded:
-        split = lookup(spread, crowded, keys, "rows", training.rows, facts.crowded)
+    if facts["crowded"]:
+        split = lookup(spread, crowded, keys, "rows", training.rows, facts["crowded"])
         if k:
             thin = split.filter("pile")
             if not unique:

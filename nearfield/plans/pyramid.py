@@ -17,7 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.geometry import axes_of, longest_side
-from nearfield.plans.staging import BROADCAST_ROWS, HEAVY_KEYS, Stage, lookup
+from nearfield.plans.staging import (
+    BROADCAST_ROWS,
+    HEAVY_KEYS,
+    Stage,
+    level_mask,
+    lookup,
+    masked_levels,
+)
 
 ROOT = -1000
 POINT = 1000
@@ -160,7 +167,7 @@ def top_level(extent: Extent, dims: int, width: float) -> int:
     """Level at which the extent spans a few cells per axis."""
     if extent.side <= 0.0:
         return 0
-    cells = 8.0 if dims == 2 else 4.0
+    cells = 10.0 if dims == 2 else 5.0
     return math.floor(math.log2(cells * width / extent.side))
 
 
@@ -263,18 +270,26 @@ def build_pyramid(
     stop = F.lit(top) if rooted else F.col("lvl")
     keyed = with_cell(source, dims, width, F.col("lvl"))
     keyed = keyed.withColumn("stop", stop).withColumn("base", F.lit(ROOT))
-    parts = []
+    parts, summaries = [], []
     while True:
         hist = _histogram(keyed, dims)
-        part = stage.save(
-            _roll_up(hist, dims, capacity, last, rooted), f"{name}-{len(parts)}"
+        is_open = F.col("deepest") & ~F.col("leaf")
+        part, facts = stage.save_with(
+            _roll_up(hist, dims, capacity, last, rooted),
+            f"{name}-{len(parts)}",
+            F.count_if(is_open).alias("cells"),
+            level_mask(F.when(is_open, F.col("lvl")), top).alias("levels"),
+            F.count_if("leaf").alias("leaves"),
+            level_mask(F.when(F.col("leaf"), F.col("lvl")), top).alias("leaf_levels"),
+            *[
+                F.count_if(F.col("lvl") == top + i).alias(f"level_{i}")
+                for i in range(LEVEL_RANGE + 1)
+            ],
         )
         parts.append(part)
-        open_cells = part.filter("deepest and not leaf")
-        summary = open_cells.agg(
-            F.count(F.lit(1)).alias("cells"), F.collect_set("lvl").alias("levels")
-        ).first()
-        if not summary.cells:
+        summaries.append(facts)
+        open_cells = part.filter(is_open)
+        if not facts["cells"]:
             break
         side = longest_side(low(dims), high(dims))
         # Levels at which the rows of a cell still share one cell or straddle two per axis.
@@ -286,9 +301,12 @@ def build_pyramid(
             *keys, goal.cast("int").alias("goal"), stop.cast("int").alias("stop"), "rows"
         )
         spread = at_levels(
-            points.select("id", *axes, F.col("rows").alias("r"), "n"), dims, width, summary.levels
+            points.select("id", *axes, F.col("rows").alias("r"), "n"),
+            dims,
+            width,
+            masked_levels(facts["levels"], top),
         )
-        found = lookup(spread, goals, keys, "rows", extent.rows, summary.cells)
+        found = lookup(spread, goals, keys, "rows", extent.rows, facts["cells"])
         found = found.select(
             *axes, F.col("r").alias("rows"), "n", "goal", "stop", F.col("lvl").alias("base")
         )
@@ -296,18 +314,16 @@ def build_pyramid(
     nodes = parts[0]
     for part in parts[1:]:
         nodes = nodes.unionByName(part)
-    nodes = nodes.drop("deepest")
-    facts = nodes.groupBy("lvl").agg(
-        F.count(F.lit(1)).alias("nodes"),
-        F.count_if("leaf").alias("leaves"),
-    )
-    by_level = {row.lvl: row for row in facts.collect()}  # at most LEVEL_RANGE + 1 rows
+    counts = {
+        top + i: sum(facts[f"level_{i}"] for facts in summaries) for i in range(LEVEL_RANGE + 1)
+    }
+    levels = {v for facts in summaries for v in masked_levels(facts["leaf_levels"], top)}
     return Pyramid(
-        nodes,
+        nodes.drop("deepest"),
         dims,
         width,
         extent.rows,
-        {level: row.nodes for level, row in by_level.items()},
-        sum(row.leaves for row in by_level.values()),
-        tuple(sorted(level for level, row in by_level.items() if row.leaves)),
+        {level: count for level, count in counts.items() if count},
+        sum(facts["leaves"] for facts in summaries),
+        tuple(sorted(levels)),
     )

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A counted table of at most this many narrow rows (some 150 bytes each) is broadcast.
@@ -38,9 +38,23 @@ class Stage:
         self.folder = f"{staging_folder(spark)}/nearfield/{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
+        return self.save_with(df, name, F.count(F.lit(1)).alias("rows"))[0]
+
+    def save_with(self, df: DataFrame, name: str, *facts: Column) -> tuple[DataFrame, dict]:
+        """Write a table and return it with aggregates over it, taken during the write."""
         path = f"{self.folder}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        seen = Observation(f"{name}-{uuid.uuid4().hex}")
+        df.observe(seen, *facts).write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), seen.get
+
+
+def level_mask(level: Column, base: int) -> Column:
+    """Aggregate that notes which levels occur, one bit for each level from ``base`` up."""
+    return F.bit_or(F.pow(F.lit(2.0), level - base).cast("bigint"))
+
+
+def masked_levels(mask: int | None, base: int) -> list[int]:
+    return [base + bit for bit in range((mask or 0).bit_length()) if (mask or 0) >> bit & 1]
 
 
 def lookup(
