@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from nearfield.functions.geometry import axes_of
 from nearfield.functions.grid import grid_cell
 from nearfield.functions.tree import tree_path
-from nearfield.plans.staging import lookup
+from nearfield.plans.staging import BROADCAST_ROWS, lookup
 
 
 def assign_grid(points: DataFrame, n: int, dims: int = 2) -> DataFrame:
@@ -29,7 +29,6 @@ def assign_tree(
     facts = leaves.agg(
         F.collect_set("depth").alias("depths"),
         F.count(F.lit(1)).alias("leaves"),
-        F.sum("n_sample").alias("sampled"),
     ).first()
     if not facts.leaves:
         raise ValueError("the tree has no leaves")
@@ -46,8 +45,15 @@ def assign_tree(
         .withColumn("cell", F.expr("substring(path, 1, depth)"))
         .drop("path", "depth")
     )
-    table = leaves.select(F.col("path").alias("cell"), "n_sample")
-    placed = lookup(spread, table, ["cell"], "n_sample", facts.sampled or 0, facts.leaves)
+    table = leaves.select(F.col("path").alias("cell"))
+    if facts.leaves > BROADCAST_ROWS:
+        # What the sample counted need not be how these points lie, so count them.
+        found = spread.groupBy("cell").agg(F.count(F.lit(1)).alias("leaf_rows"))
+        table = table.join(found, "cell")
+        total = points.count()
+    else:
+        table, total = table.withColumn("leaf_rows", F.lit(0)), 0
+    placed = lookup(spread, table, ["cell"], "leaf_rows", total, facts.leaves)
     placed = placed.select(*points.columns, "cell")
     if how == "inner":
         return placed

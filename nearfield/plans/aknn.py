@@ -81,6 +81,7 @@ def aknn_join(
     level, level_column, width = 0, None, 1.0
     if partitioning == "qt":
         # Points outside the tree's unit box are counted like those of the root.
+        leaves = stage.save(leaves.select("path", "depth", "n_sample"), "leaves")
         weighed = with_leaf_level(weighed, leaves, dims)
         level_column = "leaf_level"
     elif n:
@@ -119,8 +120,8 @@ def aknn_join(
             ),
         ]
         training, queries = (job.result() for job in sides)
-    pairs = candidate_leaves(stage, queries, q, training, wanted)
-    found = tile_candidates(stage, pairs, queries, dims)
+    pairs = candidate_leaves(stage, queries, q, training, wanted, repeated=not unique)
+    found = tile_candidates(stage, pairs, queries, wanted)
     visits = query_visits(q, found, queries, wanted)
     met = meet_points(
         stage,

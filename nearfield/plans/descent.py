@@ -31,7 +31,7 @@ def _side(dims: int, prefix: str) -> Column:
     return longest_side(low(dims, prefix), high(dims, prefix))
 
 
-def _prune(pairs: DataFrame, dims: int, k: int | None) -> DataFrame:
+def _prune(pairs: DataFrame, dims: int, k: int | None, repeated: bool) -> DataFrame:
     """Tighten the bound ``ub`` per query node and drop pairs that start beyond it."""
     q_lo, q_hi = low(dims, "q_"), high(dims, "q_")
     t_lo, t_hi = low(dims, "t_"), high(dims, "t_")
@@ -40,6 +40,17 @@ def _prune(pairs: DataFrame, dims: int, k: int | None) -> DataFrame:
     kept = pairs.withColumn("gap", box_gap(q_lo, q_hi, t_lo, t_hi)).filter(
         F.col("gap") <= F.col("ub")
     )
+    if repeated:
+        # Of nodes that hold one id only, those that start beyond the end of another one with
+        # the same id have just farther places of it.
+        same = Window.partitionBy(*node, "t_id_lo", "t_id_hi")
+        far = box_span(q_lo, q_hi, t_lo, t_hi)
+        one_id = F.col("t_id_lo") == F.col("t_id_hi")
+        kept = (
+            kept.withColumn("nearest", F.min(far).over(same))
+            .filter(~one_id | (F.col("gap") <= F.col("nearest")))
+            .drop("nearest")
+        )
     if k is not None:
         by_far = all_rows.orderBy("far", *key_names(dims, "t_"))
         running = by_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -95,27 +106,30 @@ def candidate_leaves(
     *,
     radius: float = float("inf"),
     own_cell_only: bool = False,
+    repeated: bool = False,
 ) -> DataFrame:
     """Pairs of query node (``q_*``) and training leaf (``t_*``) that survive, with the bound
     ``ub``. Query nodes partition the query points; a node at level
     ``POINT`` is a single query, keyed by its id.
 
-    ``radius`` is a bound to start from, the only one if ``k`` is None. ``own_cell_only`` starts from pairs of equal top cells instead of one common root.
+    ``radius`` is a bound to start from, the only one if ``k`` is None. ``repeated`` says that
+    training ids may occur more than once and count at their nearest place. ``own_cell_only`` starts from pairs of equal top cells instead of one common root.
     """
     dims = training.dims
+    facts_of_t = ["leaf", "n", "rows"] + (["id_lo", "id_hi"] if repeated else [])
     q_nodes = _named(queries.nodes.filter(F.col("plvl") == ROOT), "q_", dims, "leaf", "rows")
-    t_nodes = _named(training.nodes.filter(F.col("plvl") == ROOT), "t_", dims, "leaf", "n", "rows")
+    t_nodes = _named(training.nodes.filter(F.col("plvl") == ROOT), "t_", dims, *facts_of_t)
     # Top nodes share one root key, or one key per cell; either way the join is on equality.
     shared = key_names(dims) if own_cell_only else ["lvl"]
     start = q_nodes.join(t_nodes, [F.col(f"q_{c}") == F.col(f"t_{c}") for c in shared])
     pairs = start.withColumn("ub", F.lit(float(radius)))
     q_moves = _children(queries.nodes, "q_", dims, "leaf", "rows")
-    t_moves = _children(training.nodes, "t_", dims, "leaf", "n", "rows")
+    t_moves = _children(training.nodes, "t_", dims, *facts_of_t)
     point_moves = None
     done = []
     while True:
         frontier, facts = stage.save_with(
-            _prune(pairs, dims, k),
+            _prune(pairs, dims, k, repeated),
             f"frontier-{len(done)}",
             F.count_if("active").alias("open"),
             F.count_if("t_split").alias("t_split"),

@@ -45,7 +45,9 @@ def local_knn(
         raise ValueError(f"method must be one of {METHODS}, not {method!r}")
     check_same_axes(q, t)
     q, t = plain_points(q, dims, "q"), plain_points(t, dims, "t")
+    stage = Stage(q.sparkSession)
     if leaves is not None:
+        leaves = stage.save(leaves.select("path", "depth", "n_sample"), "leaves")
         q, t = (in_leaves(side, leaves, dims) for side in (q, t))
         base = {"level_column": "leaf_level", "width": 1.0}
     else:
@@ -54,7 +56,6 @@ def local_knn(
     if not q_extent.rows or not t_extent.rows:
         return empty_neighbors(q.sparkSession)
 
-    stage = Stage(q.sparkSession)
     weighed, unique = weigh(t, dims, unique_ids)
     common = {"top": 0, "rooted": False, **base}
     training = build_pyramid(
@@ -63,8 +64,10 @@ def local_knn(
     queries = build_pyramid(
         stage, "queries", plain_weight(q), dims, QUERY_CAPACITY, extent=q_extent, **common
     )
-    pairs = candidate_leaves(stage, queries, q, training, k, own_cell_only=True)
-    found = tile_candidates(stage, pairs, queries, dims)
+    pairs = candidate_leaves(
+        stage, queries, q, training, k, own_cell_only=True, repeated=not unique
+    )
+    found = tile_candidates(stage, pairs, queries, k)
     visits = query_visits(q, found, queries, k)
     met = meet_points(
         stage, visits, t, found, training, k, method, exclude_self=False, unique=unique

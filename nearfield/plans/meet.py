@@ -23,7 +23,7 @@ from nearfield.functions.geometry import (
     x_distance,
 )
 from nearfield.plans.pyramid import POINT, ROOT, Pyramid, box_names, high, key_names, low
-from nearfield.plans.staging import Stage, level_mask, lookup, masked_levels
+from nearfield.plans.staging import HEAVY_KEYS, Stage, level_mask, lookup, masked_levels
 
 # Query rows that share one copy of their candidate leaves, and tiles per shuffle partition
 # that a small query table is still cut into.
@@ -41,11 +41,14 @@ class Candidates:
     node_count: int
     node_levels: list[int]
     pairs: DataFrame
+    tile_count: int
+    pile_count: int
 
 
 def tile_candidates(
-    stage: Stage, pairs: DataFrame, queries: Pyramid, dims: int
+    stage: Stage, pairs: DataFrame, queries: Pyramid, k: int | None
 ) -> Candidates:
+    dims = queries.dims
     q_keys, t_keys = key_names(dims, "q_"), key_names(dims, "t_")
     base = min(queries.level_counts)
     single = F.col("q_lvl") == POINT
@@ -67,7 +70,20 @@ def tile_candidates(
             "tile", *q_keys, *t_keys, "t_n", "t_rows", "ub", *[f"t_{c}" for c in box_names(dims)]
         )
     )
-    return Candidates(nodes, facts["nodes"], levels, stage.save(tiled, "candidates"))
+    pairs, seen = stage.save_with(
+        tiled,
+        "candidates",
+        F.approx_count_distinct("tile").alias("tiles"),
+        F.count_if(_is_pile(dims, k)).alias("piles"),
+    )
+    return Candidates(nodes, facts["nodes"], levels, pairs, seen["tiles"], seen["piles"])
+
+
+def _is_pile(dims: int, k: int | None) -> Column:
+    """Leaves of more than ``k`` rows on one position, of which ``k`` ids are enough."""
+    if k is None:
+        return F.lit(False)
+    return (F.col("t_rows") > k) & (longest_side(low(dims, "t_"), high(dims, "t_")) <= 0)
 
 
 def _tile() -> Column:
@@ -133,7 +149,7 @@ def meet_points(
     """Pairs ``(tile, qid, tid, dist)`` within each query's reach."""
     dims = training.dims
     qp, tp = point("q", dims), point("t", dims)
-    members = _members(stage, t, found.pairs, training, k, unique)
+    members = _members(stage, t, found, training, k, unique)
     near = distance(qp, tp) <= F.col("reach")
     if method == "ps":
         near = (x_distance(qp, tp) <= F.col("reach")) & near
@@ -203,7 +219,7 @@ def _placed_queries(q: DataFrame, found: Candidates, queries: Pyramid) -> DataFr
 
 
 def _members(
-    stage: Stage, t: DataFrame, pairs: DataFrame, training: Pyramid, k: int | None, unique: bool
+    stage: Stage, t: DataFrame, found: Candidates, training: Pyramid, k: int | None, unique: bool
 ) -> DataFrame:
     """Training points of the candidate leaves, one copy per tile.
 
@@ -212,35 +228,28 @@ def _members(
     """
     dims = training.dims
     axes, keys, t_keys = axes_of(dims), key_names(dims), key_names(dims, "t_")
-    boxes = [f"t_{c}" for c in box_names(dims)]
-    needs = pairs.select("tile", *t_keys, "t_rows", *boxes).distinct()
-    side = longest_side(low(dims, "t_"), high(dims, "t_"))
-    wanted = (
-        needs.groupBy(*t_keys, "t_rows", *boxes)
-        .agg(F.count(F.lit(1)).alias("tiles"))
-        .withColumn("pile", (F.col("t_rows") > k) & (side <= 0) if k else F.lit(False))
-        .withColumn("crowded", F.col("pile") | (F.col("tiles") > LEAF_TILES))
-        .withColumn("parts", F.ceil(F.col("tiles") / LEAF_TILES).cast("int"))
-    )
-    base = min(training.level_counts)
-    wanted, facts = stage.save_with(
-        wanted.withColumnsRenamed({f"t_{c}": c for c in [*keys, *box_names(dims), "rows"]}),
-        "wanted-leaves",
-        level_mask(F.col("lvl"), base).alias("levels"),
-        F.count(F.lit(1)).alias("leaves"),
-        F.count_if("crowded").alias("crowded"),
-    )
-    spread = training.place(
-        t, wanted, masked_levels(facts["levels"], base), facts["leaves"]
-    )
+    needs = found.pairs.select("tile", *t_keys).distinct()
+    crowded = 0
+    if found.pile_count or found.tile_count > LEAF_TILES:
+        leaves, facts = _wanted_leaves(stage, found, training, k)
+        levels, size, crowded = facts["levels"], facts["leaves"], facts["crowded"]
+        levels = masked_levels(levels, min(training.level_counts))
+    else:
+        leaves, levels, size = training.leaves, training.leaf_levels, training.leaf_count
+    spread = training.place(t, leaves, levels, size)
     needs = needs.select("tile", *[F.col(f"t_{c}").alias(c) for c in keys])
     plain = needs
-    if facts["crowded"]:
-        crowded = wanted.filter("crowded").select(*keys, "rows", "pile", "parts")
-        plain = needs.join(crowded, keys, "left_anti")
-    found = spread.join(plain, keys).select("tile", *keys, "id", *axes)
-    if facts["crowded"]:
-        split = lookup(spread, crowded, keys, "rows", training.rows, facts["crowded"])
+    if crowded:
+        special = leaves.filter("crowded").select(*keys, "rows", "pile", "parts")
+        plain = needs.join(special, keys, "left_anti")
+    ordinary = spread
+    if crowded:
+        # Rows of a heavy pile must not travel to a join that drops them.
+        heavy = special.filter(F.col("rows") >= training.rows / HEAVY_KEYS).select(*keys)
+        ordinary = spread.join(F.broadcast(heavy), keys, "left_anti")
+    members = ordinary.join(plain, keys).select("tile", *keys, "id", *axes)
+    if crowded:
+        split = lookup(spread, special, keys, "rows", training.rows, crowded)
         if k:
             thin = split.filter("pile")
             if not unique:
@@ -249,14 +258,39 @@ def _members(
             thin = thin.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= k)
             split = split.filter("not pile").unionByName(thin.drop("nth"))
         split = split.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        apart = needs.join(crowded.select(*keys, "parts"), keys).select(
+        apart = needs.join(special.select(*keys, "parts"), keys).select(
             "tile", *keys, F.pmod(F.xxhash64("tile"), F.col("parts")).cast("int").alias("part")
         )
         split = split.select(*keys, "id", *axes, "part").join(apart, [*keys, "part"])
-        found = found.unionByName(split.select("tile", *keys, "id", *axes))
-    return found.select(
+        members = members.unionByName(split.select("tile", *keys, "id", *axes))
+    return members.select(
         "tile",
         *[F.col(c).alias(t) for c, t in zip(keys, t_keys, strict=True)],
         F.col("id").alias("tid"),
         *[F.col(a).alias(f"t{a}") for a in axes],
     ).repartition("tile")
+
+
+def _wanted_leaves(
+    stage: Stage, found: Candidates, training: Pyramid, k: int | None
+) -> tuple[DataFrame, dict]:
+    """Candidate leaves with the number of tiles that want them."""
+    dims = training.dims
+    keys, t_keys = key_names(dims), key_names(dims, "t_")
+    boxes = [f"t_{c}" for c in box_names(dims)]
+    wanted = (
+        found.pairs.select("tile", *t_keys, "t_rows", *boxes)
+        .distinct()
+        .groupBy(*t_keys, "t_rows", *boxes)
+        .agg(F.count(F.lit(1)).alias("tiles"))
+        .withColumn("pile", _is_pile(dims, k))
+        .withColumn("crowded", F.col("pile") | (F.col("tiles") > LEAF_TILES))
+        .withColumn("parts", F.ceil(F.col("tiles") / LEAF_TILES).cast("int"))
+    )
+    return stage.save_with(
+        wanted.withColumnsRenamed({f"t_{c}": c for c in [*keys, *box_names(dims), "rows"]}),
+        "wanted-leaves",
+        level_mask(F.col("lvl"), min(training.level_counts)).alias("levels"),
+        F.count(F.lit(1)).alias("leaves"),
+        F.count_if("crowded").alias("crowded"),
+    )

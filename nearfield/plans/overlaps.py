@@ -152,10 +152,12 @@ def _overlaps(
     check_same_axes(q, t)
     q, t = plain_points(q, dims, "q"), plain_points(t, dims, "t")
     axes, t_keys = axes_of(dims), key_names(dims, "t_")
+    stage = Stage(q.sparkSession)
     if leaves is None:
         width, base = 1.0 / check_n(n), {"level": 0}
         own, q_in, t_in = assign_grid(q, n, dims), q, t
     else:
+        leaves = stage.save(leaves.select("path", "depth", "n_sample"), "leaves")
         width, base = 1.0, {"level_column": "leaf_level"}
         own = assign_tree(q, leaves, dims)
         q_in, t_in = in_leaves(q, leaves, dims).drop("leaf_level"), in_leaves(t, leaves, dims)
@@ -164,7 +166,6 @@ def _overlaps(
         kind = "bigint" if leaves is None else "string"
         return q.sparkSession.createDataFrame([], OVERLAP_SCHEMA.format(type=kind))
 
-    stage = Stage(q.sparkSession)
     top = min(0, top_level(q_extent.union(t_extent), dims, width))
     weighed, _ = weigh(t_in, dims, True)
     training = build_pyramid(
@@ -192,7 +193,7 @@ def _overlaps(
         level=density_level(q_extent, dims, width, QUERY_CAPACITY),
     )
     pairs = candidate_leaves(stage, queries, q_in, training, k)
-    found = tile_candidates(stage, pairs, queries, dims)
+    found = tile_candidates(stage, pairs, queries, k)
     visits = query_visits(q_in, found, queries, k)
     index = [F.col(f"t_c{a}") for a in axes]
     if leaves is None:

@@ -167,7 +167,7 @@ def top_level(extent: Extent, dims: int, width: float) -> int:
     """Level at which the extent spans a few cells per axis."""
     if extent.side <= 0.0:
         return 0
-    cells = 10.0 if dims == 2 else 5.0
+    cells = 16.0 if dims == 2 else 5.0
     return math.floor(math.log2(cells * width / extent.side))
 
 
@@ -180,7 +180,12 @@ def density_level(extent: Extent, dims: int, width: float, capacity: int) -> int
 
 
 def _measures(dims: int) -> list[Column]:
-    return [F.sum("rows").alias("rows"), F.sum("n").alias("n")] + [
+    return [
+        F.sum("rows").alias("rows"),
+        F.sum("n").alias("n"),
+        F.min("id_lo").alias("id_lo"),
+        F.max("id_hi").alias("id_hi"),
+    ] + [
         agg(f"{side}_{a}").alias(f"{side}_{a}")
         for a in axes_of(dims)
         for side, agg in (("lo", F.min), ("hi", F.max))
@@ -190,6 +195,7 @@ def _measures(dims: int) -> list[Column]:
 def _histogram(keyed: DataFrame, dims: int) -> DataFrame:
     """Counts and bounds per cell; ``stop`` is the level to roll up to, ``base`` its parent's."""
     boxes = {f"{side}_{a}": F.col(a) for a in axes_of(dims) for side in ("lo", "hi")}
+    boxes |= {"id_lo": F.col("id"), "id_hi": F.col("id")}
     return (
         keyed.withColumns(boxes).groupBy(*key_names(dims), "stop", "base").agg(*_measures(dims))
     )
@@ -207,6 +213,8 @@ def _roll_up(
         *[F.expr(f"shiftright(c{a}, lvl - up)").alias(f"c{a}") for a in axes],
         "rows",
         "n",
+        "id_lo",
+        "id_hi",
         *box_names(dims),
         (F.col("lvl") == F.col("up")).alias("deepest"),
         F.when(at_stop, F.col("base")).otherwise(F.col("up") - 1).alias("plvl"),
@@ -281,10 +289,7 @@ def build_pyramid(
             level_mask(F.when(is_open, F.col("lvl")), top).alias("levels"),
             F.count_if("leaf").alias("leaves"),
             level_mask(F.when(F.col("leaf"), F.col("lvl")), top).alias("leaf_levels"),
-            *[
-                F.count_if(F.col("lvl") == top + i).alias(f"level_{i}")
-                for i in range(LEVEL_RANGE + 1)
-            ],
+            *[F.expr(f"count_if(lvl = {top + i}) as level_{i}") for i in range(LEVEL_RANGE + 1)],
         )
         parts.append(part)
         summaries.append(facts)
@@ -308,7 +313,7 @@ def build_pyramid(
         )
         found = lookup(spread, goals, keys, "rows", extent.rows, facts["cells"])
         found = found.select(
-            *axes, F.col("r").alias("rows"), "n", "goal", "stop", F.col("lvl").alias("base")
+            "id", *axes, F.col("r").alias("rows"), "n", "goal", "stop", F.col("lvl").alias("base")
         )
         keyed = with_cell(found, dims, width, F.col("goal"))
     nodes = parts[0]
