@@ -125,3 +125,16 @@ def test_plan_of_the_join(spark):
     # Above the shuffle by tile neither the candidates nor the ranking are shuffled again.
     assert "Exchange hashpartitioning(qid" not in plan
     assert ", qid" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_nothing_within_reach(spark, tmp_path):
+    left, right = frame(spark, [1, 2], [[0.1, 0.1], [0.15, 0.1]]), frame(spark, [7], [[0.9, 0.9]])
+    assert nf.radius_join(left, right, 0.01).count() == 0
+    assert nf.local_knn(left, right, 2, n=4).count() == 0
+    leaves = nf.build_leaves(left.union(right), capacity=1)
+    assert nf.local_knn(left, right, 2, leaves=leaves).count() == 0
+    overlaps = nf.overlaps_grid(left, right, 1, 4)
+    assert [(r.qid, r.cell, r.complete) for r in overlaps.orderBy("qid").collect()] == [
+        (1, 15, False),
+        (2, 15, False),
+    ]
