@@ -410,7 +410,7 @@ def _range_cells_tree(spark: SparkSession, sf: str) -> DataFrame:
     leaves = _leaves(spark, sf)
     t = nf.cell_histogram(nf.assign_tree(_points(spark, sf, "t_skewed"), leaves))
     q = _points(spark, sf, "q").withColumn("r", F.lit(0.05))
-    return nf.range_cells(q, nf.occupied_cells(t, leaves=leaves), levels=DEPTH)
+    return nf.range_cells(q, nf.occupied_cells(t, leaves=leaves))
 
 
 def _range_cells_local(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.geometry import axes_of, box_min_dist
-from nearfield.functions.grid import check_n, grid_cell, grid_decode
+from nearfield.functions.grid import check_n, grid_decode
 from nearfield.functions.tree import axis_index, tree_cell
 from nearfield.operators.cells import assign_grid, assign_tree
 from nearfield.operators.neighbors import check_k, local_radius
@@ -34,7 +34,7 @@ from nearfield.plans.pyramid import (
     key_names,
     top_level,
 )
-from nearfield.plans.staging import Stage
+from nearfield.plans.staging import BROADCAST_ROWS, Stage
 
 OVERLAP_SCHEMA = "qid bigint, cell {type}, complete boolean"
 
@@ -72,54 +72,53 @@ def cell_box(dims: int, width: float) -> dict[str, Column]:
 
 
 def range_cells(
-    q: DataFrame, cells: DataFrame, *, dims: int = 2, n: int | None = None, levels: int | None = None
+    q: DataFrame, cells: DataFrame, *, dims: int = 2, n: int | None = None
 ) -> DataFrame:
     """Cells no farther than ``r`` from each query ``(id, x, y[, z], r)``: ``(qid, cell)``.
 
     ``cells`` comes from ``occupied_cells``; give its ``n`` for a grid. Each query looks for
-    its cells at the level whose side is about ``r``, where at most 3 cells per axis touch the
-    circle, so the join is on equality whatever the radius is. ``levels`` is the deepest
-    level of ``cells`` (a tree's depth; 0 for a grid).
+    cells at the level whose side is about ``r``, where at most 3 per axis touch the circle,
+    and finds the cells inside those; a tree's wider leaves it finds at their own level. So the
+    join is on equality whatever the radius is, and meets few cells that are too far.
     """
-    axes, keys = axes_of(dims), key_names(dims)
+    axes, keys = axes_of(dims), [*key_names(dims), "wider"]
     width = 1.0 if n is None else 1.0 / check_n(n)
-    deepest = 0 if n is not None else (levels if levels is not None else 24)
     # Level at which one cell spans the whole unit domain.
-    coarsest = 0 if n is None else -max(0, (check_n(n) - 1).bit_length())
+    coarsest = 0 if n is None else -(check_n(n) - 1).bit_length()
+    facts = cells.agg(
+        F.collect_set("lvl").alias("depths"), F.count(F.lit(1)).alias("cells")
+    ).first()
+    depths = sorted(facts.depths) or [0]
     fit = F.floor(F.log2(F.lit(width) / F.col("r")))
+    own = F.when(F.col("r") > 0, F.least(F.lit(depths[-1]), fit)).otherwise(F.lit(depths[-1]))
+    look = q.withColumn("own", F.greatest(F.lit(coarsest), own).cast("int"))
+    levels = F.array(F.col("own"), *[F.lit(d) for d in depths[:-1]])
     look = (
-        q.withColumn("own", F.when(F.col("r") > 0, fit).otherwise(F.lit(deepest)))
-        .withColumn("own", F.greatest(F.lit(coarsest), F.least(F.lit(deepest), F.col("own"))))
-        .withColumn("own", F.col("own").cast("int"))
-        # Coarser cells of a tree are met at their own level.
-        .withColumn(
-            "lvl", F.explode(F.sequence(F.lit(coarsest if n is None else deepest), F.col("own")))
-            if n is None
-            else F.col("own"),
-        )
+        look.withColumn("lvl", F.explode(F.array_distinct(levels)))
+        .filter(F.col("lvl") <= F.col("own"))
+        .withColumn("wider", F.col("lvl") < F.col("own"))
     )
     pad = F.col("r") * (1.0 + 1e-12) + F.lit(1e-9 * width)
     for a in axes:
         first = cell_coord(F.col(a) - pad, width, F.col("lvl"))
         last = cell_coord(F.col(a) + pad, width, F.col("lvl"))
         look = look.withColumn(f"c{a}", F.explode(F.sequence(first, last)))
-    look = look.select(F.col("id").alias("qid"), *axes, "r", "own", *keys)
-    spread = cells.withColumnRenamed("lvl", "depth").withColumn("lvl", F.explode(
-        F.sequence(F.lit(coarsest), F.col("depth"))
-    ))
-    spread = spread.select(
-        "cell",
-        "depth",
-        "lvl",
-        *[F.expr(f"shiftright(c{a}, depth - lvl)").alias(f"c{a}") for a in axes],
-        *box_names(dims),
-    )
-    met = look.join(spread, keys).filter(
-        (F.col("lvl") == F.col("own")) | (F.col("lvl") == F.col("depth"))
+    look = look.select(F.col("id").alias("qid"), *axes, "r", *keys)
+    rest = ["cell", *box_names(dims)]
+    itself = cells.select(*rest, *key_names(dims), F.lit(True).alias("wider"))
+    above = cells.withColumn("up", F.explode(F.sequence(F.lit(coarsest), F.col("lvl"))))
+    above = above.select(
+        *rest,
+        F.col("up").alias("lvl"),
+        *[F.expr(f"shiftright(c{a}, lvl - up)").alias(f"c{a}") for a in axes],
+        F.lit(False).alias("wider"),
     )
+    spread = itself.unionByName(above)
+    if facts.cells * (depths[-1] - coarsest + 2) <= BROADCAST_ROWS:
+        spread = F.broadcast(spread)
     lo, hi = [F.col(f"lo_{a}") for a in axes], [F.col(f"hi_{a}") for a in axes]
     gap = box_min_dist([F.col(a) for a in axes], lo, hi)
-    return met.filter(gap <= F.col("r")).select("qid", "cell")
+    return look.join(spread, keys).filter(gap <= F.col("r")).select("qid", "cell")
 
 
 def overlaps_grid(q: DataFrame, t: DataFrame, k: int, n: int, *, dims: int = 2) -> DataFrame:
@@ -151,7 +150,7 @@ def _overlaps(
     k = check_k(k)
     check_same_axes(q, t)
     q, t = plain_points(q, dims, "q"), plain_points(t, dims, "t")
-    axes, t_keys = axes_of(dims), key_names(dims, "t_")
+    axes = axes_of(dims)
     stage = Stage(q.sparkSession)
     if leaves is None:
         width, base = 1.0 / check_n(n), {"level": 0}

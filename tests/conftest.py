@@ -30,11 +30,12 @@ def spark(tmp_path_factory):
 def tiny_limits(monkeypatch):
     """Limits so low that the shuffle, salting and splitting branches run on small tables."""
     from nearfield.operators import cells
-    from nearfield.plans import aknn, descent, meet, pyramid, staging
+    from nearfield.plans import aknn, descent, meet, overlaps, pyramid, staging
 
     monkeypatch.setattr(staging, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(pyramid, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(cells, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(overlaps, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(staging, "HEAVY_KEYS", 20)
     monkeypatch.setattr(pyramid, "HEAVY_KEYS", 20)
     monkeypatch.setattr(meet, "HEAVY_KEYS", 20)

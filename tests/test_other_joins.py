@@ -138,3 +138,28 @@ def test_nothing_within_reach(spark, tmp_path):
         (1, 15, False),
         (2, 15, False),
     ]
+
+
+@pytest.mark.parametrize("dims", [2, 3])
+def test_range_cells_of_a_tree(spark, tiny_limits, dims):
+    rng = np.random.default_rng(27)
+    q, t = uniform(rng, 50, dims), clustered(rng, 500, dims)
+    leaves = nf.build_leaves(frame(spark, range(500), t), capacity=20, dims=dims, max_depth=8)
+    placed = nf.assign_tree(frame(spark, range(500), t), leaves, dims)
+    cells = nf.occupied_cells(nf.cell_histogram(placed), leaves=leaves, dims=dims)
+    radii = rng.random(50) ** 3
+    radii[0] = 0.0
+    table = spark.createDataFrame(
+        [(i, *map(float, q[i]), float(radii[i])) for i in range(50)],
+        "id bigint, " + ", ".join(f"{a} double" for a in "xyz"[:dims]) + ", r double",
+    )
+    got = nf.range_cells(table, cells, dims=dims).collect()
+    expected = set()
+    for box in leaves.filter("n_sample > 0").collect():
+        lo = np.array([box[f"{a}min"] for a in "xyz"[:dims]])
+        hi = np.array([box[f"{a}max"] for a in "xyz"[:dims]])
+        for i in range(50):
+            gap = np.maximum(np.maximum(lo - q[i], q[i] - hi), 0.0)
+            if np.sqrt((gap * gap).sum()) <= radii[i]:
+                expected.add((i, box.path))
+    assert len(got) == len(expected) and {tuple(r) for r in got} == expected
