@@ -6,6 +6,8 @@ Points are derived from table keys (``POINTS``), alike in both.
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -507,6 +509,14 @@ def _run_report(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _optional() -> list:
+    """Modules with queries and SQL of their own that may have been taken out of the repository."""
+    names = ("nearfield.llm.registry", "corpus_pipeline")
+    if importlib.util.find_spec("nearfield.llm") is None:
+        return []
+    return [importlib.import_module(n) for n in names if importlib.util.find_spec(n) is not None]
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The 10 parts nearest to every customer."""
     return _aknn("q", "t")(spark, SMALL_SF)
@@ -581,6 +591,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                 out[f"aknn_{partitioning}_{method}_{dims}d"] = _aknn(
                     "q", "t", dims, partitioning, method, n
                 )
+    for module in _optional():
+        out.update(module.queries())
     return out
 
 
@@ -719,4 +731,6 @@ def oracle_sql() -> dict[str, str]:
         for partitioning in ("gd", "qt"):
             for method in ("bf", "ps"):
                 out[f"aknn_{partitioning}_{method}_{dims}d"] = _sql_aknn("q", "t", dims)
+    for module in _optional():
+        out.update(module.oracle_sql())
     return out
