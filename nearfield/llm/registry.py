@@ -66,10 +66,10 @@ def _url_sql() -> str:
         fit as (select r, text, verdict, row_number() over (partition by r
                     order by length(text) desc, length(h) desc, text) as n from p join sites
                 on (host = h or host like '%.' || h) and starts_with(path, pre)),
-        pats(text, glob) as (values {patterns}),
+        pats(text, shape) as (values {patterns}),
         hit as (select r, text, row_number() over (partition by r order by length(text) desc,
                     length(split_part(text, '/', 1)) desc, text) as n
-                from p join pats on host || path like glob)
+                from p join pats on host || path like shape)
         select page_id, host, path, fit.text as rule,
             coalesce(fit.verdict, case when hit.text is not null then 'block' else 'allow' end) as verdict,
             case when fit.text is null then hit.text end as pattern
