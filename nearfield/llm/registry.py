@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import fingerprints, secrets, url_rules
+from nearfield.llm import fingerprints, packing, secrets, url_rules
 from nearfield.llm.url_rules import Rule
 
 SITE_RULES = (
@@ -33,6 +33,17 @@ def op3_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return url_rules.judge_urls(pages, SITE_RULES + PATTERN_RULES)
 
 
+def word_tokenizer() -> str:
+    """The public tokenizer that packing uses; its package is on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf), word_tokenizer())
+
+
 def op7_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.fingerprint_edits(_documents(spark, sf))
 
@@ -44,6 +55,7 @@ def op10_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_url_filters": op3_url_filters,
+        "op4_packing": op4_packing,
         "op7_document_fingerprints": op7_document_fingerprints,
         "op10_secret_scans": op10_secret_scans,
     }
