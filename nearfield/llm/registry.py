@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import fingerprints, packing, secrets, url_rules
+from nearfield.llm import fingerprints, packing, secrets, substring_dedup, url_rules
 from nearfield.llm.url_rules import Rule
 
 SITE_RULES = (
@@ -48,6 +48,10 @@ def op7_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.fingerprint_edits(_documents(spark, sf))
 
 
+def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.dedup_report(_documents(spark, sf))
+
+
 def op10_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.scan_secrets(_documents(spark, sf))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filters": op3_url_filters,
         "op4_packing": op4_packing,
         "op7_document_fingerprints": op7_document_fingerprints,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_secret_scans": op10_secret_scans,
     }
 
