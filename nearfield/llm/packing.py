@@ -259,12 +259,14 @@ def pack_documents(
         *pieces.columns, (2 * F.col("n") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
 
+    names = [*pieces.columns, "sequence_id", "offset"]
+
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("n", kind="stable", ignore_index=True)
         sequence, offset = pack_lengths(group["length"].to_numpy(), capacity)
         group["sequence_id"] = 2 * ((group["grp"] << 32) + sequence)
         group["offset"] = offset
-        return group[[*pieces.columns, "sequence_id", "offset"]]
+        return group[names]
 
     rest = numbered.filter(F.col("length") < capacity).withColumn(
         "grp", F.pmod(F.col("n"), F.lit(groups)).cast("long")
