@@ -264,7 +264,7 @@ def pack_documents(
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("n", kind="stable", ignore_index=True)
         sequence, offset = pack_lengths(group["length"].to_numpy(), capacity)
-        group["sequence_id"] = 2 * ((group["grp"] << 32) + sequence)
+        group["sequence_id"] = 2 * ((group["grp"].to_numpy() << 32) + sequence)
         group["offset"] = offset
         return group[names]
 
