@@ -59,9 +59,9 @@ class Slice:
     column and lies in ``data[offsets[i]:offsets[i + 1]]``.
     """
 
-    def __init__(self, row: int, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, row: int, data: np.ndarray, offsets: np.ndarray, word_bytes=_IS_WORD):
         self.row, self.data, self.offsets = row, data, offsets
-        inside = _IS_WORD[data]
+        inside = word_bytes[data]
         edge = np.empty(len(data) + 1, dtype=bool)
         edge[0] = True
         edge[-1] = True
@@ -84,14 +84,17 @@ class Slice:
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def hashes(self, longest: int | None = None, seen_as: np.ndarray = _BYTE_CODES) -> np.ndarray:
+        """A 64-bit hash of each word's bytes, or of its first ``longest`` bytes.
+
+        ``seen_as`` gives the code of each byte value, by which bytes can be made alike.
+        """
         n = len(self.data)
         powers, inverses = _tables(n + 1)
         sums = np.zeros(n + 1, dtype=_U)
-        np.cumsum(_BYTE_CODES[self.data] * powers[:n], out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * inverses[self.starts]
-        return mix(h)
+        np.cumsum(seen_as[self.data] * powers[:n], out=sums[1:])
+        ends = self.ends if longest is None else np.minimum(self.ends, self.starts + longest)
+        return mix((sums[ends] - sums[self.starts]) * inverses[self.starts])
 
     def shingles(self, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of ``size`` consecutive words and, for each text, where its hashes begin.
@@ -137,7 +140,14 @@ def grams_of(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
     return mix(h[at]), begin
 
 
-def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[Slice]:
+# Codes by which A-Z are hashed as a-z.
+FOLDED_CODES = _BYTE_CODES.copy()
+FOLDED_CODES[0x41:0x5B] = _BYTE_CODES[0x61:0x7B]
+
+
+def slices(
+    column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES, word_bytes: np.ndarray = _IS_WORD
+) -> Iterator[Slice]:
     """Cut a text column into slices of whole texts, about ``limit`` bytes each; null is empty."""
     for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
         chunk = chunk.cast(pa.large_string()).fill_null("")
@@ -148,5 +158,5 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         while row < len(chunk):
             end = int(np.searchsorted(base, base[row] + limit, side="right")) - 1
             end = min(max(end, row + 1), len(chunk))
-            yield Slice(row, raw[base[row] : base[end]], base[row : end + 1] - base[row])
+            yield Slice(row, raw[base[row] : base[end]], base[row : end + 1] - base[row], word_bytes)
             row = end
