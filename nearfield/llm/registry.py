@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import fingerprints, packing, secrets, substring_dedup, toxicity, url_rules
+from nearfield.llm import fingerprints, hmm, packing, secrets, substring_dedup, toxicity, url_rules
 from nearfield.llm.url_rules import Rule
 
 SITE_RULES = (
@@ -44,6 +44,10 @@ def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf), word_tokenizer())
 
 
+def op5_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    return hmm.score_language(_documents(spark, sf))
+
+
 def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = _documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
     return toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, labels))
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_url_filters": op3_url_filters,
         "op4_packing": op4_packing,
+        "op5_lm_scoring": op5_lm_scoring,
         "op6_toxicity": op6_toxicity,
         "op7_document_fingerprints": op7_document_fingerprints,
         "op9_substring_dedup": op9_substring_dedup,
