@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import fingerprints, hmm, packing, secrets, substring_dedup, toxicity, url_rules
+from nearfield.llm import fingerprints, hmm, minhash, packing, secrets, substring_dedup, toxicity, url_rules
 from nearfield.llm.url_rules import Rule
 
 SITE_RULES = (
@@ -28,6 +28,10 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf))
+
+
 def op3_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     return url_rules.judge_urls(pages, SITE_RULES + PATTERN_RULES)
@@ -67,6 +71,7 @@ def op10_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_url_filters": op3_url_filters,
         "op4_packing": op4_packing,
         "op5_lm_scoring": op5_lm_scoring,
