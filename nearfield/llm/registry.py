@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import fingerprints, hmm, minhash, packing, secrets, substring_dedup, toxicity, url_rules
+from nearfield.llm import (
+    embedding_dups,
+    fingerprints,
+    hmm,
+    minhash,
+    packing,
+    secrets,
+    substring_dedup,
+    toxicity,
+    url_rules,
+)
 from nearfield.llm.url_rules import Rule
 
 SITE_RULES = (
@@ -61,6 +71,10 @@ def op7_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.fingerprint_edits(_documents(spark, sf))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_dups.near_duplicate_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.dedup_report(_documents(spark, sf))
 
@@ -77,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_lm_scoring": op5_lm_scoring,
         "op6_toxicity": op6_toxicity,
         "op7_document_fingerprints": op7_document_fingerprints,
+        "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_secret_scans": op10_secret_scans,
     }
