@@ -13,6 +13,7 @@ from nearfield.llm import (
     minhash,
     packing,
     secrets,
+    sentencepiece_fst,
     substring_dedup,
     toxicity,
     url_rules,
@@ -38,6 +39,17 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def piece_model() -> str:
+    """The public SentencePiece model; its package is on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return sentencepiece_fst.round_trips(_documents(spark, sf), piece_model())
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf))
 
@@ -85,6 +97,7 @@ def op10_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_url_filters": op3_url_filters,
         "op4_packing": op4_packing,
