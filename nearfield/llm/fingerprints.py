@@ -112,14 +112,15 @@ def merge_fingerprints(
     task passes on at most ``k`` of a key, so no key is gathered whole. Null fingerprints add nothing."""
     size = HASH_BYTES
     raw = F.unbase64(F.col(column))
-    piece = lambda i: F.substring(raw, 1, 0) if i is None else raw.substr(i * size + 1, F.lit(size))
     n = (F.length(raw) / size).cast("int")
-    hashes = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), piece))
-    flat = rows.select(F.col(key), F.explode_outer(hashes).alias("h")).groupBy(key, "h").agg()
+    places = F.sequence(F.lit(0), n - 1)
+    hashes = F.when(n > 0, F.transform(places, lambda i: raw.substr(i * size + 1, F.lit(size))))
+    flat = rows.select(F.col(key), F.explode_outer(hashes).alias("h")).distinct()
     first = Window.partitionBy(key).orderBy(F.col("h").asc_nulls_last())
     kept = flat.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k)
     joined = F.concat_ws("", F.transform(F.array_sort(F.collect_list("h")), F.hex))
-    return kept.groupBy(key).agg(F.base64(F.unhex(joined)).alias(column))
+    text = F.translate(F.base64(F.unhex(joined)), "\r\n", "")
+    return kept.groupBy(key).agg(text.alias(column))
 
 
 # --- documents next to each other -----------------------------------------------------
