@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.components import components
 from nearfield.llm.words import mix, slices
-from nearfield.plans.staging import Stage
+from nearfield.llm.steps import Steps
 
 THRESHOLD = 0.8
 BANDS = 16
@@ -288,7 +288,7 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: id and class_id, the smallest id of its class."""
     spark = docs.sparkSession
-    stage = Stage(spark)
+    stage = Steps(spark)
     rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
     idf = spark.sparkContext.broadcast(idf_table(document_counts(rows)))
     drawn = stage.save(rows.mapInArrow(_signatures(idf), "doc long, key binary, sample binary"), "samples")
