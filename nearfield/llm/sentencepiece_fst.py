@@ -266,9 +266,21 @@ class Transducer:
             text = data.decode()
         except UnicodeDecodeError:
             text = self._decode_broken(data)
-        # The dummy prefix is taken back from a first piece that has it.
-        first = self.kinds[ids[0]] if len(ids) else _CONTROL
-        return text[1:] if self.prefix and first == _NORMAL and text.startswith(" ") else text
+        return text[self._prefixes(ids) :] if self.prefix else text
+
+    def _prefixes(self, ids) -> int:
+        """Spaces to take back from the start: that of the first piece, and again after control pieces."""
+        n, taken = 0, False
+        for i in ids:
+            if self.kinds[i] == _CONTROL:
+                taken = False
+                continue
+            if taken or self.kinds[i] != _NORMAL or not self.bytes_of[i].startswith(b" "):
+                break
+            n, taken = n + 1, True
+            if self.bytes_of[i] != b" ":
+                break
+        return n
 
     @staticmethod
     def _decode_broken(data: bytes) -> str:
