@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from nearfield.plans.descent import candidate_leaves
 from nearfield.plans.meet import meet_points, query_visits, tile_candidates
 from nearfield.plans.pyramid import build_pyramid, density_level, extent_of, top_level
 from nearfield.plans.staging import Stage
+from nearfield.sources.points import infer_dims
 
 # Share of a leaf's capacity to aim at; what a cell's parent holds must exceed the capacity.
 LEAF_FILL = 0.3
@@ -35,21 +37,25 @@ def aknn_join(
     t: DataFrame,
     k: int,
     *,
-    dims: int = 2,
+    dims: int | None = None,
     partitioning: str = "gd",
     method: str = "bf",
     n: int | None = None,
     leaves: DataFrame | None = None,
     exclude_self: bool = False,
     unique_ids: bool | None = None,
+    unique_query_ids: bool | None = None,
     capacity: int | None = None,
 ) -> DataFrame:
     """The ``k`` points of ``t`` nearest to every point of ``q``: ``(qid, rank, tid, dist)``.
 
-    ``q`` and ``t`` are ``(id, x, y[, z])``. Equal distances go to the smaller ``tid``; fewer
+    ``q`` and ``t`` are ``(id, x, y[, z])``; with a z on both sides, that is not null throughout,
+    the join is in 3D. Null or non-finite values are an error. Equal distances go to the smaller ``tid``; fewer
     than ``k`` training ids give as many rows as there are. A training id that occurs more
     than once counts once, at its nearest place; pass ``unique_ids=True`` to skip the check
-    for that when ids are known to be unique. Query ids must be unique.
+    for that when ids are known to be unique. A query id at several places gets one list, of the
+    points nearest to any of them (``unique_query_ids=True`` skips that check); ``exclude_self`` then
+    leaves its own id out at all of them.
 
     ``partitioning`` sets the cells training points are counted in: a grid of ``n`` per axis
     (by density when ``n`` is not given) or the tree ``leaves`` of ``build_leaves``.
@@ -64,18 +70,44 @@ def aknn_join(
         raise ValueError(f"partitioning must be one of {PARTITIONINGS}, not {partitioning!r}")
     if partitioning == "qt" and leaves is None:
         raise ValueError("partitioning 'qt' needs leaves")
-    check_same_axes(q, t)
+    dims = settle_dims(q, t, dims)
     q, t = plain_points(q, dims, "q"), plain_points(t, dims, "t")
-    # Both sides' cells are prepared by jobs of their own, side by side.
-    with ThreadPoolExecutor(3) as jobs:
-        extents = [jobs.submit(extent_of, side, dims) for side in (q, t)]
-        weights = jobs.submit(weigh, t, dims, unique_ids)
+    # Both sides' cells are prepared by jobs of their own, side by side, in this thread's job group.
+    own = inheritable_thread_target(q.sparkSession)
+    with ThreadPoolExecutor(4) as jobs:
+        submit = lambda f, *args, **named: jobs.submit(own(f), *args, **named)
+        extents = [submit(extent_of, side, dims, name) for side, name in ((q, "q"), (t, "t"))]
+        weights = submit(weigh, t, dims, unique_ids)
+        repeats = None if unique_query_ids else submit(has_repeated_ids, q)
         q_extent, t_extent = (job.result() for job in extents)
         weighed, unique = weights.result()
+        repeated_queries = repeats is not None and repeats.result()
     if not q_extent.rows or not t_extent.rows:
         return empty_neighbors(q.sparkSession)
 
     stage = Stage(q.sparkSession)
+    if repeated_queries:
+        # Each place is a query of its own; an id's lists are then merged.
+        places = q.distinct().withColumn("place", F.monotonically_increasing_id())
+        places = stage.save(places, "query-places")
+        near = aknn_join(
+            places.select(F.col("place").alias("id"), *axes_of(dims)),
+            t,
+            k + 1 if exclude_self else k,
+            dims=dims,
+            partitioning=partitioning,
+            method=method,
+            n=n,
+            leaves=leaves,
+            unique_ids=unique,
+            unique_query_ids=True,
+            capacity=capacity,
+        )
+        near = near.withColumnRenamed("qid", "place").join(places.select("place", "id"), "place")
+        near = near.select(F.col("id").alias("qid"), "tid", "dist")
+        if exclude_self:
+            near = near.filter(F.col("qid") != F.col("tid"))
+        return topk(near, k, distinct=True)
     wanted = k + 1 if exclude_self else k
     capacity = capacity or max(64, 4 * wanted)
     level, level_column, width = 0, None, 1.0
@@ -94,8 +126,9 @@ def aknn_join(
 
     common = {"width": width, "top": top}
     with ThreadPoolExecutor(2) as jobs:
+        submit = lambda f, *args, **named: jobs.submit(own(f), *args, **named)
         sides = [
-            jobs.submit(
+            submit(
                 build_pyramid,
                 stage,
                 "training",
@@ -107,7 +140,7 @@ def aknn_join(
                 level_column=level_column,
                 **common,
             ),
-            jobs.submit(
+            submit(
                 build_pyramid,
                 stage,
                 "queries",
@@ -142,6 +175,33 @@ def check_same_axes(q: DataFrame, t: DataFrame) -> None:
         raise ValueError("one side has a z column and the other has not")
 
 
+def settle_dims(q: DataFrame, t: DataFrame, dims: int | None) -> int:
+    """The number of axes: as asked for, or 3 if both sides have a z that is not null throughout."""
+    check_same_axes(q, t)
+    if dims is None:
+        if "z" not in q.columns:
+            return 2
+        both = {infer_dims(q), infer_dims(t)}
+        if len(both) > 1:
+            raise ValueError("one side has z values and the other has none")
+        return both.pop()
+    if len(axes_of(dims)) == 2 and "z" in q.columns:
+        raise ValueError("dims=2 would drop the z column; select the columns to join on")
+    return dims
+
+
+def has_repeated_ids(points: DataFrame) -> bool:
+    twice = points.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return not twice.isEmpty()
+
+
+def refuse_repeated_ids(q: DataFrame) -> None:
+    """Lists by cell are lists of one place, so an id must have one."""
+    twice = q.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").count()
+    if twice:
+        raise ValueError(f"q: {twice} ids occur more than once")
+
+
 def plain_points(df: DataFrame, dims: int, side: str) -> DataFrame:
     axes = axes_of(dims)
     missing = {"id", *axes} - set(df.columns)
@@ -160,8 +220,7 @@ def plain_weight(points: DataFrame) -> DataFrame:
 def weigh(t: DataFrame, dims: int, unique_ids: bool | None) -> tuple[DataFrame, bool]:
     """Weights for the pyramid: every row counts for splitting, every id once for bounds."""
     if unique_ids is None:
-        twice = t.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        unique_ids = twice.isEmpty()
+        unique_ids = not has_repeated_ids(t)
     if unique_ids:
         return plain_weight(t), True
     axes = axes_of(dims)

@@ -11,9 +11,10 @@ from nearfield.operators.neighbors import check_k, empty_neighbors, topk
 from nearfield.plans.aknn import (
     METHODS,
     QUERY_CAPACITY,
-    check_same_axes,
     plain_points,
     plain_weight,
+    refuse_repeated_ids,
+    settle_dims,
     weigh,
 )
 from nearfield.plans.descent import candidate_leaves
@@ -27,32 +28,38 @@ def local_knn(
     t: DataFrame,
     k: int,
     *,
-    dims: int = 2,
+    dims: int | None = None,
     n: int | None = None,
     leaves: DataFrame | None = None,
     method: str = "bf",
     unique_ids: bool | None = None,
+    unique_query_ids: bool | None = None,
 ) -> DataFrame:
     """The ``k`` nearest training points in each query's own cell: ``(qid, rank, tid, dist)``.
 
     Cells are those of the grid with ``n`` per axis or of the tree ``leaves``. A query whose
     cell holds fewer than ``k`` points gets those. Crowded cells are split further inside.
+    Null or non-finite values and repeated query ids are an error.
     """
     k = check_k(k)
     if (n is None) == (leaves is None):
         raise ValueError("give either n or leaves")
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}, not {method!r}")
-    check_same_axes(q, t)
+    dims = settle_dims(q, t, dims)
     q, t = plain_points(q, dims, "q"), plain_points(t, dims, "t")
+    # Points outside a tree are left out below, so both sides are looked at whole first.
+    q_extent, t_extent = extent_of(q, dims, "q"), extent_of(t, dims, "t")
+    if not unique_query_ids:
+        refuse_repeated_ids(q)
     stage = Stage(q.sparkSession)
     if leaves is not None:
         leaves = stage.save(leaves.select("path", "depth", "n_sample"), "leaves")
         q, t = (in_leaves(side, leaves, dims) for side in (q, t))
+        q_extent, t_extent = extent_of(q, dims), extent_of(t, dims)
         base = {"level_column": "leaf_level", "width": 1.0}
     else:
         base = {"level": 0, "width": 1.0 / check_n(n)}
-    q_extent, t_extent = extent_of(q, dims), extent_of(t, dims)
     if not q_extent.rows or not t_extent.rows:
         return empty_neighbors(q.sparkSession)
 

@@ -16,9 +16,10 @@ from nearfield.operators.cells import assign_grid, assign_tree
 from nearfield.operators.neighbors import check_k, local_radius
 from nearfield.plans.aknn import (
     QUERY_CAPACITY,
-    check_same_axes,
     plain_points,
     plain_weight,
+    refuse_repeated_ids,
+    settle_dims,
     weigh,
 )
 from nearfield.plans.descent import candidate_leaves
@@ -121,7 +122,9 @@ def range_cells(
     return look.join(spread, keys).filter(gap <= F.col("r")).select("qid", "cell")
 
 
-def overlaps_grid(q: DataFrame, t: DataFrame, k: int, n: int, *, dims: int = 2) -> DataFrame:
+def overlaps_grid(
+    q: DataFrame, t: DataFrame, k: int, n: int, *, dims: int | None = None
+) -> DataFrame:
     """Grid cells that can hold one of the ``k`` nearest points: ``(qid, cell, complete)``.
 
     A query whose own cell holds ``k`` points and whose list cannot improve elsewhere has one
@@ -133,7 +136,7 @@ def overlaps_grid(q: DataFrame, t: DataFrame, k: int, n: int, *, dims: int = 2)
 
 
 def overlaps_tree(
-    q: DataFrame, t: DataFrame, k: int, leaves: DataFrame, *, dims: int = 2
+    q: DataFrame, t: DataFrame, k: int, leaves: DataFrame, *, dims: int | None = None
 ) -> DataFrame:
     """The same for the leaves of a tree; points outside it are left out."""
     return _overlaps(q, t, k, dims, leaves=leaves)
@@ -143,14 +146,16 @@ def _overlaps(
     q: DataFrame,
     t: DataFrame,
     k: int,
-    dims: int,
+    dims: int | None,
     n: int | None = None,
     leaves: DataFrame | None = None,
 ) -> DataFrame:
     k = check_k(k)
-    check_same_axes(q, t)
+    dims = settle_dims(q, t, dims)
     q, t = plain_points(q, dims, "q"), plain_points(t, dims, "t")
     axes = axes_of(dims)
+    q_extent, t_extent = extent_of(q, dims, "q"), extent_of(t, dims, "t")
+    refuse_repeated_ids(q)
     stage = Stage(q.sparkSession)
     if leaves is None:
         width, base = 1.0 / check_n(n), {"level": 0}
@@ -160,7 +165,7 @@ def _overlaps(
         width, base = 1.0, {"level_column": "leaf_level"}
         own = assign_tree(q, leaves, dims)
         q_in, t_in = in_leaves(q, leaves, dims).drop("leaf_level"), in_leaves(t, leaves, dims)
-    q_extent, t_extent = extent_of(q_in, dims), extent_of(t_in, dims)
+        q_extent, t_extent = extent_of(q_in, dims), extent_of(t_in, dims)
     if not q_extent.rows or not t_extent.rows:
         kind = "bigint" if leaves is None else "string"
         return q.sparkSession.createDataFrame([], OVERLAP_SCHEMA.format(type=kind))
@@ -203,8 +208,12 @@ def _overlaps(
         cell = tree_cell(index, F.col("t_lvl"))
     visits = visits.select("qid", "reach", "gap", cell.alias("cell"))
 
-    near = local_radius(local_knn(q, t, k, dims=dims, n=n, leaves=leaves, unique_ids=True), k)
-    own = own.select(F.col("id").alias("qid"), F.col("cell").alias("own")).join(near, "qid", "left")
+    lists = local_knn(
+        q, t, k, dims=dims, n=n, leaves=leaves, unique_ids=True, unique_query_ids=True
+    )
+    own = own.select(F.col("id").alias("qid"), F.col("cell").alias("own"))
+    # Both parts of the result read these two, so neither is made twice.
+    own = stage.save(own.join(local_radius(lists, k), "qid", "left"), "own-cells")
     # A border point may lie a rounding error outside its cell's box.
     reach = F.least("reach", "r") * (1.0 + 1e-12) + F.lit(1e-9 * width)
     others = (
@@ -212,6 +221,7 @@ def _overlaps(
         .filter((F.col("gap") <= reach) & (F.col("cell") != F.col("own")))
         .select("qid", "cell", F.lit(False).alias("complete"))
     )
+    others = stage.save(others, "other-cells")
     done = own.filter(F.col("r").isNotNull()).join(others, "qid", "left_anti")
     return others.unionByName(
         done.select("qid", F.col("own").alias("cell"), F.lit(True).alias("complete"))

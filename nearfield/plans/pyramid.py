@@ -10,6 +10,7 @@ the rows of a cell would all stay together are skipped.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -28,7 +29,9 @@ from nearfield.plans.staging import (
 
 ROOT = -1000
 POINT = 1000
-LEVEL_RANGE = 36
+# Levels below the top that a cell may be split to. Each halves the cells, so this covers extents of
+# 4e18 times the smallest leaf; a double's own 53 bits end sooner, unless points lie around zero.
+LEVEL_RANGE = 62
 
 
 def key_names(dims: int, prefix: str = "") -> list[str]:
@@ -87,14 +90,26 @@ class Extent:
         )
 
 
-def extent_of(points: DataFrame, dims: int) -> Extent:
-    """One aggregate row, read on the driver."""
+def extent_of(points: DataFrame, dims: int, side: str = "points") -> Extent:
+    """One aggregate row, read on the driver. Rows that no join can place are an error."""
     axes = axes_of(dims)
+    unplaced = F.col("id").isNull()
+    endless = F.lit(False)
+    for a in axes:
+        unplaced = unplaced | F.col(a).isNull()
+        endless = endless | F.isnan(a) | (F.abs(a) == F.lit(math.inf))
     row = points.agg(
         F.count(F.lit(1)).alias("rows"),
+        F.count_if(unplaced).alias("missing"),
+        F.count_if(endless).alias("endless"),
         *[F.min(a).alias(f"lo_{a}") for a in axes],
         *[F.max(a).alias(f"hi_{a}") for a in axes],
     ).first()
+    if row.missing or row.endless:
+        raise ValueError(
+            f"{side}: {row.missing} of {row.rows} rows have a null id or coordinate and"
+            f" {row.endless} one that is not finite; validate_points splits them off"
+        )
     if not row.rows:
         return Extent(0, (), ())
     return Extent(
@@ -244,6 +259,14 @@ def _roll_up(
     )
 
 
+def _stopped(dims: int, capacity: int | None, last: int) -> Column:
+    """Leaves over capacity that only the last level keeps from being split."""
+    if capacity is None:
+        return F.lit(False)
+    spread = longest_side(low(dims), high(dims)) > 0
+    return F.col("leaf") & spread & (F.col("rows") > capacity) & (F.col("lvl") >= last)
+
+
 def build_pyramid(
     stage: Stage,
     name: str,
@@ -288,11 +311,17 @@ def build_pyramid(
             F.count_if(is_open).alias("cells"),
             level_mask(F.when(is_open, F.col("lvl")), top).alias("levels"),
             F.count_if("leaf").alias("leaves"),
+            F.count_if(_stopped(dims, capacity, last)).alias("stopped"),
             level_mask(F.when(F.col("leaf"), F.col("lvl")), top).alias("leaf_levels"),
             *[F.expr(f"count_if(lvl = {top + i}) as level_{i}") for i in range(LEVEL_RANGE + 1)],
         )
         parts.append(part)
         summaries.append(facts)
+        if facts["stopped"]:
+            warnings.warn(
+                f"{facts['stopped']} cells of {name} hold more than {capacity} rows at the last level",
+                stacklevel=2,
+            )
         open_cells = part.filter(is_open)
         if not facts["cells"]:
             break
