@@ -13,9 +13,11 @@ stand out.
    compared with it: as many pairs as members. Pairs are verified by exact weighted Jaccard
    similarity of whole texts, and links at or above the threshold make components.
 4. In buckets that still hold texts of several components, each text outside the bucket's main
-   component is compared with all texts of other components, unless their samples agree in less than
-   ``LEAST_AGREEMENT`` of all (for a pair at the threshold, four standard deviations below what is
-   expected). Crowded buckets are split over tasks. Components are then taken of all links.
+   component is compared with all texts of other components. Pairs are left out that cannot be alike
+   (a shingle that no other text of these buckets has is in no overlap, so what remains of either
+   text bounds it), and those whose samples agree in less than ``LEAST_AGREEMENT`` of all (for a
+   pair at the threshold, four standard deviations below what is expected). Crowded buckets are
+   split over tasks. Components are then taken of all links.
 
 A text of one to four words has one shingle. Null texts, and texts without words, are in no one's
 class but their own; rows with a null id get a null class. Rows that share an id share a class. Only
@@ -221,11 +223,43 @@ def _links(pairs: DataFrame, vectors: DataFrame, idf, threshold: float) -> DataF
     return rows.mapInArrow(_verified(idf, threshold), "u long, v long")
 
 
-def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of members of a (bucket, part) in different components whose samples agree enough.
+def _shares(idf):
+    """Rows (h, doc, w): the weight of every distinct shingle of each text."""
 
-    Rows (bucket, part, loose, own, doc, root, sample) come sorted by bucket and part. ``loose`` marks
-    texts outside the main component: they are compared with every row that is ``own`` to the part.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, bag in zip(batch.column("doc").to_pylist(), batch.column("bag"), strict=True):
+                hashes, counts = np.unique(np.frombuffer(bag.as_buffer(), dtype=_U), return_counts=True)
+                weight = (counts * idf.value.astype(np.float64)[_bucket(hashes)]).astype(np.float32)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "h": pa.array(hashes.view(np.int64)),
+                        "doc": pa.array(np.full(len(hashes), doc, dtype=np.int64)),
+                        "w": pa.array(weight),
+                    }
+                )
+
+    return run
+
+
+def _shared_weights(vectors: DataFrame, docs: DataFrame, idf) -> DataFrame:
+    """Rows (doc, total, shared): a text's weight, and that of its shingles that others of ``docs`` have."""
+    parts = vectors.join(docs, "doc", "left_semi").mapInArrow(_shares(idf), "h long, doc long, w float")
+    kinds = parts.groupBy("h").agg(
+        F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc"), F.min("w").alias("w")
+    )
+    alone = kinds.filter("n = 1").groupBy("doc").agg(F.sum("w").alias("alone"))
+    totals = parts.groupBy("doc").agg(F.sum("w").alias("total"))
+    shared = F.col("total") - F.coalesce("alone", F.lit(0.0))
+    return totals.join(alone, "doc", "left").select("doc", "total", shared.alias("shared"))
+
+
+def _other_pairs(threshold: float):
+    """Pairs of members of a (bucket, part) in different components that may be alike.
+
+    Rows (bucket, part, loose, own, doc, root, sample, total, shared) come sorted by bucket and part.
+    ``loose`` marks texts outside the main component: they are compared with every row that is ``own``
+    to the part.
     """
     least = int(np.ceil(LEAST_AGREEMENT * BANDS * ROWS))
 
@@ -237,28 +271,38 @@ def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = np.array([r[2] for r in group])
         roots = np.array([r[3] for r in group])
         drawn = np.frombuffer(b"".join(r[4] for r in group), dtype="<u4").reshape(len(group), -1)
+        total, shared = (np.array([r[c] for r in group]) for c in (5, 6))
         for i in loose:
             # Two loose texts meet twice over all parts; the smaller one speaks.
             other = own[(roots[own] != roots[i])]
             flags = np.array([group[j][0] for j in other], dtype=bool)
             other = other[~flags | (docs[other] > docs[i])]
+            both = np.minimum(shared[other], shared[i])
+            # A little slack for weights that were added up in another order.
+            other = other[both >= (threshold - 1e-4) * (total[other] + total[i] - both)]
             agree = (drawn[other] == drawn[i]).sum(axis=1)
             chosen = docs[other[agree >= least]]
             if len(chosen):
                 u, v = np.maximum(chosen, docs[i]), np.minimum(chosen, docs[i])
                 yield pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)})
 
-    place, group = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:2] != place:
-                yield from pairs_of(group)
-                place, group = row[:2], []
-            group.append(row[2:])
-    yield from pairs_of(group)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, group = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:2] != place:
+                    yield from pairs_of(group)
+                    place, group = row[:2], []
+                group.append(row[2:])
+        yield from pairs_of(group)
 
+    return run
 
-def _rest(crowded: DataFrame, roots: DataFrame, samples_of: DataFrame) -> DataFrame:
+
+def _rest(
+    crowded: DataFrame, roots: DataFrame, samples_of: DataFrame, vectors: DataFrame, idf, threshold: float,
+    stage: Stage,
+) -> DataFrame:
     """Pairs between components that share a bucket, each text of all but the main one against all."""
     rows = crowded.join(roots, F.col("doc") == F.col("node"), "left")
     rows = rows.select("bucket", "doc", F.coalesce("root", "doc").alias("root"))
@@ -268,16 +312,19 @@ def _rest(crowded: DataFrame, roots: DataFrame, samples_of: DataFrame) -> DataFr
         F.count(F.lit(1)).alias("kinds"),
         F.ceil(F.sum("n") / BUCKET_ROWS).cast("int").alias("parts"),
     )
-    rows = rows.join(mains.filter("kinds > 1"), "bucket")
+    rows = stage.save(rows.join(mains.filter("kinds > 1"), "bucket"), "mixed")
+    facts = _shared_weights(vectors, rows.select("doc").distinct(), idf)
+    facts = samples_of.join(facts, "doc")
     loose = F.col("root") != F.col("main")
     mine = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
     parts = F.when(loose, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(mine))
     rows = rows.select("bucket", "doc", "root", loose.alias("loose"), mine.alias("mine"), F.explode(parts).alias("part"))
-    rows = rows.join(samples_of, "doc").select(
-        "bucket", "part", "loose", (F.col("part") == F.col("mine")).alias("own"), "doc", "root", "sample"
+    rows = rows.join(facts, "doc").select(
+        "bucket", "part", "loose", (F.col("part") == F.col("mine")).alias("own"), "doc", "root", "sample",
+        "total", "shared",
     )
     rows = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "doc")
-    return rows.mapInArrow(_other_pairs, "u long, v long").distinct()
+    return rows.mapInArrow(_other_pairs(threshold), "u long, v long").distinct()
 
 
 # --- classes --------------------------------------------------------------------------
@@ -327,7 +374,7 @@ def near_duplicates(
     )
     links = stage.save(_links(stars, vectors, idf, threshold), "links")
     roots = components(links, stage, "star")
-    rest = _rest(crowded.select("bucket", "doc"), roots, stands)
+    rest = _rest(crowded.select("bucket", "doc"), roots, stands, vectors, idf, threshold, stage)
     links = links.unionByName(stage.save(_links(rest, vectors, idf, threshold), "more"))
 
     ids = texts.select("text_id", "doc")
