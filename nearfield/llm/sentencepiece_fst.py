@@ -154,16 +154,6 @@ class Transducer:
             text = " " + text
         return text.replace(" ", SPACE) if self.escape else text
 
-    def arcs(self, part: str, start: int) -> Iterator[tuple[int, str]]:
-        """Ends and names of the pieces that begin at ``start``; any one character is an arc."""
-        yield start + 1, part[start]
-        for end in range(start + 2, len(part) + 1):
-            name = part[start:end]
-            if name not in self.beginnings:
-                return
-            if name in self.ids:
-                yield end, name
-
     def merged(self, text: str) -> list[str]:
         """The greedy merges: the best pair first, the leftmost of equal ones."""
         symbols = list(text)
@@ -190,40 +180,51 @@ class Transducer:
 
     def shortest_path(self, part: str) -> list[str]:
         """Pieces of the least path through the composed transducer."""
-        n = len(part)
-        # For every position, the least weight and the last piece of each state there.
-        states: list[dict[str, tuple[float, str | None]]] = [{} for _ in range(n + 1)]
-        states[0][""] = (0.0, None)
-        for start in range(n):
-            here = states[start]
-            if not here:
-                continue
-            for end, piece in self.arcs(part, start):
-                if self.bpe:
-                    own, state = 0.0, piece
-                else:
-                    own, state = -self.scores.get(piece, self.least - 10), ""
-                for last, (weight, _) in here.items():
-                    total = weight + own + (self.step(last, piece) if self.bpe and last else 0.0)
-                    if total < states[end].get(state, (inf,))[0]:
-                        states[end][state] = (total, last if self.bpe else piece)
-        if not self.bpe:
-            return self._back_unigram(states, n)
-        path, at = [], n
-        state = min(states[n], key=lambda s: states[n][s][0])
+        last = self._least_bpe(part) if self.bpe else self._least_unigram(part)
+        path, at = [], len(part)
         while at:
-            path.append(state)
-            state, at = states[at][state][1], at - len(state)
+            path.append(last[at])
+            at -= len(last[at])
         return path[::-1]
 
-    @staticmethod
-    def _back_unigram(states, n: int) -> list[str]:
-        path, at = [], n
-        while at:
-            piece = states[at][""][1]
-            path.append(piece)
-            at -= len(piece)
-        return path[::-1]
+    def _least_bpe(self, part: str) -> list[str | None]:
+        """For every position, the last piece of the path of finite weight that ends there.
+
+        There is at most one: the merges of what stands before the position."""
+        n, ids, beginnings, follows = len(part), self.ids, self.beginnings, self.follows
+        last: list[str | None] = [None] * (n + 1)
+        for start in range(n):
+            before = last[start]
+            if before is None and start:
+                continue
+            end, piece = start + 1, part[start]  # any one character is an arc
+            while True:
+                if last[end] is None and (end == start + 1 or piece in ids):
+                    weight = follows.get((before, piece)) if start else 0.0
+                    if (self.step(before, piece) if weight is None else weight) == 0.0:
+                        last[end] = piece
+                end += 1
+                if end > n:
+                    break
+                piece = part[start:end]
+                if piece not in beginnings:
+                    break
+        return last
+
+    def _least_unigram(self, part: str) -> list[str | None]:
+        """For every position, the last piece of the least path that ends there."""
+        n = len(part)
+        weights, last = [0.0] + [inf] * n, [None] * (n + 1)
+        for start in range(n):
+            for end in range(start + 1, n + 1):
+                piece = part[start:end]
+                if end > start + 1 and piece not in self.beginnings:
+                    break
+                if end == start + 1 or piece in self.ids:
+                    total = weights[start] - self.scores.get(piece, self.least - 10)
+                    if total < weights[end]:
+                        weights[end], last[end] = total, piece
+        return last
 
     def _part(self, part: str) -> bytes:
         out: list[int] = []
