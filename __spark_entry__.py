@@ -8,6 +8,10 @@ from __future__ import annotations
 
 import importlib
 import importlib.util
+import os
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +30,10 @@ from nearfield.functions.geometry import (
 )
 from nearfield.functions.grid import grid_bounds, grid_decode
 from nearfield.functions.tree import path_bounds
+from nearfield.plans.staging import FOLDER_SETTING, staging_folder
 
 K = 10
-SMALL_SF = "/root/testdata/sf0.001"
+SMALL_SF = os.environ.get("ENTRY_SF_DIR", "/root/testdata/sf0.001")
 
 
 def _h(key: str, factor: int) -> str:
@@ -61,6 +66,18 @@ POINTS = {
         "l_partkey",
         [_h("(l_orderkey*7+l_linenumber)", f) for f in _ORDER_FACTORS],
     ),
+    # One point far away from all others.
+    "outlier": (
+        "part",
+        "p_partkey",
+        [f"(case when p_partkey = 1 then cast(1e13 as double) else {c} end)" for c in _T[2]],
+    ),
+    # All points in a box of 2^-20.
+    "tight": (
+        "part",
+        "p_partkey",
+        [f"(cast(0.3 as double) + {c}/cast({2**20} as double))" for c in _T[2]],
+    ),
     "money": (
         "customer",
         "c_custkey",
@@ -79,15 +96,29 @@ def _select(name: str, dims: int) -> tuple[str, str]:
     return table, ", ".join(columns)
 
 
+VECTOR_LENGTH = 64
+
+
+def _projection(axis: int, component: Callable[[int], str]) -> str:
+    """A coordinate from all components, added up in one order by either engine."""
+    terms = [
+        f"cast({component(i)} as double)*cast({((i * 37 + axis * 61) % 101 - 50) / 400!r} as double)"
+        for i in range(VECTOR_LENGTH)
+    ]
+    total = terms[0]
+    for term in terms[1:]:
+        total = f"({total} + {term})"
+    return f"({total} + cast(0.5 as double))"
+
+
 def _points(spark: SparkSession, sf: str, name: str, dims: int = 2) -> DataFrame:
     nf.configure(spark)
     if name == "vectors":
         vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
         coords = [
-            ((F.col("embedding")[i].cast("double") + 1) / 2).alias(a)
-            for i, a in enumerate(axes_of(dims))
+            f"{_projection(i, 'embedding[{}]'.format)} as {a}" for i, a in enumerate(axes_of(dims))
         ]
-        return vectors.select(F.col("vec_id").alias("id"), *coords)
+        return vectors.selectExpr("vec_id as id", *coords)
     table, columns = _select(name, dims)
     return spark.read.parquet(f"{sf}/{table}.parquet").selectExpr(*_split(columns))
 
@@ -99,7 +130,7 @@ def _split(columns: str) -> list[str]:
 def _sql_points(name: str, dims: int = 2) -> str:
     if name == "vectors":
         coords = ", ".join(
-            f"(cast(embedding[{i + 1}] as double) + 1) / 2 as {a}"
+            f"{_projection(i, lambda n: f'embedding[{n + 1}]')} as {a}"
             for i, a in enumerate(axes_of(dims))
         )
         return f"(select vec_id as id, {coords} from embeddings)"
@@ -214,27 +245,27 @@ def _sql_path(dims: int, depth: int = DEPTH) -> str:
     return " || ".join(digits)
 
 
-def _sql_half(upper: str, axis: str) -> str:
+def _sql_half(upper: str, axis: str, depth: int) -> str:
     steps = [
         f"case when substr(path, {i}, 1) in ({upper}) then {2.0**-i!r}::double else 0.0::double end"
-        for i in range(1, DEPTH + 1)
+        for i in range(1, depth + 1)
     ]
     low = "(" + " + ".join(steps) + ")"
     return f"{low} as {axis}min, {low} + pow(2.0::double, -length(path)) as {axis}max"
 
 
-def _sql_bounds(dims: int) -> str:
+def _sql_bounds(dims: int, depth: int = DEPTH) -> str:
     halves = {"x": "'1','3','5','7'", "y": "'0','1','4','5'", "z": "'4','5','6','7'"}
-    parts = [_sql_half(halves[a], a) for a in axes_of(dims)]
+    parts = [_sql_half(halves[a], a, depth) for a in axes_of(dims)]
     if dims == 2:
         parts.append("cast(null as double) as zmin, cast(null as double) as zmax")
     return ", ".join(parts)
 
 
-def _sql_leaves(t: str, dims: int = 2, policy: str = "capacity") -> str:
+def _sql_leaves(t: str, dims: int = 2, policy: str = "capacity", depth: int = DEPTH) -> str:
     """CTEs up to ``leaves``, without bounds."""
     digits = ", ".join(f"('{d}')" for d in range(2**dims))
-    first = "select path from pre where n_sample > %d and length(path) < %d" % (CAPACITY, DEPTH)
+    first = "select path from pre where n_sample > %d and length(path) < %d" % (CAPACITY, depth)
     extra = ""
     inner = "select path from crowded"
     if policy == "all_children":
@@ -250,10 +281,10 @@ def _sql_leaves(t: str, dims: int = 2, policy: str = "capacity") -> str:
                    select path || d from g, digits, width where pow(2.0::double, -length(path)-1) > w)
                  select path from g, width where pow(2.0::double, -length(path)) > w),"""
         inner = "select path from crowded union select path from wide"
-    return f"""tp as (select *, {_sql_path(dims)} as full_path from {_sql_points(t, dims)}),
+    return f"""tp as (select *, {_sql_path(dims, depth)} as full_path from {_sql_points(t, dims)}),
     digits(d) as (values {digits}),
     pre as (select substr(full_path, 1, cast(s.depth as int)) as path, count(*) as n_sample
-            from tp, range(0, {DEPTH + 1}) s(depth) group by 1),
+            from tp, range(0, {depth + 1}) s(depth) group by 1),
     crowded as ({first}),{extra}
     inner_nodes as ({inner}),
     leaves as (select n.path, length(n.path) as depth, coalesce(pre.n_sample, 0) as n_sample
@@ -502,11 +533,105 @@ def _format_wide(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _run_report(spark: SparkSession, sf: str) -> DataFrame:
-    t = _points(spark, sf, "t")
+    """The report's phases with the rows each has made."""
+    q, t = _points(spark, sf, "q"), _points(spark, sf, "t")
     cells = nf.cell_histogram(nf.assign_grid(t, N))
-    return nf.run_report(
-        spark, {"k": K, "n": N}, {"points": (t.count(), 0.0), "cells": (cells.count(), 0.0)}
+    phases = {"points": t, "cells": cells, "own cell": nf.local_knn(q, t, K, n=N)}
+    counted = {name: (rows.count(), 0.0) for name, rows in phases.items()}
+    return nf.run_report(spark, {"k": K, "n": N}, counted).select("step", "phase", "n_rows")
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{staging_folder(spark)}/nearfield/queries/{uuid.uuid4().hex}/{name}"
+
+
+def _as_text(points: DataFrame, dims: int) -> DataFrame:
+    columns = [F.col(c).cast("string") for c in ("id", *axes_of(dims))]
+    return points.select(F.concat_ws("\t", *columns).alias("value"))
+
+
+def _read_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Points written as text lines and read again."""
+    path = _scratch(spark, "points")
+    _as_text(_points(spark, sf, "t", 3), 3).write.text(path)
+    return nf.read_points(spark, path, 3, partitions=3)
+
+
+def _malformed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every tenth line loses its last field or holds a word; these and no others are reported."""
+    path = _scratch(spark, "lines")
+    points = _points(spark, sf, "t")
+    line = F.when(F.col("id") % 10 == 0, F.concat_ws("\t", F.col("id"), F.col("x")))
+    line = line.when(F.col("id") % 10 == 5, F.concat_ws("\t", F.col("id"), F.lit("x"), F.col("y")))
+    whole = F.concat_ws("\t", F.col("id"), F.col("x"), F.col("y"))
+    points.select(line.otherwise(whole).alias("value")).write.text(path)
+    bad = nf.validate_points(nf.read_points(spark, path, on_error="keep").cache()).bad
+    return bad.select(F.split("bad_line", "\t")[0].cast("bigint").alias("id"), "reason")
+
+
+def _written_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    path = _scratch(spark, "leaves")
+    nf.write_leaves(_leaves(spark, sf), path)
+    return nf.read_leaves(spark, path)
+
+
+def _sample_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a sample of the orders is a part of them, of about the share asked for."""
+    points = _points(spark, sf, "o")
+    sample = nf.sample_points(points, 10, seed=1)
+    facts = points.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(1).alias("one"))
+    strange = sample.join(points, ["id", "x", "y"], "left_anti")
+    seen = sample.agg(F.count(F.lit(1)).alias("m")).select("m", F.lit(1).alias("one"))
+    odd = strange.agg(F.count(F.lit(1)).alias("s")).select("s", F.lit(1).alias("one"))
+    both = facts.join(seen, "one").join(odd, "one")
+    # Five standard deviations of a binomial count.
+    near = F.abs(F.col("m") - 0.1 * F.col("n")) <= 5 * F.sqrt(0.09 * F.col("n"))
+    return both.select((F.col("s") == 0).alias("all_known"), near.alias("about_a_tenth"))
+
+
+def _two_phase(tree: bool):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        q, t = _points(spark, sf, "q"), _points(spark, sf, "t_skewed" if tree else "t")
+        where = {"leaves": _leaves(spark, sf)} if tree else {"n": N}
+        return nf.two_phase_join(q, t, K, **where)
+
+    return run
+
+
+def _inferred_3d(spark: SparkSession, sf: str) -> DataFrame:
+    return nf.aknn_join(_points(spark, sf, "q", 3), _points(spark, sf, "t", 3), K)
+
+
+def _estimate_empty(spark: SparkSession, sf: str) -> DataFrame:
+    """Radius guesses also of queries whose own cell is empty, from half a cell's width."""
+    q = _points(spark, sf, "q").select(F.col("id").alias("qid"))
+    lists = _local("bf", n=60)(spark, sf).groupBy("qid").agg(
+        F.count(F.lit(1)).alias("found"), F.max("dist").alias("r")
     )
+    every = q.join(lists, "qid", "left").select(
+        "qid", F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("r", F.lit(1 / 120)).alias("r")
+    )
+    guess = estimate_radius(F.col("found"), K, F.col("r"), 2)
+    return every.select("qid", "found", guess.alias("guess"))
+
+
+def _tight_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    return nf.build_leaves(_points(spark, sf, "tight"), capacity=CAPACITY)
+
+
+def ready(spark: SparkSession) -> None:
+    """On a local master without a checkpoint folder, stage tables in a scratch folder."""
+    local = re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", ""))
+    if local and not any(spark.conf.get(s, None) for s in ("spark.checkpoint.dir", FOLDER_SETTING)):
+        spark.conf.set(FOLDER_SETTING, tempfile.mkdtemp(prefix="nearfield-"))
+
+
+def _prepared(query: Callable[[SparkSession, str], DataFrame]):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        ready(spark)
+        return query(spark, sf)
+
+    return run
 
 
 def _optional() -> list:
@@ -519,6 +644,7 @@ def _optional() -> list:
 
 def entry(spark: SparkSession) -> DataFrame:
     """The 10 parts nearest to every customer."""
+    ready(spark)
     return _aknn("q", "t")(spark, SMALL_SF)
 
 
@@ -530,7 +656,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "validate_bad_rows": _validate,
         "validate_duplicate_ids": _duplicates,
         "normalize_points": lambda s, sf: nf.normalize_points(_points(s, sf, "money")),
-        "sample_points": lambda s, sf: nf.sample_points(_points(s, sf, "t"), 10, seed=1),
+        "sample_points": _sample_facts,
+        "read_points": _read_points,
+        "read_points_malformed": _malformed,
         "distance_2d": _pair_measure(distance, "dist", 2),
         "distance_3d": _pair_measure(distance, "dist", 3),
         "sq_distance": _pair_measure(sq_distance, "sq_dist", 2),
@@ -538,11 +666,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "x_distance": _pair_measure(x_distance, "x_dist", 2),
         "box_distances": _box_distances,
         "estimate_radius": _estimate,
+        "estimate_radius_empty": _estimate_empty,
         "grid_assign_2d": _grid_assign(2, 50),
         "grid_assign_3d": _grid_assign(3, 20),
         "grid_decode": _grid_decode,
         "grid_bounds": _grid_bounds,
         "cell_histogram": _cell_histogram,
+        "occupied_count": lambda s, sf: _cell_histogram(s, sf).agg(
+            F.count(F.lit(1)).alias("n_cells"), F.sum("n").alias("n_points")
+        ),
         "tree_histogram": _tree_histogram,
         "cells_with_queries": _cells_with_queries,
         "range_cells_grid": _range_cells(2, 20, 0.08),
@@ -557,7 +689,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "local_knn_tree": _local("ps", tree=True),
         "overlaps_grid": _overlaps,
         "overlaps_grid_fine": lambda s, sf: _overlaps(s, sf, 40),
+        "overlaps_grid_3d": lambda s, sf: nf.overlaps_grid(
+            _points(s, sf, "q", 3), _points(s, sf, "t", 3), K, 4
+        ),
         "overlaps_tree": _overlaps_tree,
+        "aknn_two_phase": _two_phase(False),
+        "aknn_two_phase_tree": _two_phase(True),
+        "range_cells_wide": _range_cells(2, N, 50.0),
         "completeness": _completeness,
         "merge_topk": _merge,
         "aknn_default_n": _aknn("q", "t"),
@@ -568,11 +706,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "aknn_skewed": _aknn("q", "t_skewed", partitioning="qt", method="ps"),
         "aknn_piled": _aknn("q", "piled", n=50),
         "aknn_repeated_ids": _aknn("q", "repeated"),
+        "aknn_repeated_queries": _aknn("repeated", "few", k=5),
+        "aknn_outlier": _aknn("q", "outlier"),
+        "aknn_inferred_3d": _inferred_3d,
         "aknn_vectors": _aknn("vectors", "vectors", dims=3, partitioning="qt"),
         "leaves_capacity": _leaves,
         "leaves_capacity_3d": lambda s, sf: _leaves(s, sf, 3),
         "leaves_all_children": lambda s, sf: _leaves(s, sf, policy="all_children"),
         "leaves_avg_width": lambda s, sf: _leaves(s, sf, policy="avg_width"),
+        "leaves_all_children_3d": lambda s, sf: _leaves(s, sf, 3, "all_children"),
+        "leaves_avg_width_3d": lambda s, sf: _leaves(s, sf, 3, "avg_width"),
+        "leaves_tight_cluster": _tight_leaves,
+        "leaves_written": _written_leaves,
         "mean_leaf_width": lambda s, sf: nf.mean_leaf_width(_leaves(s, sf)),
         "tree_assign_2d": _tree_assign(2),
         "tree_assign_3d": _tree_assign(3),
@@ -593,7 +738,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                 )
     for module in _optional():
         out.update(module.queries())
-    return out
+    return {name: _prepared(query) for name, query in out.items()}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -684,7 +829,39 @@ def oracle_sql() -> dict[str, str]:
         "aknn_skewed": _sql_aknn("q", "t_skewed"),
         "aknn_piled": _sql_aknn("q", "piled"),
         "aknn_repeated_ids": _sql_aknn("q", "repeated"),
+        "aknn_repeated_queries": _aknn("repeated", "few", k=5),
+        "aknn_outlier": _aknn("q", "outlier"),
+        "aknn_inferred_3d": _inferred_3d,
+        "aknn_repeated_queries": _sql_aknn("repeated", "few", k=5),
+        "aknn_outlier": _sql_aknn("q", "outlier"),
+        "aknn_inferred_3d": _sql_aknn("q", "t", 3),
+        "aknn_two_phase": _sql_aknn("q", "t"),
+        "aknn_two_phase_tree": _sql_aknn("q", "t_skewed"),
         "aknn_vectors": _sql_aknn("vectors", "vectors", 3),
+        "sample_points": "select true as all_known, true as about_a_tenth",
+        "read_points": f"select * from {_sql_points('t', 3)}",
+        "read_points_malformed": f"""select id, 'malformed line' as reason from {_sql_points("t")}
+            where id % 10 in (0, 5)""",
+        "estimate_radius_empty": f"""with {_sql_cells("q", "t", 60)}, {_sql_local()},
+            f as (select qid, count(*) as found, max(dist) as r from local group by qid),
+            e as (select q.id as qid, coalesce(found, 0) as found,
+                  coalesce(r, cast({1 / 120!r} as double)) as r from q left join f on f.qid = q.id)
+            select qid, found, case when found > 0 then sqrt(cast({K} as double)/found)*r
+                else cast(1.2 as double)*sqrt(cast({K} as double))*r end as guess from e""",
+        "occupied_count": f"""with {_sql_cells("q", "t", 50)}
+            select count(distinct cell) as n_cells, count(*) as n_points from tc""",
+        "range_cells_wide": f"""with {cells}, b as {_sql_boxes(N)}
+            select q.id as qid, b.cell from q cross join b""",
+        "overlaps_grid_3d": f"""with {_sql_cells("q", "t", 4, 3)}, {_sql_local(3)},
+            boxes as {_sql_boxes(4, 3)}, {_sql_overlaps(1 / 4, 3)}
+            select qid, cell, complete from overlap""",
+        "leaves_tight_cluster": f"""with {_sql_leaves("tight", depth=32)}
+            select {leaf_row.format(_sql_bounds(2, 32))} from leaves""",
+        "leaves_written": f"with {leaves} select {leaf_row.format(_sql_bounds(2))} from leaves",
+        "run_report": f"""with {cells}, {_sql_local()}
+            select 1 as step, 'points' as phase, (select count(*) from t) as n_rows union all
+            select 2, 'cells', (select count(distinct cell) from tc) union all
+            select 3, 'own cell', (select count(*) from local)""",
         "leaves_capacity": f"with {leaves} select {leaf_row.format(_sql_bounds(2))} from leaves",
         "leaves_capacity_3d": f"""with {leaves_3d}
             select {leaf_row.format(_sql_bounds(3))} from leaves""",
@@ -717,8 +894,9 @@ def oracle_sql() -> dict[str, str]:
         out[name] = f"""with {_sql_leaves("t_skewed", dims)}, {_sql_assign("q", "qc", dims)}
             select id, cell from qc"""
     for policy in ("all_children", "avg_width"):
-        out[f"leaves_{policy}"] = f"""with {_sql_leaves("t_skewed", 2, policy)}
-            select {leaf_row.format(_sql_bounds(2))} from leaves"""
+        for dims, name in ((2, f"leaves_{policy}"), (3, f"leaves_{policy}_3d")):
+            out[name] = f"""with {_sql_leaves("t_skewed", dims, policy)}
+                select {leaf_row.format(_sql_bounds(dims))} from leaves"""
     for method in ("bf", "ps"):
         out[f"local_knn_{method}"] = f"""with {cells}, {_sql_local()}
             select qid, rank, tid, dist from local"""

@@ -24,8 +24,11 @@ from nearfield.plans.overlaps import (
     occupied_cells,
     overlaps_grid,
     overlaps_tree,
+    probe_overlaps,
     range_cells,
+    two_phase_join,
 )
+from nearfield.plans.staging import drop_staged
 from nearfield.plans.within import radius_join
 from nearfield.session import configure
 from nearfield.sources.points import (
@@ -48,6 +51,7 @@ __all__ = [
     "completeness",
     "configure",
     "count_points",
+    "drop_staged",
     "format_wide",
     "infer_dims",
     "internal_nodes",
@@ -60,6 +64,7 @@ __all__ = [
     "overlaps_grid",
     "overlaps_tree",
     "preview",
+    "probe_overlaps",
     "radius_join",
     "range_cells",
     "read_leaves",
@@ -67,6 +72,7 @@ __all__ = [
     "run_report",
     "sample_points",
     "topk",
+    "two_phase_join",
     "tree_nodes",
     "tree_stats",
     "tree_string",

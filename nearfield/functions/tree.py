@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.geometry import AXES, axes_of
 
-MAX_DEPTH = 24
+# Cells of the unit box can be halved so often before coordinates run out of bits.
+MAX_DEPTH = 50
+_HALF = 25  # digits that fit a decimal number with room for carries
 
 # Child digits. 0 = NW, 1 = NE, 2 = SW, 3 = SE on the floor (or in 2D);
 # 4 to 7 are the same four on the ceiling. Each string holds, for digits 0 to 7 in order,
@@ -80,11 +82,17 @@ def tree_cell(index: Sequence[Column], depth: Column) -> Column:
     """
 
     def digits(bits: Column) -> Column:
-        return bits.cast("decimal(30,0)")
-
-    ones = F.when(depth > 0, F.repeat(F.lit("1"), depth)).otherwise(F.lit("0"))
-    code = digits(F.bin(index[0])) + 2 * (digits(ones) - digits(F.bin(index[1])))
-    if len(index) == 3:
-        code = code + 4 * digits(F.bin(index[2]))
-    text = F.lpad(code.cast("string"), MAX_DEPTH + 6, "0")
-    return F.when(depth > 0, F.right(text, depth)).otherwise(F.lit(""))
+        return F.bin(bits).cast("decimal(30,0)")
+
+    ones = F.lit("1" * _HALF).cast("decimal(30,0)")
+
+    def half(part: Sequence[Column]) -> Column:
+        code = digits(part[0]) + 2 * (ones - digits(part[1]))
+        if len(part) == 3:
+            code = code + 4 * digits(part[2])
+        return F.lpad(code.cast("string"), _HALF, "0")
+
+    # Digits above the depth are those of cells around the unit box; they are cut off.
+    high = half([F.shiftright(i, _HALF) for i in index])
+    low = half([i.bitwiseAND(F.lit((1 << _HALF) - 1)) for i in index])
+    return F.when(depth > 0, F.right(F.concat(high, low), depth)).otherwise(F.lit(""))

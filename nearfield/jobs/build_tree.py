@@ -9,7 +9,7 @@ import argparse
 from collections.abc import Sequence
 
 from nearfield.jobs.session import job_session
-from nearfield.operators.leaves import DEFAULT_DEPTH, build_leaves, tree_stats, write_leaves
+from nearfield.operators.leaves import build_leaves, tree_stats, write_leaves
 from nearfield.sources.points import read_points, sample_points
 
 # Numbers of the splitting policies.
@@ -25,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     args.add_argument("--type", type=int, choices=sorted(TYPES), default=1, help=str(TYPES))
     args.add_argument("--avg-width", type=float, help="width for type 3 instead of the mean")
     args.add_argument("--dims", type=int, choices=(2, 3), default=2)
-    args.add_argument("--max-depth", type=int, default=DEFAULT_DEPTH)
+    args.add_argument("--max-depth", type=int, help="as deep as needed if left out")
     args.add_argument("--sep", default="\t")
     args.add_argument("--seed", type=int)
     args.add_argument("--partitions", type=int)

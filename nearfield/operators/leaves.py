@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions.geometry import axes_of
-from nearfield.functions.tree import bound_columns, check_depth, tree_path
+from nearfield.functions.tree import MAX_DEPTH, bound_columns, check_depth, tree_path
 
-DEFAULT_DEPTH = 16
+# Depth that is counted first; if nodes there are still crowded, counting goes on further down.
+FIRST_DEPTH = 16
+# Nodes that avg_width may ask for, and nodes of a tree that may become one string.
+WIDEST = 1 << 24
+LONGEST_STRING = 10_000_000
 POLICIES = ("capacity", "all_children", "avg_width")
 
 
@@ -22,20 +26,23 @@ def build_leaves(
     capacity: int,
     dims: int = 2,
     policy: str = "capacity",
-    max_depth: int = DEFAULT_DEPTH,
+    max_depth: int | None = None,
     avg_width: float | None = None,
 ) -> DataFrame:
     """Leaves of the tree that splits nodes with more than ``capacity`` sample points.
 
     ``all_children`` also splits the siblings of a split node. ``avg_width`` also splits nodes
     wider than ``avg_width``, by default the mean of the distinct leaf widths of the
-    ``capacity`` tree. No node below ``max_depth`` is made, so a pile of points on one
-    position ends there. Points outside the unit box are not counted.
+    ``capacity`` tree. Nodes are split until they hold no more than ``capacity`` points or all
+    theirs share one position; ``max_depth`` ends that sooner. Points outside the unit box are not
+    counted.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}, not {policy!r}")
     if capacity < 1:
         raise ValueError(f"capacity must be at least 1, not {capacity!r}")
+    if max_depth is None:
+        max_depth = needed_depth(sample, dims, capacity)
     counts = prefix_counts(sample, dims, max_depth)
     inner = _crowded(counts, capacity, max_depth)
     if policy == "all_children":
@@ -50,12 +57,36 @@ def build_leaves(
     return _leaves_under(inner, counts, dims)
 
 
+def needed_depth(sample: DataFrame, dims: int, capacity: int) -> int:
+    """``FIRST_DEPTH`` or the multiple of it at which only piles are still crowded."""
+    axes, depth = axes_of(dims), FIRST_DEPTH
+    apart = None
+    for a in axes:
+        here = F.max(a) > F.min(a)
+        apart = here if apart is None else apart | here
+    inside = _in_unit_box(dims)
+    while depth < MAX_DEPTH:
+        node = tree_path([F.col(a) for a in axes], depth).alias("node")
+        nodes = sample.filter(inside).groupBy(node).agg(
+            F.count(F.lit(1)).alias("n"), apart.alias("apart")
+        )
+        if nodes.filter(F.col("apart") & (F.col("n") > capacity)).isEmpty():
+            break
+        depth = min(MAX_DEPTH, depth + FIRST_DEPTH)
+    return depth
+
+
+def _in_unit_box(dims: int):
+    inside = F.lit(True)
+    for a in axes_of(dims):
+        inside = inside & (F.col(a) >= 0) & (F.col(a) < 1)
+    return inside
+
+
 def prefix_counts(sample: DataFrame, dims: int, max_depth: int) -> DataFrame:
     """Sample points per path prefix: ``(path, n_sample)`` for every occupied node."""
     axes = axes_of(dims)
-    inside = F.lit(True)
-    for a in axes:
-        inside = inside & (F.col(a) >= 0) & (F.col(a) < 1)
+    inside = _in_unit_box(dims)
     full = tree_path([F.col(a) for a in axes], check_depth(max_depth))
     deepest = sample.filter(inside).groupBy(full.alias("full")).agg(F.count(F.lit(1)).alias("n"))
     depth = F.explode(F.sequence(F.lit(0), F.lit(max_depth)))
@@ -91,6 +122,8 @@ def _with_siblings(inner: DataFrame, dims: int) -> DataFrame:
 def wide_nodes(spark: SparkSession, avg_width: float, dims: int, max_depth: int) -> DataFrame:
     """Paths of all nodes wider than ``avg_width`` and above ``max_depth``."""
     depths = [d for d in range(max_depth) if 2.0**-d > avg_width]
+    if sum(2 ** (dims * d) for d in depths) > WIDEST:
+        raise ValueError(f"avg_width={avg_width!r} asks for more than {WIDEST} nodes")
     if not depths:
         return spark.createDataFrame([], "path string")
     levels = None
@@ -162,7 +195,13 @@ def tree_nodes(leaves: DataFrame) -> DataFrame:
 
 
 def tree_string(leaves: DataFrame) -> DataFrame:
-    """The depth-first string of marks, for a tree small enough to be one value."""
+    """The depth-first string of marks, one value; ``tree_nodes`` has the same marks as rows.
+
+    A tree of more than ``LONGEST_STRING`` nodes is an error.
+    """
+    facts = tree_stats(leaves).first()
+    if facts.n_leaves + facts.n_internal > LONGEST_STRING:
+        raise ValueError(f"the tree has more than {LONGEST_STRING} nodes; use tree_nodes")
     nodes = tree_nodes(leaves).agg(F.sort_array(F.collect_list(F.struct("path", "mark"))).alias("a"))
     return nodes.select(
         F.array_join(F.transform("a", lambda node: node["mark"]), "").alias("tree")

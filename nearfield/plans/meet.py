@@ -50,7 +50,7 @@ def tile_candidates(
 ) -> Candidates:
     dims = queries.dims
     q_keys, t_keys = key_names(dims, "q_"), key_names(dims, "t_")
-    base = min(queries.level_counts)
+    base = min(queries.levels)
     single = F.col("q_lvl") == POINT
     nodes, facts = stage.save_with(
         _tiled_nodes(pairs, queries, dims),
@@ -233,7 +233,7 @@ def _members(
     if found.pile_count or found.tile_count > LEAF_TILES:
         leaves, facts = _wanted_leaves(stage, found, training, k)
         levels, size, crowded = facts["levels"], facts["leaves"], facts["crowded"]
-        levels = masked_levels(levels, min(training.level_counts))
+        levels = masked_levels(levels, min(training.levels))
     else:
         leaves, levels, size = training.leaves, training.leaf_levels, training.leaf_count
     spread = training.place(t, leaves, levels, size)
@@ -290,7 +290,7 @@ def _wanted_leaves(
     return stage.save_with(
         wanted.withColumnsRenamed({f"t_{c}": c for c in [*keys, *box_names(dims), "rows"]}),
         "wanted-leaves",
-        level_mask(F.col("lvl"), min(training.level_counts)).alias("levels"),
+        level_mask(F.col("lvl"), min(training.levels)).alias("levels"),
         F.count(F.lit(1)).alias("leaves"),
         F.count_if("crowded").alias("crowded"),
     )

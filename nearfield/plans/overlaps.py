@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.functions.geometry import axes_of, box_min_dist
+from nearfield.functions.geometry import axes_of, box_min_dist, distance, point
 from nearfield.functions.grid import check_n, grid_decode
 from nearfield.functions.tree import axis_index, tree_cell
 from nearfield.operators.cells import assign_grid, assign_tree
-from nearfield.operators.neighbors import check_k, local_radius
+from nearfield.operators.neighbors import check_k, local_radius, merge_topk, topk
 from nearfield.plans.aknn import (
     QUERY_CAPACITY,
     plain_points,
@@ -87,8 +87,15 @@ def range_cells(
     # Level at which one cell spans the whole unit domain.
     coarsest = 0 if n is None else -(check_n(n) - 1).bit_length()
     facts = cells.agg(
-        F.collect_set("lvl").alias("depths"), F.count(F.lit(1)).alias("cells")
+        F.collect_set("lvl").alias("depths"),
+        F.count(F.lit(1)).alias("cells"),
+        *[F.min(f"lo_{a}").alias(f"lo_{a}") for a in axes],
+        *[F.max(f"hi_{a}").alias(f"hi_{a}") for a in axes],
     ).first()
+    if not facts.cells:
+        return q.sparkSession.createDataFrame([], "qid bigint, cell string").select(
+            "qid", F.col("cell").cast(cells.schema["cell"].dataType)
+        )
     depths = sorted(facts.depths) or [0]
     fit = F.floor(F.log2(F.lit(width) / F.col("r")))
     own = F.when(F.col("r") > 0, F.least(F.lit(depths[-1]), fit)).otherwise(F.lit(depths[-1]))
@@ -101,9 +108,12 @@ def range_cells(
     )
     pad = F.col("r") * (1.0 + 1e-12) + F.lit(1e-9 * width)
     for a in axes:
-        first = cell_coord(F.col(a) - pad, width, F.col("lvl"))
-        last = cell_coord(F.col(a) + pad, width, F.col("lvl"))
-        look = look.withColumn(f"c{a}", F.explode(F.sequence(first, last)))
+        # No key beyond the occupied cells, however large the radius is.
+        least, most = F.lit(facts[f"lo_{a}"]), F.lit(facts[f"hi_{a}"])
+        first = cell_coord(F.greatest(F.col(a) - pad, least), width, F.col("lvl"))
+        last = cell_coord(F.least(F.col(a) + pad, most), width, F.col("lvl"))
+        keys_here = F.when(first <= last, F.sequence(first, last))
+        look = look.withColumn(f"c{a}", F.explode(keys_here))
     look = look.select(F.col("id").alias("qid"), *axes, "r", *keys)
     rest = ["cell", *box_names(dims)]
     itself = cells.select(*rest, *key_names(dims), F.lit(True).alias("wider"))
@@ -181,7 +191,7 @@ def _overlaps(
         dims,
         width,
         training.rows,
-        training.level_counts,
+        training.levels,
         training.leaf_count,
         training.leaf_levels,
     )
@@ -228,6 +238,60 @@ def _overlaps(
     )
 
 
+def probe_overlaps(
+    q: DataFrame,
+    t: DataFrame,
+    overlaps: DataFrame,
+    k: int,
+    *,
+    dims: int | None = None,
+    n: int | None = None,
+    leaves: DataFrame | None = None,
+) -> DataFrame:
+    """The second phase: the ``k`` nearest points in each query's overlap cells.
+
+    ``overlaps`` comes from ``overlaps_grid`` (give its ``n``) or ``overlaps_tree`` (its
+    ``leaves``). Queries that are complete have no row here. A query meets all points of its
+    cells; ``aknn_join`` splits crowded cells.
+    """
+    if (n is None) == (leaves is None):
+        raise ValueError("give either n or leaves")
+    dims = settle_dims(q, t, dims)
+    q, t = plain_points(q, dims, "q"), plain_points(t, dims, "t")
+    placed = assign_grid(t, n, dims) if leaves is None else assign_tree(t, leaves, dims)
+    names = lambda side: [F.col(a).alias(f"{side}{a}") for a in axes_of(dims)]
+    placed = placed.select("cell", F.col("id").alias("tid"), *names("t"))
+    asked = overlaps.filter(~F.col("complete")).select("qid", "cell")
+    asked = asked.join(q.select(F.col("id").alias("qid"), *names("q")), "qid")
+    met = asked.join(placed, "cell")
+    return topk(
+        met.select("qid", "tid", distance(point("q", dims), point("t", dims)).alias("dist")),
+        k,
+        distinct=True,
+    )
+
+
+def two_phase_join(
+    q: DataFrame,
+    t: DataFrame,
+    k: int,
+    *,
+    dims: int | None = None,
+    n: int | None = None,
+    leaves: DataFrame | None = None,
+) -> DataFrame:
+    """The all-k-nearest-neighbour join in two phases: own cell, then overlap cells, merged.
+
+    The rows are those of ``aknn_join`` (points outside a tree are left out).
+    """
+    stage = Stage(q.sparkSession)
+    if leaves is not None:
+        leaves = stage.save(leaves.select("path", "depth", "n_sample"), "leaves")
+    own = local_knn(q, t, k, dims=dims, n=n, leaves=leaves)
+    overlaps = _overlaps(q, t, k, dims, n=n, leaves=leaves)
+    return merge_topk(own, probe_overlaps(q, t, overlaps, k, dims=dims, n=n, leaves=leaves), k)
+
+
 def completeness(q: DataFrame, overlaps: DataFrame) -> DataFrame:
     """For every query whether its own cell already settles its list: ``(qid, complete)``."""
     done = overlaps.filter("complete").select("qid", "complete")

@@ -125,7 +125,7 @@ class Pyramid:
     dims: int
     width: float
     rows: int
-    level_counts: dict[int, int]
+    levels: tuple[int, ...]
     leaf_count: int
     leaf_levels: tuple[int, ...]
 
@@ -164,11 +164,11 @@ class Pyramid:
     def _directory_level(self) -> int:
         """Deepest level above which the pyramid has few nodes."""
         seen = 0
-        for level in sorted(self.level_counts):
-            seen += self.level_counts[level]
+        for row in self.nodes.groupBy("lvl").count().orderBy("lvl").collect():
+            seen += row["count"]
             if seen > HEAVY_KEYS:
-                return level - 1
-        return max(self.level_counts)
+                return row["lvl"] - 1
+        return max(self.levels)
 
     def assign(self, points: DataFrame) -> DataFrame:
         """Add the key of the leaf that holds each point."""
@@ -313,7 +313,7 @@ def build_pyramid(
             F.count_if("leaf").alias("leaves"),
             F.count_if(_stopped(dims, capacity, last)).alias("stopped"),
             level_mask(F.when(F.col("leaf"), F.col("lvl")), top).alias("leaf_levels"),
-            *[F.expr(f"count_if(lvl = {top + i}) as level_{i}") for i in range(LEVEL_RANGE + 1)],
+            level_mask(F.col("lvl"), top).alias("node_levels"),
         )
         parts.append(part)
         summaries.append(facts)
@@ -348,16 +348,16 @@ def build_pyramid(
     nodes = parts[0]
     for part in parts[1:]:
         nodes = nodes.unionByName(part)
-    counts = {
-        top + i: sum(facts[f"level_{i}"] for facts in summaries) for i in range(LEVEL_RANGE + 1)
-    }
-    levels = {v for facts in summaries for v in masked_levels(facts["leaf_levels"], top)}
+    levels, leaf_levels = (
+        tuple(sorted({v for facts in summaries for v in masked_levels(facts[name], top)}))
+        for name in ("node_levels", "leaf_levels")
+    )
     return Pyramid(
         nodes.drop("deepest"),
         dims,
         width,
         extent.rows,
-        {level: count for level, count in counts.items() if count},
+        levels,
         sum(facts["leaves"] for facts in summaries),
-        tuple(sorted(levels)),
+        leaf_levels,
     )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -14,20 +13,27 @@ BROADCAST_ROWS = 200_000
 # Keys that hold at least 1/HEAVY_KEYS of all rows: there can be no more than HEAVY_KEYS.
 HEAVY_KEYS = 50_000
 
-_local_folder: str | None = None
+# Where a session without a checkpoint folder keeps staged tables; never a default.
+FOLDER_SETTING = "spark.nearfield.staging.dir"
 
 
 def staging_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a scratch folder only on a local master."""
-    global _local_folder
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="nearfield-")
-    return _local_folder
+    """The shared folder named by ``spark.checkpoint.dir``, else by ``FOLDER_SETTING``."""
+    for setting in ("spark.checkpoint.dir", FOLDER_SETTING):
+        configured = spark.conf.get(setting, None)
+        if configured:
+            return configured.rstrip("/")
+    raise ValueError(f"set spark.checkpoint.dir or {FOLDER_SETTING} to a folder all executors share")
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete all staged tables below the session's folder; results not yet computed need them."""
+    _delete(spark, f"{staging_folder(spark)}/nearfield")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Stage:
@@ -37,6 +43,10 @@ class Stage:
         self.spark = spark
         self.folder = f"{staging_folder(spark)}/nearfield/{uuid.uuid4().hex}"
 
+    def drop(self) -> None:
+        """Delete this run's tables."""
+        _delete(self.spark, self.folder)
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         return self.save_with(df, name, F.count(F.lit(1)).alias("rows"))[0]
 
