@@ -14,7 +14,7 @@ from nearfield.functions.geometry import (
     x_distance,
 )
 from nearfield.functions.grid import grid_bounds, grid_cell, grid_decode, grid_index
-from nearfield.functions.tree import axis_index, path_bounds, tree_cell, tree_path
+from nearfield.functions.tree import MAX_DEPTH, axis_index, path_bounds, tree_cell, tree_path
 
 
 def lits(*values):
@@ -96,4 +96,4 @@ def test_bad_arguments():
     with pytest.raises(ValueError, match="n must"):
         grid_index(F.lit(0.5), 0)
     with pytest.raises(ValueError, match="depth"):
-        tree_path(lits(0, 0), 40)
+        tree_path(lits(0, 0), MAX_DEPTH + 1)
