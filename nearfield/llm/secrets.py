@@ -1,9 +1,14 @@
 """Secret scans: plain patterns, and structural confirmation of encoded keys and tokens.
 
-Three patterns find assignments, access keys and hex strings. On top of these, every base64 or hex
-run is decoded and reported only if its bytes parse: a DER key (nested lengths must fill their
-parents exactly), an SSH key (length-prefixed fields), or a signed token whose header is a JSON
-object that names its algorithm.
+Three patterns find assignments, access keys and hex strings. On top of these, base64 and hex are
+decoded and reported only if the bytes parse: a DER key (nested lengths must fill their parents
+exactly), an SSH key (length-prefixed fields), or a signed token whose header is a JSON object that
+names its algorithm.
+
+Lines are joined before decoding, whether they end in a line break or in an escaped one, and a key may
+begin at any character that can begin one, so what is glued in front does not hide it. A DER key and an
+OpenSSH container end where their lengths say; another SSH key has to end where its line does. Other
+well-formed DER, such as a certificate, is passed over as a whole.
 
 Null and empty texts have no spans. Overlapping spans of different kinds are all reported. Positions
 are code points, ends exclusive. Repeated rows are scanned alike; extra columns are ignored by
@@ -17,7 +22,8 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,41 +44,56 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
+# What may part the lines of one key: line breaks, escaped ones, and the backslash of an escaped slash.
+_WRAP = r"(?:[ \t]*+(?:(?:\r?\n|\r|(?:\\++r)?\\++n)[ \t]*+){1,2}+|\\++(?=/))"
+_GAP = re.compile(_WRAP)
+_LEAST_CHARS = 24
 _SIGNED = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 _ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY|[A-Z0-9 ]*PUBLIC KEY)-----")
 _HINTS = ("passw", "secret", "token", "api")
 
 _SEQUENCE, _INTEGER, _BITS, _OCTETS, _OID = 0x30, 0x02, 0x03, 0x04, 0x06
+_MOST_ITEMS = 64  # several times what any key holds; keeps the work on hostile texts linear
+_CONTAINER = b"openssh-key-v1\0"
+# Fields of an SSH key after which it can end; two are the least of any.
+_SSH_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2}
+
+
+def _item(data: bytes, start: int, end: int) -> tuple[int, int, int] | None:
+    """The DER item (tag, start, end) at the start of ``data[start:end]``, else None."""
+    if end - start < 2:
+        return None
+    tag, size = data[start], data[start + 1]
+    start += 2
+    if size & 0x80:
+        width = size & 0x7F
+        if not 1 <= width <= 4 or end - start < width:
+            return None
+        size = int.from_bytes(data[start : start + width], "big")
+        start += width
+    return None if size > end - start else (tag, start, start + size)
 
 
 def _items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
     """DER items (tag, start, end) that fill ``data[start:end]`` exactly, else None."""
     found = []
     while start < end:
-        if end - start < 2:
+        item = _item(data, start, end)
+        if not item or len(found) == _MOST_ITEMS:
             return None
-        tag, size = data[start], data[start + 1]
-        start += 2
-        if size & 0x80:
-            width = size & 0x7F
-            if not 1 <= width <= 4 or end - start < width:
-                return None
-            size = int.from_bytes(data[start : start + width], "big")
-            start += width
-        if size > end - start:
-            return None
-        found.append((tag, start, start + size))
-        start += size
+        found.append(item)
+        start = item[2]
     return found
 
 
 def is_der_key(data: bytes) -> bool:
     """A SEQUENCE that holds what a private or public key holds, with all nested lengths right."""
-    outer = _items(data, 0, len(data))
-    if not outer or len(outer) != 1 or outer[0][0] != _SEQUENCE:
-        return False
-    inner = _items(data, *outer[0][1:])
+    outer = _item(data, 0, len(data))
+    return bool(outer) and outer[2] == len(data) and outer[0] == _SEQUENCE and _holds_key(data, *outer[1:])
+
+
+def _holds_key(data: bytes, start: int, end: int) -> bool:
+    inner = _items(data, start, end)
     if not inner:
         return False
     tags = [tag for tag, _, _ in inner]
@@ -90,7 +111,7 @@ def is_der_key(data: bytes) -> bool:
 
 def is_ssh_key(data: bytes) -> bool:
     """An OpenSSH private container, or length-prefixed fields that begin with a key type."""
-    if data.startswith(b"openssh-key-v1\0"):
+    if data.startswith(_CONTAINER):
         return True
     fields, at = [], 0
     while at < len(data):
@@ -112,16 +133,142 @@ def _base64(text: str) -> bytes | None:
         return None
 
 
-def _confirmed(run: str) -> str | None:
-    readings = [_base64(run)]
-    if len(run) % 2 == 0 and re.fullmatch("[0-9a-fA-F]+", run):
-        readings.append(bytes.fromhex(run))
-    for data in readings:
-        if data and is_der_key(data):
-            return "der"
-        if data and is_ssh_key(data):
-            return "ssh"
-    return None
+def _field_end(data: bytes, at: int) -> int | None:
+    """Where the length-prefixed field that begins at ``at`` ends, if it is all there."""
+    end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+    return end if at + 4 <= len(data) and end <= len(data) else None
+
+
+def _container_end(data: bytes, at: int) -> int | None:
+    """Where the OpenSSH container that begins at ``at`` ends, if it is all there."""
+    names = at = at + len(_CONTAINER)
+    for _ in range(3):  # cipher, key derivation and its options
+        if (at := _field_end(data, at)) is None:
+            return None
+    cipher = data[names + 4 : _field_end(data, names)]
+    keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    for _ in range(keys + 1):  # public keys, then the private ones
+        if (at := _field_end(data, at)) is None:
+            return None
+    return min(at + 16, len(data)) if b"gcm" in cipher or b"poly1305" in cipher else at  # a closing tag
+
+
+def _ssh_ends(data: bytes, at: int) -> Iterator[int]:
+    """Ends of fields at which an SSH key that begins at ``at`` can end."""
+    n, kind = 0, None
+    while (end := _field_end(data, at)) is not None:
+        kind = kind or data[at + 4 : end]
+        n, at = n + 1, end
+        if n == 1 and not kind.startswith((b"ssh-", b"ecdsa-", b"sk-")):
+            return
+        if n >= _SSH_FIELDS.get(kind, 2):
+            yield at
+
+
+class _Code:
+    """One way of writing bytes: ``chars`` characters for every ``size`` bytes.
+
+    ``begins`` finds where a key may begin in joined lines; ``hints`` finds the same in whole texts,
+    but needs fewer characters, as a line may end behind them.
+    """
+
+    def __init__(self, chars: int, size: int, letters: str, hints: str, begins: str, read: Callable):
+        self.chars, self.size, self.read = chars, size, read
+        self.hints, self.begins = re.compile(hints), re.compile(f"(?={begins})")
+        self.block = re.compile(f"[{letters}]++(?:{_WRAP}[{letters}]++)*+")
+
+    def length(self, size: int) -> int:
+        """Characters of so many bytes, without padding."""
+        return -(-size * self.chars // self.size)
+
+
+def _whole_groups(text: str) -> bytes:
+    return _base64(text if len(text) % 4 != 1 else text[:-1]) or b""
+
+
+# A SEQUENCE with its length, the OpenSSH container, and the length and begin of an SSH key's type.
+_CODES = (
+    _Code(
+        4, 3, "A-Za-z0-9+/_-", "M(?:[A-H]|I[E-T])|b3Bl|AAAA",
+        "M(?:[A-H]|I[E-T])|b3BlbnNzaC1rZXktdjEA|AAAA.(?:[HXn3]N(?:zaC|rL)|[GWm2]VjZHNhL)", _whole_groups,
+    ),
+    _Code(
+        2, 1, "0-9a-fA-F", "30(?:8[1-4]|[0-7][0-9a-fA-F])|6[fF]70|000000",
+        "30(?:8[1-4]|[0-7][0-9a-fA-F])|6[fF]70656[eE]7373682[dD]6[bB]65792[dD]763100"
+        "|000000..(?:7373682[dD]|65636473612[dD]|736[bB]2[dD])",
+        lambda text: bytes.fromhex(text[: len(text) & ~1]),
+    ),
+)
+
+
+def _key_at(data: bytes, at: int, ends: Callable[[int], int | None]) -> tuple[str | None, int] | None:
+    """The kind and end of the key that begins at ``at``; the kind is None for DER to be passed over.
+
+    ``ends(n)`` is where the line ends behind byte ``n``, if nothing of it is left there.
+    """
+    if data.startswith(_CONTAINER, at):
+        return "ssh", _container_end(data, at) or -1
+    if data[at] != _SEQUENCE:
+        return next((("ssh", end) for end in _ssh_ends(data, at) if ends(end)), None)
+    item = _item(data, at, len(data))
+    if not item or item[2] <= item[1] or data[item[1]] not in (_INTEGER, _SEQUENCE):
+        return None
+    if _holds_key(data, *item[1:]):
+        return "der", item[2]
+    return (None, item[2]) if item[1] - at > 2 and _items(data, *item[1:]) else None
+
+
+def _keys(text: str, code: _Code) -> Iterator[tuple[int, int, str]]:
+    at = 0
+    while hint := code.hints.search(text, at):
+        block = code.block.match(text, hint.start())
+        start, at = block.span()
+        if at - start >= _LEAST_CHARS:
+            yield from _keys_of(text, start, at, code)
+
+
+def _keys_of(text: str, start: int, end: int, code: _Code) -> Iterator[tuple[int, int, str]]:
+    """Keys in the lines ``text[start:end]``, which are joined first."""
+    gaps = [g.span() for g in _GAP.finditer(text, start, end)]
+    lines = list(zip([start, *(b for _, b in gaps)], [*(a for a, _ in gaps), end], strict=True))
+    joined = "".join(text[a:b] for a, b in lines)
+    first = [0]  # where each line begins in the joined ones
+    for a, b in lines:
+        first.append(first[-1] + b - a)
+    breaks = set(first)
+    place = lambda j: lines[k := bisect_right(first, j) - 1][0] + j - first[k]
+    read, done = {}, 0
+    for begin in code.begins.finditer(joined):
+        j = begin.start()
+        if j < done:
+            continue
+        shift = j % code.chars
+        if shift not in read:
+            read[shift] = code.read(joined[shift:])
+        data, byte = read[shift], j // code.chars * code.size
+        if byte >= len(data):
+            continue
+        key = _key_at(data, byte, lambda n, j=j, b=byte: j + code.length(n - b) in breaks)
+        if not key:
+            continue
+        kind, stop = key
+        if kind == "ssh" and data.startswith(_CONTAINER, byte):
+            # To the end of its line; one that is cut off takes all long lines that follow.
+            k = bisect_right(first, j) - 1
+            if stop > 0:
+                k = bisect_right(first, j + code.length(stop - byte) - 1) - 1
+            else:
+                k = max([k, *(i for i in range(k, len(lines)) if first[i + 1] - first[i] >= _LEAST_CHARS)])
+            last = first[k + 1]
+        else:
+            last = j + code.length(stop - byte)
+        if last - j < _LEAST_CHARS:
+            continue
+        done = last
+        if kind:
+            stop = place(last - 1) + 1
+            padding = len(text[stop : stop + 2]) - len(text[stop : stop + 2].lstrip("="))
+            yield place(j), stop + padding, kind
 
 
 def _is_signed_header(part: str) -> bool:
@@ -145,8 +292,8 @@ def _armoured(text: str) -> Iterator[tuple[int, int]]:
             if text.find("-----END ", at) < 0:
                 return
             continue
-        lines = text[begin.end() : end].split("\n")
-        body = "".join(x.strip() for x in lines if ":" not in x)
+        lines = _GAP.sub(lambda g: "\n" if g[0].strip("\\") else "", text[begin.end() : end]).split("\n")
+        body = "".join("".join(x.split()) for x in lines if ":" not in x)
         data = _base64(body)
         if data and (is_der_key(data) or is_ssh_key(data)):
             yield begin.start(), end + len(tail)
@@ -166,7 +313,7 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
     found += [(*m.span(), "hex") for m in _HEX.finditer(text)]
     if "-----BEGIN " in text:
         found += [(*span, "pem") for span in _armoured(text)]
-    found += [(*m.span(), kind) for m in _RUN.finditer(text) if (kind := _confirmed(m[0]))]
+    found += [span for code in _CODES for span in _keys(text, code)]
     if "eyJ" in text or "ey" in text:
         for m in _SIGNED.finditer(text):
             if _is_signed_header(m[0].split(".", 1)[0]):

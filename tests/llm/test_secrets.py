@@ -82,6 +82,40 @@ def test_structures_are_confirmed():
     assert kinds("-----BEGIN PRIVATE KEY-----" * 200) == []
 
 
+def container():
+    field = lambda x: struct.pack(">I", len(x)) + x
+    return b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + struct.pack(">I", 1) + field(ssh()) + field(b"p" * 140)
+
+
+def test_wrapped_escaped_and_glued_keys():
+    for data, kind in ((rsa_key(), "der"), (pkcs8(), "der"), (ssh(), "ssh"), (container(), "ssh")):
+        for body in (base64.b64encode(data).decode(), data.hex(), data.hex().upper()):
+            for width in (48, 64, 76):
+                for end in ("\n", "\r\n", "\n  ", "\\n", "\\r\\n", "\\\\n"):
+                    text = end.join(body[i : i + width] for i in range(0, len(body), width))
+                    for front, back in (("é the key:" + end, end + "Thanks a lot"), ("the key" + end, ""), ("/keys/", " b"), ("0x", ",")):
+                        want = (len(front), len(front) + len(text), kind)
+                        assert want in secrets.find_secrets(front + text + back), (front, text)
+    body = base64.b64encode(pkcs8()).decode()
+    for end in ("\n", "\r\n", "\\n", "\\r\\n", " "):
+        lines = end.join(body[i : i + 64] for i in range(0, len(body), 64))
+        armour = f"-----BEGIN PRIVATE KEY-----{end}{lines}{end}-----END PRIVATE KEY-----"
+        assert secrets.find_secrets('{"k": "' + armour + end + '"}')[0] == (7, 7 + len(armour), "pem")
+    slashes = base64.b64encode(der(0x30, der(2, b"\1"), der(4, b"\xff" * 32))).decode()
+    assert "/" in slashes and kinds(slashes.replace("/", "\\/")) == ["der"]
+    # A certificate holds a public key, but is none.
+    public = der(0x30, der(0x30, der(6, b"\x2a\x86\x48"), der(5)), der(3, b"\0" + b"q" * 100))
+    for pad in (1, 2, 3):
+        certificate = der(0x30, der(0x30, der(2, b"s" * pad), public), der(0x30, der(6, b"\x2a")), der(3, b"\0" * 70))
+        assert kinds(base64.b64encode(certificate).decode()) == []
+        assert kinds(base64.b64encode(public).decode() + "A" * pad) == ["der"]
+
+
+def test_long_hostile_texts():
+    for text in ("MIIE" * 50_000, "MIIEMA\n" * 50_000, "3082" * 50_000, "A" * 200_000, "MIIB\\n" * 50_000, "MI" + " " * 200_000, "\\" * 200_000):
+        assert kinds(text) in ([], ["hex"])
+
+
 def test_redaction(spark):
     rows = [(1, "a password=abcdefghijkl b", 25, "k"), (2, None, 7, "k"), (3, "clean", 5, "k"), (3, "clean", 5, "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, start string")
