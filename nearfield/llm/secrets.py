@@ -48,7 +48,10 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _WRAP = r"(?:[ \t]*+(?:(?:\r?\n|\r|(?:\\++r)?\\++n)[ \t]*+){1,2}+|\\++(?=/))"
 _GAP = re.compile(_WRAP)
 _LEAST_CHARS = 24
-_SIGNED = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+# An encoded brace, then a quote or white space.
+_BRACE = re.compile(r"e(?:y[A-DI-L]|w[k-r0-3])")
+_HEADER = re.compile(r"[A-Za-z0-9_-]{8,}+")
+_REST = re.compile(r"\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+")
 _ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY|[A-Z0-9 ]*PUBLIC KEY)-----")
 _HINTS = ("passw", "secret", "token", "api")
 
@@ -282,6 +285,39 @@ def _is_signed_header(part: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str)
 
 
+def _is_object(data: str, at: int) -> bool:
+    """Whether ``data`` is one JSON object from ``at`` on."""
+    try:
+        return not data[json.JSONDecoder().raw_decode(data, at)[1] :].strip()
+    except (ValueError, RecursionError):
+        return False
+
+
+def _signed(text: str) -> Iterator[tuple[int, int]]:
+    """Tokens whose header may begin anywhere in a dotted segment."""
+    end, rest, read, done = 0, None, {}, 0
+    for brace in _BRACE.finditer(text):
+        at = brace.start()
+        if at < done:
+            continue
+        if at >= end:
+            header = _HEADER.match(text, at)
+            if not header:
+                continue
+            end, read = header.end(), {}
+            rest = _REST.match(text, end)
+        if not rest:
+            continue
+        # Each of the four alignments of a segment is decoded once, whatever begins in it.
+        shift = (end - at) % 4
+        if shift not in read:
+            read[shift] = at, (_base64(text[at:end]) or b"").decode("latin-1")
+        first, data = read[shift]
+        if _is_object(data, (at - first) // 4 * 3) and _is_signed_header(text[at:end]):
+            done = rest.end()
+            yield at, done
+
+
 def _armoured(text: str) -> Iterator[tuple[int, int]]:
     at = 0
     while begin := _ARMOUR.search(text, at):
@@ -314,10 +350,7 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
     if "-----BEGIN " in text:
         found += [(*span, "pem") for span in _armoured(text)]
     found += [span for code in _CODES for span in _keys(text, code)]
-    if "eyJ" in text or "ey" in text:
-        for m in _SIGNED.finditer(text):
-            if _is_signed_header(m[0].split(".", 1)[0]):
-                found.append((*m.span(), "jwt"))
+    found += [(*span, "jwt") for span in _signed(text)]
     order = {kind: i for i, kind in enumerate(KINDS)}
     return sorted(found, key=lambda s: (s[0], order[s[2]], s[1]))
 

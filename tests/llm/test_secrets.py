@@ -111,6 +111,22 @@ def test_wrapped_escaped_and_glued_keys():
         assert kinds(base64.b64encode(public).decode() + "A" * pad) == ["der"]
 
 
+def test_signed_tokens_anywhere():
+    part = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    headers = [json.dumps({"alg": "HS256", "typ": "é"}, indent=i, ensure_ascii=False) for i in (None, 0, 2, "\t")]
+    headers += [headers[2].replace("\n", "\r\n"), '{ "alg":"none"}']
+    for header in headers:
+        for payload in ('{"sub":1}', '{\n"sub":1}'):
+            token = f"{part(header)}.{part(payload)}.c2lnbmF0dXJl"
+            for front in ("", "é ", "production.", "they.production.eyes.", "x.", "token-", "eyJhbGciOiJ.", "a" * 9 + ".bb."):
+                want = (len(front), len(front) + len(token), "jwt")
+                assert want in secrets.find_secrets(front + token + " y"), (front, token)
+        assert kinds(f"{part(header[:-1])}.{part('{}')}.c2ln") == []
+    two = " ".join([token, token])
+    assert [s[:2] for s in secrets.find_secrets(two)] == [(0, len(token)), (len(token) + 1, len(two))]
+    assert kinds("eyJ" * 60_000 + ".aa.bb") == kinds("eyJ9" * 60_000 + "fQ.aa.bb") == []
+
+
 def test_long_hostile_texts():
     for text in ("MIIE" * 50_000, "MIIEMA\n" * 50_000, "3082" * 50_000, "A" * 200_000, "MIIB\\n" * 50_000, "MI" + " " * 200_000, "\\" * 200_000):
         assert kinds(text) in ([], ["hex"])
