@@ -1,9 +1,11 @@
 """Near-duplicate classes: improved consistent weighted sampling over TF-IDF shingles.
 
 Texts are bags of five-word shingles. A shingle weighs its count times 1 + ln((1+N)/(1+df)) / ln(1+N),
-between 1 and 2, so edits to text that many documents share are not blown up. ``df`` is counted over
-the whole corpus in ``DF_BUCKETS`` hash buckets, so its size is fixed and only frequent shingles
-stand out.
+between 1 and 2, so edits to text that many documents share are not blown up. ``df`` is counted for
+every shingle over the whole corpus and staged. Links are decided by these exact counts, which are
+joined to the texts that have candidates. Samples only find candidates: they know the exact ``df`` of
+the ``FREQUENT`` most frequent shingles at most (those with at least 1/``FREQUENT`` of all rows, so no
+more can exist), which is broadcast, and take the rest as unique.
 
 1. Equal texts become one class; its smallest id stands for it from here on.
 2. ``BANDS * ROWS`` samples of every text are drawn; two texts agree in one with the probability of
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +44,10 @@ from nearfield.llm.steps import Steps
 THRESHOLD = 0.8
 BANDS = 16
 ROWS = 6
-DF_BUCKETS = 1 << 18
+FREQUENT = 1 << 18
+DF_BUCKETS = 1 << 18  # for counts of a few texts by hash, with which all pairs are compared
+PARTS = 1 << 12  # ranges of hashes that are counted apart
+HELD = 1 << 20  # hashes that a task gathers before it sends them
 TRIPLES = 1 << 16
 LEAST_AGREEMENT = 0.64
 BUCKET_ROWS = 4000
@@ -75,42 +81,146 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> _U(64 - DF_BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
-def document_counts(docs: DataFrame) -> np.ndarray:
-    """For each hash bucket, the number of texts with a shingle there; last, the number of texts."""
+def _packed(cut: np.ndarray, values: np.ndarray) -> pa.Array:
+    """``values[cut[i]:cut[i + 1]]`` as binary rows."""
+    offsets = (cut * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, hashes, counts, texts): document frequencies within some texts, by hash range."""
+    edges = np.arange(PARTS, dtype=_U) << _U(64 - PARTS.bit_length() + 1)
+    held, size, texts = [], 0, 0
+
+    def sums():
+        hashes, counts = np.unique(np.concatenate(held), return_counts=True)
+        cut = np.append(np.searchsorted(hashes, edges), len(hashes))
+        used = np.diff(cut) > 0
+        used[0] = True  # its row has the number of texts
+        seen = np.zeros(PARTS, dtype=np.int64)
+        seen[0] = texts
+        return pa.RecordBatch.from_pydict(
+            {
+                "part": pa.array(np.arange(PARTS, dtype=np.int32)),
+                "hashes": _packed(cut, hashes),
+                "counts": _packed(cut, counts.astype("<u4")),
+                "texts": pa.array(seen),
+            }
+        ).filter(pa.array(used))
+
+    for batch in batches:
+        for hashes, _ in _bags(batch.column("text")):
+            held.append(hashes)
+            size, texts = size + len(hashes), texts + 1
+            if size >= HELD:
+                yield sums()
+                held, size, texts = [], 0, 0
+    if held:
+        yield sums()
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the rows of each part, which come sorted by part; only shingles of several texts stay."""
+    place, held = None, []
+
+    def sums():
+        hashes = np.frombuffer(b"".join(r[0] for r in held), dtype=_U)
+        counts = np.frombuffer(b"".join(r[1] for r in held), dtype="<u4").astype(np.int64)
+        order = np.argsort(hashes)
+        hashes, counts = hashes[order], counts[order]
+        total = int(counts.sum())
+        if len(hashes):
+            starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+            hashes, counts = hashes[starts], np.add.reduceat(counts, starts)
+        often = counts > 1
+        return pa.RecordBatch.from_pydict(
+            {
+                "hashes": pa.array([hashes[often].tobytes()], pa.binary()),
+                "counts": pa.array([counts[often].tobytes()], pa.binary()),
+                "total": pa.array([total], pa.int64()),
+                "texts": pa.array([sum(r[2] for r in held)], pa.int64()),
+            }
+        )
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("part", "hashes", "counts", "texts")]
+        for part, *row in zip(*columns, strict=True):
+            if part != place and held:
+                yield sums()
+                held = []
+            place = part
+            held.append(row)
+    if held:
+        yield sums()
+
+
+def _unpacked(least: int, below: int | None):
+    """Rows (h, n) of the shingles whose document frequency is in the range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(DF_BUCKETS + 1, dtype=np.int64)
         for batch in batches:
-            for hashes, _ in _bags(batch.column("text")):
-                total[np.unique(_bucket(hashes))] += 1
-                total[-1] += 1
-        cell = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(cell), "n": pa.array(total[cell])})
-
-    out = np.zeros(DF_BUCKETS + 1, dtype=np.int64)
-    rows = docs.select("text").mapInArrow(run, "cell long, n long")
-    table = rows.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out[table["cell"].to_numpy(dtype=np.int64)] = table["n"].to_numpy(dtype=np.int64)
-    return out
+            for hashes, counts in zip(batch.column("hashes"), batch.column("counts"), strict=True):
+                h, n = (np.frombuffer(x.as_buffer(), dtype=np.int64) for x in (hashes, counts))
+                keep = n >= least if below is None else (n >= least) & (n < below)
+                yield pa.RecordBatch.from_pydict({"h": pa.array(h[keep]), "n": pa.array(n[keep])})
+
+    return run
+
+
+@dataclass
+class Frequencies:
+    """The number of texts, and the document frequencies of the most frequent shingles, by hash."""
+
+    texts: int
+    hashes: np.ndarray
+    counts: np.ndarray
+
+    def known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the shingles are among the most frequent, and the frequencies of all, else 1."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), dtype=bool), np.ones(len(hashes), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        found = self.hashes[at] == hashes
+        return found, np.where(found, self.counts[at], 1)
+
+
+def document_frequencies(docs: DataFrame, stage: Steps) -> tuple[Frequencies, DataFrame]:
+    """What is broadcast, and rows (h, n) of all other shingles that several texts have."""
+    rows = docs.select("text").mapInArrow(_ranges, "part int, hashes binary, counts binary, texts long")
+    rows = rows.repartition("part").sortWithinPartitions("part")
+    rows = rows.mapInArrow(_repeated, "hashes binary, counts binary, total long, texts long")
+    rows = stage.save(rows, "frequencies")
+    total, texts = rows.agg(F.sum("total"), F.sum("texts")).first()
+    limit = max(2, -(-(total or 0) // FREQUENT))
+    table = rows.mapInArrow(_unpacked(limit, None), "h long, n long").toArrow()
+    hashes = table["h"].to_numpy().view(_U)
+    order = np.argsort(hashes)
+    most = Frequencies(texts or 0, hashes[order], table["n"].to_numpy()[order])
+    return most, rows.mapInArrow(_unpacked(2, limit), "h long, n long")
+
+
+def inverse(frequency: np.ndarray, texts: int) -> np.ndarray:
+    """What one occurrence of a shingle weighs, by its document frequency."""
+    n = max(2.0, 1.0 + texts)
+    return (1 + np.log(n / (1 + np.minimum(frequency, n - 1))) / np.log(n)).astype(np.float32)
 
 
 def idf_table(counts: np.ndarray) -> np.ndarray:
-    n = max(2.0, 1.0 + counts[-1])
-    return (1 + np.log(n / (1 + np.minimum(counts[:-1], n - 1))) / np.log(n)).astype(np.float32)
+    return inverse(counts[:-1], counts[-1])
 
 
-def weights(hashes: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return counts.astype(np.float32) * idf[_bucket(hashes)]
+def similarity(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
+    """Weighted Jaccard similarity of distinct shingles with their weights."""
+    _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
+    wa, wb = wa.astype(np.float64), wb.astype(np.float64)
+    total, both = wa.sum() + wb.sum(), np.minimum(wa[ia], wb[ib]).sum()
+    return float(both / (total - both)) if total else 0.0
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
-    """Of two bags given as sorted hashes with repeats."""
+    """Of two bags given as sorted hashes with repeats, by an ``idf_table``."""
     (ha, na), (hb, nb) = (np.unique(x, return_counts=True) for x in (a, b))
-    _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    idf = idf.astype(np.float64)
-    total = (na * idf[_bucket(ha)]).sum() + (nb * idf[_bucket(hb)]).sum()
-    both = (np.minimum(na[ia], nb[ib]) * idf[_bucket(ha[ia])]).sum()
-    return float(both / (total - both)) if total else 0.0
+    return similarity(ha, na * idf[_bucket(ha)].astype(np.float64), hb, nb * idf[_bucket(hb)].astype(np.float64))
 
 
 # --- samples --------------------------------------------------------------------------
@@ -149,7 +259,7 @@ def band_keys(sample: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _signatures(idf):
+def _signatures(most):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
@@ -162,7 +272,8 @@ def _signatures(idf):
                 drawn = [None] * len(some)
                 if len(used):
                     hashes = np.concatenate([some[i][0] for i in used])
-                    weight = weights(hashes, np.concatenate([some[i][1] for i in used]), idf.value)
+                    weight = inverse(most.value.known(hashes)[1], most.value.texts)
+                    weight = np.concatenate([some[i][1] for i in used]).astype(np.float32) * weight
                     first = np.concatenate([[0], sizes[used].cumsum()])
                     for i, s in zip(used, samples(hashes, weight, first), strict=True):
                         drawn[i] = s.astype("<u4").tobytes()
@@ -203,48 +314,93 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row += len(part)
 
 
-def _verified(idf, threshold: float):
+def _asked(most):
+    """Rows (h, doc): the distinct shingles of each text whose frequency was not broadcast."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (
-                [np.frombuffer(x.as_buffer(), dtype=_U) for x in batch.column(c)] for c in ("bag_u", "bag_v")
+            for doc, bag in zip(batch.column("doc").to_pylist(), batch.column("bag"), strict=True):
+                hashes = np.unique(np.frombuffer(bag.as_buffer(), dtype=_U))
+                hashes = hashes[~most.value.known(hashes)[0]]
+                docs = np.full(len(hashes), doc, dtype=np.int64)
+                yield pa.RecordBatch.from_pydict({"h": pa.array(hashes.view(np.int64)), "doc": pa.array(docs)})
+
+    return run
+
+
+def _weighted(most):
+    """Distinct shingles of each text, sorted, and their weights by exact document frequencies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = {"hashes": [], "weights": []}
+            for bag, h, n in zip(*(batch.column(c) for c in ("bag", "h", "n")), strict=True):
+                hashes, counts = np.unique(np.frombuffer(bag.as_buffer(), dtype=_U), return_counts=True)
+                frequency = most.value.known(hashes)[1]
+                if h.is_valid:
+                    told = h.values.to_numpy().view(_U)
+                    frequency[np.searchsorted(hashes, told)] = n.values.to_numpy()
+                weight = counts.astype(np.float32) * inverse(frequency, most.value.texts)
+                rows["hashes"].append(hashes.tobytes())
+                rows["weights"].append(weight.tobytes())
+            yield pa.RecordBatch.from_pydict(
+                {"doc": batch.column("doc"), **{c: pa.array(x, pa.binary()) for c, x in rows.items()}}
             )
-            alike = [weighted_jaccard(x, y, idf.value) >= threshold for x, y in zip(a, b, strict=True)]
-            yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
 
     return run
 
 
-def _links(pairs: DataFrame, vectors: DataFrame, idf, threshold: float) -> DataFrame:
-    """The pairs (u, v) that are alike."""
-    u = vectors.select(F.col("doc").alias("u"), F.col("bag").alias("bag_u"))
-    v = vectors.select(F.col("doc").alias("v"), F.col("bag").alias("bag_v"))
-    rows = pairs.join(v, "v").join(u, "u").select("u", "v", "bag_u", "bag_v")
-    return rows.mapInArrow(_verified(idf, threshold), "u long, v long")
+def _with_weights(bags: DataFrame, others: DataFrame, most) -> DataFrame:
+    """Rows (doc, hashes, weights) of texts (doc, bag); ``others`` are the frequencies not broadcast.
 
+    A shingle among them is in fewer than 1/``FREQUENT`` of all rows, so no key of the join is heavy.
+    """
+    told = bags.mapInArrow(_asked(most), "h long, doc long").join(others, "h")
+    told = told.groupBy("doc").agg(F.collect_list(F.struct("h", "n")).alias("told"))
+    told = told.select("doc", F.col("told.h").alias("h"), F.col("told.n").alias("n"))
+    rows = bags.join(told, "doc", "left")
+    return rows.mapInArrow(_weighted(most), "doc long, hashes binary, weights binary")
 
-def _shares(idf):
-    """Rows (h, doc, w): the weight of every distinct shingle of each text."""
 
+def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"hashes_u": _U, "weights_u": "<f4", "hashes_v": _U, "weights_v": "<f4"}
         for batch in batches:
-            for doc, bag in zip(batch.column("doc").to_pylist(), batch.column("bag"), strict=True):
-                hashes, counts = np.unique(np.frombuffer(bag.as_buffer(), dtype=_U), return_counts=True)
-                weight = (counts * idf.value.astype(np.float64)[_bucket(hashes)]).astype(np.float32)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "h": pa.array(hashes.view(np.int64)),
-                        "doc": pa.array(np.full(len(hashes), doc, dtype=np.int64)),
-                        "w": pa.array(weight),
-                    }
-                )
+            columns = [[np.frombuffer(x.as_buffer(), dtype=k) for x in batch.column(c)] for c, k in kinds.items()]
+            alike = [similarity(*row) >= threshold for row in zip(*columns, strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
 
     return run
 
 
-def _shared_weights(vectors: DataFrame, docs: DataFrame, idf) -> DataFrame:
+def _links(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (u, v) that are alike."""
+    u, v = (
+        vectors.select(F.col("doc").alias(x), F.col("hashes").alias(f"hashes_{x}"), F.col("weights").alias(f"weights_{x}"))
+        for x in ("u", "v")
+    )
+    rows = pairs.join(v, "v").join(u, "u").select("u", "v", "hashes_u", "weights_u", "hashes_v", "weights_v")
+    return rows.mapInArrow(_verified(threshold), "u long, v long")
+
+
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, doc, w): the weight of every distinct shingle of each text."""
+    for batch in batches:
+        columns = (batch.column(c) for c in ("hashes", "weights"))
+        for doc, hashes, weight in zip(batch.column("doc").to_pylist(), *columns, strict=True):
+            h = np.frombuffer(hashes.as_buffer(), dtype=np.int64)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "h": pa.array(h),
+                    "doc": pa.array(np.full(len(h), doc, dtype=np.int64)),
+                    "w": pa.array(np.frombuffer(weight.as_buffer(), dtype="<f4")),
+                }
+            )
+
+
+def _shared_weights(vectors: DataFrame, docs: DataFrame) -> DataFrame:
     """Rows (doc, total, shared): a text's weight, and that of its shingles that others of ``docs`` have."""
-    parts = vectors.join(docs, "doc", "left_semi").mapInArrow(_shares(idf), "h long, doc long, w float")
+    parts = vectors.join(docs, "doc", "left_semi").mapInArrow(_shares, "h long, doc long, w float")
     kinds = parts.groupBy("h").agg(
         F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc"), F.min("w").alias("w")
     )
@@ -300,8 +456,8 @@ def _other_pairs(threshold: float):
 
 
 def _rest(
-    crowded: DataFrame, roots: DataFrame, samples_of: DataFrame, vectors: DataFrame, idf, threshold: float,
-    stage: Stage,
+    crowded: DataFrame, roots: DataFrame, samples_of: DataFrame, vectors: DataFrame, threshold: float,
+    stage: Steps,
 ) -> DataFrame:
     """Pairs between components that share a bucket, each text of all but the main one against all."""
     rows = crowded.join(roots, F.col("doc") == F.col("node"), "left")
@@ -313,7 +469,7 @@ def _rest(
         F.ceil(F.sum("n") / BUCKET_ROWS).cast("int").alias("parts"),
     )
     rows = stage.save(rows.join(mains.filter("kinds > 1"), "bucket"), "mixed")
-    facts = _shared_weights(vectors, rows.select("doc").distinct(), idf)
+    facts = _shared_weights(vectors, rows.select("doc").distinct())
     facts = samples_of.join(facts, "doc")
     loose = F.col("root") != F.col("main")
     mine = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
@@ -337,8 +493,9 @@ def near_duplicates(
     spark = docs.sparkSession
     stage = Steps(spark)
     rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
-    idf = spark.sparkContext.broadcast(idf_table(document_counts(rows)))
-    drawn = stage.save(rows.mapInArrow(_signatures(idf), "doc long, key binary, sample binary"), "samples")
+    most, others = document_frequencies(rows, stage)
+    most = spark.sparkContext.broadcast(most)
+    drawn = stage.save(rows.mapInArrow(_signatures(most), "doc long, key binary, sample binary"), "samples")
 
     # One document of each text, and of each id, stands for the rest.
     named = drawn.filter("doc is not null and sample is not null")
@@ -366,16 +523,17 @@ def near_duplicates(
     wanted = company.select(F.col("doc").alias("text_id")).join(texts.select("text_id", "key", "doc"), "text_id")
     whole = rows.join(wanted.select("text_id", "doc", "key"), "doc")
     whole = whole.select(F.col("text_id").alias("doc"), "key", "text")
-    vectors = stage.save(
+    bags = stage.save(
         whole.mapInArrow(_own_text, "doc long, text string")
         .mapInArrow(_vectors, "doc long, bag binary")
         .dropDuplicates(["doc"]),
-        "vectors",
+        "bags",
     )
-    links = stage.save(_links(stars, vectors, idf, threshold), "links")
+    vectors = stage.save(_with_weights(bags, others, most), "vectors")
+    links = stage.save(_links(stars, vectors, threshold), "links")
     roots = components(links, stage, "star")
-    rest = _rest(crowded.select("bucket", "doc"), roots, stands, vectors, idf, threshold, stage)
-    links = links.unionByName(stage.save(_links(rest, vectors, idf, threshold), "more"))
+    rest = _rest(crowded.select("bucket", "doc"), roots, stands, vectors, threshold, stage)
+    links = links.unionByName(stage.save(_links(rest, vectors, threshold), "more"))
 
     ids = texts.select("text_id", "doc")
     by_id = links.join(ids.withColumnsRenamed({"text_id": "u", "doc": "a"}), "u")

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm import components as graph
 from nearfield.llm import minhash
+from nearfield.llm.steps import Steps
 from nearfield.plans.staging import Stage
 
 
@@ -73,6 +76,51 @@ def test_same_as_all_pairs(spark, monkeypatch, crowd):
     assert run(spark, rows) == brute(rows)
 
 
+def exact(rows):
+    """Weights by document frequencies counted for every shingle, and similarities by them."""
+    bags = [dict(zip(*(x.tolist() for x in b), strict=True)) for b in minhash._bags(pa.array([t for _, t in rows]))]
+    df = Counter(h for b in bags for h in b)
+    n = 1 + len(rows)
+    weigh = {h: 1 + math.log(n / (1 + min(c, n - 1))) / math.log(n) for h, c in df.items()}
+
+    def alike(i, j):
+        low, high = (sum(f(bags[i].get(h, 0), bags[j].get(h, 0)) * weigh[h] for h in {**bags[i], **bags[j]}) for f in (min, max))
+        return low / high
+
+    return df, alike
+
+
+@pytest.mark.parametrize("frequent", [1 << 18, 40, 1])
+def test_frequencies_are_counted_for_every_shingle(spark, monkeypatch, frequent):
+    monkeypatch.setattr(minhash, "FREQUENT", frequent)
+    monkeypatch.setattr(minhash, "HELD", 500)
+    rnd = random.Random(7)
+    word = lambda: f"w{rnd.randrange(10**9)}"
+    many = [word() for _ in range(94)]  # 90 shingles that 300 texts share
+    rows = [(i, " ".join(many + [word() for _ in range(60)])) for i in range(298)]
+    rows += [(1000 + i, " ".join(many + [word() for _ in range(n)])) for i, n in enumerate((10, 10, 5, 5))]
+    # So many unique shingles that a table of hash buckets counts each of them several times.
+    rows += [(2000 + i, " ".join(word() for _ in range(4000))) for i in range(250)]
+    docs = spark.createDataFrame([(t,) for _, t in rows], "text string")
+    df, alike = exact(rows)
+    most, others = minhash.document_frequencies(docs, Steps(spark))
+    got = dict(zip(most.hashes.tolist(), most.counts.tolist(), strict=True))
+    assert len(got) <= frequent and most.texts == len(rows)
+    got |= {r.h % 2**64: r.n for r in others.collect()}
+    assert got == {h: c for h, c in df.items() if c > 1}
+    a, b, c, d = range(298, 302)
+    assert alike(a, b) < 0.8 <= alike(c, d)
+    classes = run(spark, rows)
+    assert classes[1001] != classes[1000] and classes[1002] == classes[1003]
+
+
+@pytest.mark.parametrize("frequent", [40, 1])
+def test_same_as_all_pairs_with_joined_frequencies(spark, monkeypatch, frequent):
+    monkeypatch.setattr(minhash, "FREQUENT", frequent)
+    rows = corpus()
+    assert run(spark, rows) == brute(rows)
+
+
 def test_few_rows(spark):
     assert run(spark, []) == {}
     assert run(spark, [(3, "a b c")]) == {3: 3}
