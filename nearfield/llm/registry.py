@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nearfield.llm import (
     embedding_dups,
     fingerprints,
     hmm,
+    merkle,
     minhash,
     packing,
     secrets,
@@ -34,6 +36,10 @@ PATTERN_RULES = (
     Rule("free-*-download", "block", site=False),
 )
 
+def tampered() -> Column:
+    """Rows whose copy is tampered with; those with a null id are not."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
@@ -95,6 +101,10 @@ def op10_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.scan_secrets(_documents(spark, sf))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.verify_manifest(_documents(spark, sf), {"n_chars": F.col("n_chars") + 1}, tampered())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -107,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_secret_scans": op10_secret_scans,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
 
 
