@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import (
+    byte_bpe,
     embedding_dups,
     fingerprints,
     hmm,
@@ -105,6 +106,17 @@ def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.verify_manifest(_documents(spark, sf), {"n_chars": F.col("n_chars") + 1}, tampered())
 
 
+def byte_vocabulary() -> str:
+    """The public byte-level vocabulary; only the driver reads it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op13_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return byte_bpe.round_trips(_documents(spark, sf), byte_vocabulary())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -118,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substring_dedup": op9_substring_dedup,
         "op10_secret_scans": op10_secret_scans,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op13_byte_bpe": op13_byte_bpe,
     }
 
 
