@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm import (
     byte_bpe,
+    conversation_trie,
     embedding_dups,
     fingerprints,
     hmm,
@@ -106,6 +107,12 @@ def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.verify_manifest(_documents(spark, sf), {"n_chars": F.col("n_chars") + 1}, tampered())
 
 
+def op12_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf}/conversations.parquet")
+    taken = F.crc32(F.col("conv").cast("string").cast("binary")) % 4
+    return conversation_trie.conversation_trie(conversations, taken)
+
+
 def byte_vocabulary() -> str:
     """The public byte-level vocabulary; only the driver reads it."""
     import public_tokenizers
@@ -130,6 +137,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substring_dedup": op9_substring_dedup,
         "op10_secret_scans": op10_secret_scans,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_conversation_trie": op12_conversation_trie,
         "op13_byte_bpe": op13_byte_bpe,
     }
 
