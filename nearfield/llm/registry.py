@@ -169,5 +169,73 @@ def _url_sql() -> str:
         from p left join fit on fit.r = p.r and fit.n = 1 left join hit on hit.r = p.r and hit.n = 1"""
 
 
+# CRC-32 of the text {s} of ASCII characters.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({s}) + 1), lambda i: ascii(substr({s}, i, 1))::BIGINT)),
+            lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+def _merkle_sql() -> str:
+    field = lambda c: f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+    leaf = lambda n: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", n, "text"))) + ")"
+    crc = _CRC32.format(s="doc_id::varchar")
+    return f"""with recursive leaves as (select row_number() over () as r, doc_id, lang, {leaf("n_chars")} as leaf,
+            case when {crc} % 7 = 0 then {leaf("(n_chars + 1)")} end as changed from documents),
+        placed as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos,
+            count(*) over (partition by lang) as n from leaves),
+        nodes(lang, lvl, pos, n, h) as (select lang, 0, pos, n, leaf from placed union all
+            select lang, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos))
+            from nodes where n > 1 group by lang, lvl, pos // 2, (n + 1) // 2),
+        subroots as (select lang, lvl as height, h as subroot,
+            row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n from nodes where n = 1),
+        upper_nodes(lvl, pos, n, h) as (select 0, pos, n, subroot from subroots union all
+            select lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos))
+            from upper_nodes where n > 1 group by lvl, pos // 2, (n + 1) // 2),
+        roots as (select lvl as height, h as root from upper_nodes where n = 1),
+        climb(r, lang, lvl, pos, h, proof) as (select r, lang, 0, pos, coalesce(changed, leaf), '' from placed union all
+            select c.r, c.lang, c.lvl + 1, c.pos // 2, sha256(case when c.pos % 2 = 0 then c.h || coalesce(s.h, '')
+                else s.h || c.h end), c.proof || coalesce(s.h, '')
+            from climb c join subroots t on c.lang is not distinct from t.lang and c.lvl < t.height
+            left join nodes s on s.lang is not distinct from c.lang and s.lvl = c.lvl and s.pos = xor(c.pos, 1)),
+        climb_on(r, lvl, pos, h, proof) as (select c.r, 0, t.pos, c.h, c.proof from climb c
+            join subroots t on c.lang is not distinct from t.lang and c.lvl = t.height union all
+            select c.r, c.lvl + 1, c.pos // 2, sha256(case when c.pos % 2 = 0 then c.h || coalesce(s.h, '')
+                else s.h || c.h end), c.proof || coalesce(s.h, '')
+            from climb_on c join roots on c.lvl < height left join upper_nodes s on s.lvl = c.lvl and s.pos = xor(c.pos, 1))
+        select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, c.h as folded_root, c.h = root as verified
+        from placed p join subroots t on p.lang is not distinct from t.lang cross join roots
+        join climb_on c on c.r = p.r and c.lvl = roots.height"""
+
+
+def _trie_sql() -> str:
+    crc = _CRC32.format(s="conv_id::varchar")
+    return f"""with turns as (select conv_id, coalesce(text, '') as text, row_number() over (partition by conv_id
+            order by turn nulls first, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as p,
+            strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') as body
+            from conversations where conv_id is not null),
+        whole as (select conv_id, list(sha256(body) order by p) as ids,
+            list(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) order by p) as words from turns group by conv_id),
+        takes as (select *, {crc} % 4 as h from whole),
+        paths as (select a.conv_id, list_concat(coalesce(b.ids[:a.h], []), a.ids[a.h + 1:]) as ids,
+            list_concat(coalesce(b.words[:a.h], []), a.words[a.h + 1:]) as words
+            from takes a left join whole b on b.conv_id = a.conv_id - a.conv_id % 20),
+        steps as (select conv_id, ids[:d] as path, d, words[d] as w, len(ids) = d as ends
+            from (select *, unnest(range(0, len(ids) + 1)) as d from paths)),
+        nodes as (select path, d, min(conv_id) as conv_id, count(*) as n, max(w) as w,
+            sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256
+            from steps group by path, d),
+        kids as (select path[:d - 1] as path, count(*) as n_children from nodes where d > 0 group by 1),
+        own as (select nodes.*, coalesce(n_children, 0) as n_children, case when d > 0 then (n - 1) * w else 0 end as saved
+            from nodes left join kids on nodes.path = kids.path),
+        sums as (select path[:e] as path, count(*) filter (n_children = 0) as n_leaves, sum(saved)::bigint as saved_tokens
+            from (select *, unnest(range(0, d + 1)) as e from own) group by 1)
+        select own.conv_id, own.d as depth, up.conv_id as parent_conv_id, own.n as n_convs, own.n_children, n_leaves,
+            saved_tokens, own.ends_sha256
+        from own join sums on own.path = sums.path left join nodes up on own.d > 0 and up.path = own.path[:own.d - 1]"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": _url_sql()}
+    return {
+        "op3_url_filters": _url_sql(),
+        "op11_merkle_manifest": _merkle_sql(),
+        "op12_conversation_trie": _trie_sql(),
+    }
