@@ -11,32 +11,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.llm import minhash, packing, registry, secrets, substring_dedup, toxicity
+from nearfield.llm.steps import bounded_batches
 from nearfield.plans.staging import Stage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels, does not reject."""
+    bounded_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs, toxicity.train_toxicity(docs, labels))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every class of near duplicates."""
+    bounded_batches(spark)
     return minhash.keep_one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 words and more that an earlier document has."""
+    bounded_batches(spark)
     return substring_dedup.remove_repeats(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with found secrets masked."""
+    bounded_batches(spark)
     return secrets.redact_secrets(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and the sequences they are packed in."""
+    bounded_batches(spark)
     return packing.pack_documents(docs, registry.word_tokenizer())
 
 

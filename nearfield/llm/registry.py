@@ -22,6 +22,7 @@ from nearfield.llm import (
     toxicity,
     url_rules,
 )
+from nearfield.llm.steps import bounded_batches
 from nearfield.llm.url_rules import Rule
 
 SITE_RULES = (
@@ -44,6 +45,7 @@ def tampered() -> Column:
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 

@@ -1,14 +1,28 @@
-"""Staged tables of operators with many steps."""
+"""Staged tables of operators with many steps, and the session options of operators on whole texts."""
 
 from __future__ import annotations
 
 import gc
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from nearfield.plans.staging import Stage
 
 
+# What a task hands to Python at once. Whole texts are some kilobytes each, so that the default of 10,000
+# rows, held by the executor and by Python, in and out, is most of a small executor's memory beyond its heap.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Set the options above; results do not depend on them."""
+    for name, value in BATCHES.items():
+        spark.conf.set(name, value)
+
+
 class Steps(Stage):
     """A stage that lets go of what finished steps have left behind.
 
