@@ -33,6 +33,7 @@ from nearfield.functions.tree import path_bounds
 from nearfield.plans.staging import FOLDER_SETTING, staging_folder
 
 K = 10
+OWN_RADIUS = "cast(0.002 as double) + cast(0.04 as double)*x*x"
 SMALL_SF = os.environ.get("ENTRY_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -142,16 +143,28 @@ def _sql_sq(a: str, b: str, dims: int) -> str:
     return " + ".join(f"({a}.{c}-{b}.{c})*({a}.{c}-{b}.{c})" for c in axes_of(dims))
 
 
-def _sql_aknn(q: str, t: str, dims: int = 2, k: int = K, exclude_self: bool = False) -> str:
+def _sql_aknn(
+    q: str, t: str, dims: int = 2, k: int = K, exclude_self: bool = False, more: str | None = None
+) -> str:
     skip = "where q.id <> t.id" if exclude_self else ""
+    training = _sql_points(t, dims)
+    if more:
+        training = f"(select * from {training} union all select * from {_sql_points(more, dims)})"
     return f"""
-    with q as {_sql_points(q, dims)}, t as {_sql_points(t, dims)},
+    with q as {_sql_points(q, dims)}, t as {training},
     d as (select q.id qid, t.id tid, min(sqrt({_sql_sq("q", "t", dims)})) dist
           from q cross join t {skip} group by q.id, t.id),
     r as (select *, row_number() over (partition by qid order by dist, tid) rn from d)
     select qid, cast(rn as int) as rank, tid, dist from r where rn <= {k}"""
 
 
+def _sql_own_radius(dims: int) -> str:
+    return f"""with q as (select *, {OWN_RADIUS} as far from {_sql_points("q", dims)}),
+        t as {_sql_points("t", dims)},
+        d as (select q.id as qid, t.id as tid, sqrt({_sql_sq("q", "t", dims)}) as dist, far from q cross join t)
+        select qid, tid, dist from d where dist <= far"""
+
+
 # --- grid -----------------------------------------------------------------------------
 
 
@@ -327,9 +340,10 @@ def _aknn(
 ) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         leaves = _sampled_leaves(spark, sf, t, dims) if partitioning == "qt" else None
+        training = _points(spark, sf, t, dims)
         return nf.aknn_join(
-            _points(spark, sf, q, dims),
-            _points(spark, sf, t, dims),
+            training if q == t else _points(spark, sf, q, dims),
+            training,
             k,
             dims=dims,
             partitioning=partitioning,
@@ -589,11 +603,46 @@ def _sample_facts(spark: SparkSession, sf: str) -> DataFrame:
     return both.select((F.col("s") == 0).alias("all_known"), near.alias("about_a_tenth"))
 
 
-def _two_phase(tree: bool):
+def _indexed(q: str, t: str, dims: int = 2, method: str = "bf"):
+    """A join that starts from an index written before."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        folder = f"{staging_folder(spark)}/nearfield/index-{uuid.uuid4().hex}"
+        nf.index_points(_points(spark, sf, t, dims), folder)
+        index = nf.read_index(spark, folder)
+        return nf.aknn_join(_points(spark, sf, q, dims), index, K, method=method)
+
+    return run
+
+
+def _own_radius(dims: int):
+    """Each query looks as far as its own radius, here one that grows along x."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        q = _points(spark, sf, "q", dims).withColumn("far", F.expr(OWN_RADIUS))
+        return nf.radius_join(q, _points(spark, sf, "t", dims), "far")
+
+    return run
+
+
+def _bounded(spark: SparkSession, sf: str) -> DataFrame:
+    q = _points(spark, sf, "q").withColumn("far", F.expr(OWN_RADIUS))
+    return nf.aknn_join(q, _points(spark, sf, "t"), K, bound="far", method="ps")
+
+
+def _extended(spark: SparkSession, sf: str) -> DataFrame:
+    """Lists over the parts, brought up to date with the orders."""
+    q = _points(spark, sf, "q")
+    lists = nf.aknn_join(q, _points(spark, sf, "t"), K)
+    return nf.extend_neighbors(lists, q, _points(spark, sf, "o"), K)
+
+
+def _two_phase(tree: bool, t: str | None = None):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        q, t = _points(spark, sf, "q"), _points(spark, sf, "t_skewed" if tree else "t")
+        q, t_name = _points(spark, sf, "q"), t or ("t_skewed" if tree else "t")
+        t_points = _points(spark, sf, t_name)
         where = {"leaves": _leaves(spark, sf)} if tree else {"n": N}
-        return nf.two_phase_join(q, t, K, **where)
+        return nf.two_phase_join(q, t_points, K, **where)
 
     return run
 
@@ -695,6 +744,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "overlaps_tree": _overlaps_tree,
         "aknn_two_phase": _two_phase(False),
         "aknn_two_phase_tree": _two_phase(True),
+        "aknn_two_phase_repeated": _two_phase(False, "repeated"),
+        "overlaps_repeated_ids": lambda s, sf: nf.overlaps_grid(
+            _points(s, sf, "q"), _points(s, sf, "repeated"), K, N
+        ),
+        "aknn_indexed": _indexed("q", "t"),
+        "aknn_indexed_3d": _indexed("q", "o", 3, "ps"),
+        "aknn_bounded": _bounded,
+        "radius_join_own": _own_radius(2),
+        "radius_join_own_3d": _own_radius(3),
+        "extend_neighbors": _extended,
         "range_cells_wide": _range_cells(2, N, 50.0),
         "completeness": _completeness,
         "merge_topk": _merge,
@@ -829,14 +888,28 @@ def oracle_sql() -> dict[str, str]:
         "aknn_skewed": _sql_aknn("q", "t_skewed"),
         "aknn_piled": _sql_aknn("q", "piled"),
         "aknn_repeated_ids": _sql_aknn("q", "repeated"),
-        "aknn_repeated_queries": _aknn("repeated", "few", k=5),
-        "aknn_outlier": _aknn("q", "outlier"),
-        "aknn_inferred_3d": _inferred_3d,
         "aknn_repeated_queries": _sql_aknn("repeated", "few", k=5),
         "aknn_outlier": _sql_aknn("q", "outlier"),
         "aknn_inferred_3d": _sql_aknn("q", "t", 3),
         "aknn_two_phase": _sql_aknn("q", "t"),
         "aknn_two_phase_tree": _sql_aknn("q", "t_skewed"),
+        "aknn_two_phase_repeated": _sql_aknn("q", "repeated"),
+        "overlaps_repeated_ids": f"""with {_sql_cells("q", "repeated", N).replace("as cell from t)",
+                "as cell, row_number() over (partition by id order by x, y) = 1 as first from t)")},
+            {_sql_local().replace("sqrt(", "min(sqrt(").replace(") dist", ")) dist").replace(
+                "on qc.cell = tc.cell", "on qc.cell = tc.cell group by qc.id, tc.id")},
+            boxes as {_sql_boxes(N).replace("count(*)", "count(*) filter (where first)")},
+            {_sql_overlaps(1 / N)} select qid, cell, complete from overlap""",
+        "aknn_indexed": _sql_aknn("q", "t"),
+        "aknn_indexed_3d": _sql_aknn("q", "o", 3),
+        "aknn_bounded": f"""with q as (select *, {OWN_RADIUS} as far from {_sql_points("q")}),
+            t as {_sql_points("t")},
+            d as (select q.id as qid, t.id as tid, sqrt({_sql_sq("q", "t", 2)}) as dist, far from q cross join t),
+            r as (select *, row_number() over (partition by qid order by dist, tid) as rn from d where dist <= far)
+            select qid, cast(rn as int) as rank, tid, dist from r where rn <= {K}""",
+        "radius_join_own": _sql_own_radius(2),
+        "radius_join_own_3d": _sql_own_radius(3),
+        "extend_neighbors": _sql_aknn("q", "t", more="o"),
         "aknn_vectors": _sql_aknn("vectors", "vectors", 3),
         "sample_points": "select true as all_known, true as about_a_tenth",
         "read_points": f"select * from {_sql_points('t', 3)}",

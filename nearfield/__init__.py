@@ -18,7 +18,10 @@ from nearfield.operators.leaves import (
 )
 from nearfield.operators.neighbors import local_radius, merge_topk, preview, topk
 from nearfield.plans.aknn import aknn_join
+from nearfield.plans.grow import extend_neighbors
+from nearfield.plans.index import PointIndex, index_points, read_index
 from nearfield.plans.local import local_knn
+from nearfield.plans.meet import PairCount
 from nearfield.plans.overlaps import (
     completeness,
     occupied_cells,
@@ -42,6 +45,8 @@ from nearfield.sources.points import (
 from nearfield.sources.writers import format_wide, run_report, write_neighbors
 
 __all__ = [
+    "PairCount",
+    "PointIndex",
     "aknn_join",
     "assign_grid",
     "assign_tree",
@@ -52,7 +57,9 @@ __all__ = [
     "configure",
     "count_points",
     "drop_staged",
+    "extend_neighbors",
     "format_wide",
+    "index_points",
     "infer_dims",
     "internal_nodes",
     "local_knn",
@@ -67,6 +74,7 @@ __all__ = [
     "probe_overlaps",
     "radius_join",
     "range_cells",
+    "read_index",
     "read_leaves",
     "read_points",
     "run_report",

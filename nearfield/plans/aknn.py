@@ -19,8 +19,10 @@ from nearfield.functions.grid import check_n
 from nearfield.operators.cells import assign_tree
 from nearfield.operators.neighbors import check_k, empty_neighbors, topk
 from nearfield.plans.descent import candidate_leaves
-from nearfield.plans.meet import meet_points, query_visits, tile_candidates
+from nearfield.plans.index import PointIndex
+from nearfield.plans.meet import PairCount, meet_points, query_visits, tile_candidates
 from nearfield.plans.pyramid import build_pyramid, density_level, extent_of, top_level
+from nearfield.plans.seek import from_the_top, meet_leaves, seek_leaves
 from nearfield.plans.staging import Stage
 from nearfield.sources.points import infer_dims
 
@@ -28,13 +30,15 @@ from nearfield.sources.points import infer_dims
 LEAF_FILL = 0.3
 # Query rows per query leaf.
 QUERY_CAPACITY = 128
+# Up to so many queries walk the cells one by one, which takes fewer jobs than cells of their own.
+SMALL_QUERIES = 2_000
 METHODS = ("bf", "ps")
 PARTITIONINGS = ("gd", "qt")
 
 
 def aknn_join(
     q: DataFrame,
-    t: DataFrame,
+    t: DataFrame | PointIndex,
     k: int,
     *,
     dims: int | None = None,
@@ -46,6 +50,8 @@ def aknn_join(
     unique_ids: bool | None = None,
     unique_query_ids: bool | None = None,
     capacity: int | None = None,
+    bound: str | None = None,
+    count: PairCount | None = None,
 ) -> DataFrame:
     """The ``k`` points of ``t`` nearest to every point of ``q``: ``(qid, rank, tid, dist)``.
 
@@ -57,31 +63,49 @@ def aknn_join(
     points nearest to any of them (``unique_query_ids=True`` skips that check); ``exclude_self`` then
     leaves its own id out at all of them.
 
-    ``partitioning`` sets the cells training points are counted in: a grid of ``n`` per axis
+    ``t`` may be a ``PointIndex``, which has its own cells; otherwise ``partitioning`` sets the cells
+    training points are counted in: a grid of ``n`` per axis
     (by density when ``n`` is not given) or the tree ``leaves`` of ``build_leaves``.
-    ``method`` sets how a query meets a leaf: all its points, or those in its x-band.
-    The result does not depend on either. The cell-level steps run at once and leave small
+    ``method`` sets how a query meets a leaf: all its points (``bf``) or those of the strips
+    along x that its band touches (``ps``).
+    The result does not depend on any of these. ``bound`` names a column of ``q`` with the distance beyond
+    which a query wants no neighbours; null is no bound. If ``q`` and ``t`` are the same DataFrame with unique
+    ids, its cells are counted once for both sides. ``count`` tells, once the join has run, how
+    many pairs were compared. The cell-level steps run at once and leave small
     tables in ``spark.checkpoint.dir``; the join itself runs with the returned DataFrame.
     """
     k = check_k(k)
+    index = t if isinstance(t, PointIndex) else None
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}, not {method!r}")
     if partitioning not in PARTITIONINGS:
         raise ValueError(f"partitioning must be one of {PARTITIONINGS}, not {partitioning!r}")
+    if index is not None and (partitioning == "qt" or n or leaves is not None or capacity):
+        raise ValueError("an index has its own cells")
     if partitioning == "qt" and leaves is None:
         raise ValueError("partitioning 'qt' needs leaves")
-    dims = settle_dims(q, t, dims)
-    q, t = plain_points(q, dims, "q"), plain_points(t, dims, "t")
+    alone = q is t and bound is None
+    if index is not None:
+        dims = settle_dims(q, index, dims)
+        unique_ids = index.unique
+    else:
+        dims = settle_dims(q, t, dims)
+        t = plain_points(t, dims, "t")
+    q = plain_points(q, dims, "q", bound)
     # Both sides' cells are prepared by jobs of their own, side by side, in this thread's job group.
     own = inheritable_thread_target(q.sparkSession)
     with ThreadPoolExecutor(4) as jobs:
         submit = lambda f, *args, **named: jobs.submit(own(f), *args, **named)
-        extents = [submit(extent_of, side, dims, name) for side, name in ((q, "q"), (t, "t"))]
-        weights = submit(weigh, t, dims, unique_ids)
-        repeats = None if unique_query_ids else submit(has_repeated_ids, q)
-        q_extent, t_extent = (job.result() for job in extents)
-        weighed, unique = weights.result()
-        repeated_queries = repeats is not None and repeats.result()
+        q_job = submit(extent_of, q, dims, "q")
+        repeats = None if unique_query_ids or alone else submit(has_repeated_ids, q)
+        if index is None:
+            t_job = q_job if alone else submit(extent_of, t, dims, "t")
+            weighed, unique = submit(weigh, t, dims, unique_ids).result()
+            t_extent = t_job.result()
+        else:
+            unique, t_extent = index.unique, index.extent
+        q_extent = q_job.result()
+        repeated_queries = not unique if alone else repeats is not None and repeats.result()
     if not q_extent.rows or not t_extent.rows:
         return empty_neighbors(q.sparkSession)
 
@@ -91,7 +115,7 @@ def aknn_join(
         places = q.distinct().withColumn("place", F.monotonically_increasing_id())
         places = stage.save(places, "query-places")
         near = aknn_join(
-            places.select(F.col("place").alias("id"), *axes_of(dims)),
+            places.drop("id").withColumnRenamed("place", "id"),
             t,
             k + 1 if exclude_self else k,
             dims=dims,
@@ -102,6 +126,8 @@ def aknn_join(
             unique_ids=unique,
             unique_query_ids=True,
             capacity=capacity,
+            bound="ub" if bound else None,
+            count=count,
         )
         near = near.withColumnRenamed("qid", "place").join(places.select("place", "id"), "place")
         near = near.select(F.col("id").alias("qid"), "tid", "dist")
@@ -111,48 +137,69 @@ def aknn_join(
     wanted = k + 1 if exclude_self else k
     capacity = capacity or max(64, 4 * wanted)
     level, level_column, width = 0, None, 1.0
-    if partitioning == "qt":
-        # Points outside the tree's unit box are counted like those of the root.
-        leaves = stage.save(leaves.select("path", "depth", "n_sample"), "leaves")
-        weighed = with_leaf_level(weighed, leaves, dims)
-        level_column = "leaf_level"
-    elif n:
-        width = 1.0 / check_n(n)
-    elif t_extent.side > 0:
-        # Evenly spread points fill cells of this width to LEAF_FILL of the capacity.
-        cells = max(1.0, t_extent.rows / (LEAF_FILL * capacity))
-        width = t_extent.side / cells ** (1.0 / dims)
-    top = top_level(q_extent.union(t_extent), dims, width)
-
-    common = {"width": width, "top": top}
+    if index is not None:
+        width, top = index.pyramid.width, index.top
+    else:
+        if partitioning == "qt":
+            # Points outside the tree's unit box are counted like those of the root.
+            leaves = stage.save(leaves.select("path", "depth", "n_sample"), "leaves")
+            weighed = with_leaf_level(weighed, leaves, dims)
+            level_column = "leaf_level"
+        elif n:
+            width = 1.0 / check_n(n)
+        elif t_extent.side > 0:
+            # Evenly spread points fill cells of this width to LEAF_FILL of the capacity.
+            cells = max(1.0, t_extent.rows / (LEAF_FILL * capacity))
+            width = t_extent.side / cells ** (1.0 / dims)
+        top = top_level(q_extent.union(t_extent), dims, width)
+
+    few = q_extent.rows <= SMALL_QUERIES
     with ThreadPoolExecutor(2) as jobs:
         submit = lambda f, *args, **named: jobs.submit(own(f), *args, **named)
-        sides = [
-            submit(
+        if index is None:
+            training = submit(
                 build_pyramid,
                 stage,
                 "training",
                 weighed,
                 dims,
                 capacity,
+                width=width,
+                top=top,
                 extent=t_extent,
                 level=level,
                 level_column=level_column,
-                **common,
-            ),
-            submit(
+            )
+        if not few and not alone:
+            # An index has tops by its own extent, so these queries get tops by theirs.
+            q_top = top if index is None else top_level(q_extent, dims, width)
+            queries = submit(
                 build_pyramid,
                 stage,
                 "queries",
                 plain_weight(q),
                 dims,
                 QUERY_CAPACITY,
+                width=width,
+                top=q_top,
                 extent=q_extent,
                 level=density_level(q_extent, dims, width, QUERY_CAPACITY),
-                **common,
-            ),
-        ]
-        training, queries = (job.result() for job in sides)
+            )
+        training = index.pyramid if index is not None else training.result()
+        if few:
+            visits = seek_leaves(stage, from_the_top(q, training), training, wanted)
+            met = meet_leaves(
+                stage,
+                visits,
+                t,
+                training,
+                wanted,
+                exclude_self=exclude_self,
+                unique=unique,
+                count=count,
+            )
+            return topk(met, k, distinct=not unique)
+        queries = training if alone else queries.result()
     pairs = candidate_leaves(stage, queries, q, training, wanted, repeated=not unique)
     found = tile_candidates(stage, pairs, queries, wanted)
     visits = query_visits(q, found, queries, wanted)
@@ -166,18 +213,23 @@ def aknn_join(
         method,
         exclude_self=exclude_self,
         unique=unique,
+        count=count,
     )
     return topk(met, k, distinct=not unique, within="tile")
 
 
-def check_same_axes(q: DataFrame, t: DataFrame) -> None:
+def check_same_axes(q: DataFrame, t: DataFrame | PointIndex) -> None:
     if ("z" in q.columns) != ("z" in t.columns):
         raise ValueError("one side has a z column and the other has not")
 
 
-def settle_dims(q: DataFrame, t: DataFrame, dims: int | None) -> int:
+def settle_dims(q: DataFrame, t: DataFrame | PointIndex, dims: int | None) -> int:
     """The number of axes: as asked for, or 3 if both sides have a z that is not null throughout."""
     check_same_axes(q, t)
+    if isinstance(t, PointIndex):
+        if dims not in (None, t.dims):
+            raise ValueError(f"the index has {t.dims} dimensions, not {dims!r}")
+        return t.dims
     if dims is None:
         if "z" not in q.columns:
             return 2
@@ -202,14 +254,18 @@ def refuse_repeated_ids(q: DataFrame) -> None:
         raise ValueError(f"q: {twice} ids occur more than once")
 
 
-def plain_points(df: DataFrame, dims: int, side: str) -> DataFrame:
+def plain_points(df: DataFrame, dims: int, side: str, bound: str | None = None) -> DataFrame:
+    """Points with their id and coordinates only and, if asked for, a bound ``ub``; null is none."""
     axes = axes_of(dims)
-    missing = {"id", *axes} - set(df.columns)
+    missing = {"id", *axes, *([bound] if bound else [])} - set(df.columns)
     if missing:
         raise ValueError(f"{side} has no column {sorted(missing)}; dims={dims}")
-    return df.select(
-        F.col("id").cast("bigint").alias("id"), *[F.col(a).cast("double").alias(a) for a in axes]
-    )
+    columns = [F.col(a).cast("double").alias(a) for a in axes]
+    if bound:
+        endless = F.lit(float("inf"))
+        known = F.col(f"`{bound}`").cast("double")
+        columns.append(F.nanvl(F.coalesce(known, endless), endless).alias("ub"))
+    return df.select(F.col("id").cast("bigint").alias("id"), *columns)
 
 
 def plain_weight(points: DataFrame) -> DataFrame:
@@ -226,8 +282,10 @@ def weigh(t: DataFrame, dims: int, unique_ids: bool | None) -> tuple[DataFrame,
     axes = axes_of(dims)
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     places = t.withColumns({"rows": one, "n": zero})
-    ids = t.groupBy("id").agg(F.min(F.struct(*axes)).alias("p"))
-    ids = ids.select("id", *[F.col(f"p.{a}").alias(a) for a in axes])
+    # An id counts at its first place; what else a row says goes by the place.
+    rest = [c for c in t.columns if c != "id" and c not in axes]
+    ids = t.groupBy("id").agg(F.min(F.struct(*axes, *rest)).alias("p"))
+    ids = ids.select("id", *[F.col(f"p.{c}").alias(c) for c in (*axes, *rest)])
     return places.unionByName(ids.withColumns({"rows": zero, "n": one})), False
 
 

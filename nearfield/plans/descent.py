@@ -36,6 +36,8 @@ def _prune(pairs: DataFrame, dims: int, k: int | None, repeated: bool) -> DataFr
     q_lo, q_hi = low(dims, "q_"), high(dims, "q_")
     t_lo, t_hi = low(dims, "t_"), high(dims, "t_")
     node = key_names(dims, "q_")
+    if "q_ub" in pairs.columns:
+        pairs = pairs.withColumn("ub", F.least("ub", "q_ub"))
     all_rows = Window.partitionBy(*node)
     kept = pairs.withColumn("gap", box_gap(q_lo, q_hi, t_lo, t_hi)).filter(
         F.col("gap") <= F.col("ub")
@@ -112,18 +114,22 @@ def candidate_leaves(
     ``ub``. Query nodes partition the query points; a node at level
     ``POINT`` is a single query, keyed by its id.
 
-    ``radius`` is a bound to start from, the only one if ``k`` is None. ``repeated`` says that
-    training ids may occur more than once and count at their nearest place. ``own_cell_only`` starts from pairs of equal top cells instead of one common root.
+    ``radius`` is a bound to start from, and so is ``ub``, the bound that the queries of a node bring
+    along; they are the only ones if ``k`` is None. ``repeated`` says that training ids may occur more than once and count at their nearest place. ``own_cell_only`` starts from pairs of equal top cells instead of one common root.
     """
     dims = training.dims
     facts_of_t = ["leaf", "n", "rows"] + (["id_lo", "id_hi"] if repeated else [])
-    q_nodes = _named(queries.nodes.filter(F.col("plvl") == ROOT), "q_", dims, "leaf", "rows")
+    facts_of_q = ["leaf", "rows"] + (["ub"] if "ub" in queries.nodes.columns else [])
+    q_nodes = _named(queries.nodes.filter(F.col("plvl") == ROOT), "q_", dims, *facts_of_q)
     t_nodes = _named(training.nodes.filter(F.col("plvl") == ROOT), "t_", dims, *facts_of_t)
-    # Top nodes share one root key, or one key per cell; either way the join is on equality.
-    shared = key_names(dims) if own_cell_only else ["lvl"]
-    start = q_nodes.join(t_nodes, [F.col(f"q_{c}") == F.col(f"t_{c}") for c in shared])
+    # Top nodes share one root, or one key per cell; either way the join is on equality.
+    if own_cell_only:
+        start = q_nodes.join(t_nodes, [F.col(f"q_{c}") == F.col(f"t_{c}") for c in key_names(dims)])
+    else:
+        root = F.lit(ROOT).alias("root")
+        start = q_nodes.select("*", root).join(t_nodes.select("*", root), "root").drop("root")
     pairs = start.withColumn("ub", F.lit(float(radius)))
-    q_moves = _children(queries.nodes, "q_", dims, "leaf", "rows")
+    q_moves = _children(queries.nodes, "q_", dims, *facts_of_q)
     t_moves = _children(training.nodes, "t_", dims, *facts_of_t)
     point_moves = None
     done = []
@@ -158,7 +164,7 @@ def candidate_leaves(
     result = done[0]
     for part in done[1:]:
         result = result.unionByName(part)
-    return result.drop("active", "q_split", "t_split")
+    return result.drop("active", "q_split", "t_split", "q_ub")
 
 
 def _point_children(queries: Pyramid, query_points: DataFrame) -> DataFrame:
@@ -175,4 +181,5 @@ def _point_children(queries: Pyramid, query_points: DataFrame) -> DataFrame:
         *boxes,
         F.lit(True).alias("q_leaf"),
         F.lit(1).cast("bigint").alias("q_rows"),
+        *([F.col("ub").alias("q_ub")] if "ub" in query_points.columns else []),
     )

@@ -8,9 +8,9 @@ their candidates nor the ranking move again.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.geometry import (
@@ -23,7 +23,14 @@ from nearfield.functions.geometry import (
     x_distance,
 )
 from nearfield.plans.pyramid import POINT, ROOT, Pyramid, box_names, high, key_names, low
-from nearfield.plans.staging import HEAVY_KEYS, Stage, level_mask, lookup, masked_levels
+from nearfield.plans.staging import (
+    BROADCAST_ROWS,
+    HEAVY_KEYS,
+    Stage,
+    level_mask,
+    lookup,
+    masked_levels,
+)
 
 # Query rows that share one copy of their candidate leaves, and tiles per shuffle partition
 # that a small query table is still cut into.
@@ -31,6 +38,9 @@ TILE_ROWS = 20_000
 TILES_PER_PARTITION = 8
 # Tiles served by one copy of a training leaf.
 LEAF_TILES = 1_000
+# Strips along x that a leaf is cut into at most, and rows in each for a search without k.
+STRIPS = 64
+STRIP_ROWS = 8
 
 
 @dataclass(frozen=True)
@@ -43,6 +53,7 @@ class Candidates:
     pairs: DataFrame
     tile_count: int
     pile_count: int
+    leaf_count: int  # about
 
 
 def tile_candidates(
@@ -75,8 +86,11 @@ def tile_candidates(
         "candidates",
         F.approx_count_distinct("tile").alias("tiles"),
         F.count_if(_is_pile(dims, k)).alias("piles"),
+        F.approx_count_distinct(F.xxhash64(*t_keys)).alias("leaves"),
+    )
+    return Candidates(
+        nodes, facts["nodes"], levels, pairs, seen["tiles"], seen["piles"], seen["leaves"]
     )
-    return Candidates(nodes, facts["nodes"], levels, pairs, seen["tiles"], seen["piles"])
 
 
 def _is_pile(dims: int, k: int | None) -> Column:
@@ -101,21 +115,24 @@ def query_visits(
     """Each query with the leaves it has to visit: ``tile, qid, qx, qy[, qz], reach, t_*``.
 
     ``reach`` is the distance within which the nearer leaves hold ``k`` points, and no more
-    than the node's bound.
+    than the node's bound or the query's own (``ub``).
     """
     dims = queries.dims
     axes, q_keys, t_keys = axes_of(dims), key_names(dims, "q_"), key_names(dims, "t_")
+    own = ["q_ub"] if "ub" in q.columns else []
     placed = _placed_queries(q, found, queries)
     placed = (
         placed.withColumn("salt", F.pmod(F.xxhash64("qid"), F.col("salts")).cast("int"))
         .withColumn("tile", _tile())
-        .select("tile", "qid", *[f"q{a}" for a in axes], *q_keys)
+        .select("tile", "qid", *[f"q{a}" for a in axes], *q_keys, *own)
         .repartition("tile")
     )
     qp, lo, hi = point("q", dims), low(dims, "t_"), high(dims, "t_")
+    met = placed.join(found.pairs, ["tile", *q_keys])
+    if own:
+        met = met.withColumn("ub", F.least("ub", "q_ub"))
     met = (
-        placed.join(found.pairs, ["tile", *q_keys])
-        .withColumn("gap", box_min_dist(qp, lo, hi))
+        met.withColumn("gap", box_min_dist(qp, lo, hi))
         .filter(F.col("gap") <= F.col("ub"))
     )
     if k is None:
@@ -131,13 +148,77 @@ def query_visits(
             .withColumn("reach", F.least("ub", bound))
             .filter(F.col("gap") <= F.col("reach"))
         )
-    return met.select("tile", "qid", *[f"q{a}" for a in axes], "reach", "gap", *t_keys)
+    strip = ["t_lo_x", "t_hi_x", "t_rows"]
+    return met.select("tile", "qid", *[f"q{a}" for a in axes], "reach", "gap", *t_keys, *strip)
+
+
+@dataclass
+class PairCount:
+    """How many pairs of query and point a join has compared, once it has run."""
+
+    home: Observation = field(default_factory=Observation)
+    rest: Observation = field(default_factory=Observation)
+    swept: bool = False
+
+    @property
+    def pairs(self) -> int:
+        return self.rest.get["pairs"] + (self.home.get["pairs"] if self.swept else 0)
+
+
+def _strip(x: Column, prefix: str, strip_rows: int) -> Column:
+    """The strip of a leaf that ``x`` falls in: never decreasing in ``x``, whatever is rounded."""
+    lo, hi, rows = (F.col(f"{prefix}{c}") for c in ("lo_x", "hi_x", "rows"))
+    count = F.least(F.lit(STRIPS), F.ceil(rows / strip_rows)).cast("double")
+    at = F.when(hi > lo, F.floor((x - lo) * (count / (hi - lo)))).otherwise(F.lit(0))
+    return F.greatest(F.lit(0.0), F.least(at.cast("double"), count - 1)).cast("int")
+
+
+def _sweep(visits: DataFrame, strip_rows: int) -> DataFrame:
+    """A visit for every strip that the query's x-band touches."""
+    # Wider than the rounding of a difference of coordinates.
+    pad = F.col("reach") * (1.0 + 1e-12) + F.abs("qx") * 1e-15
+    first, last = (_strip(x, "t_", strip_rows) for x in (F.col("qx") - pad, F.col("qx") + pad))
+    return visits.withColumn("strip", F.explode(F.sequence(first, last)))
+
+
+def _shortened(
+    visits: DataFrame,
+    members: DataFrame,
+    dims: int,
+    k: int,
+    strip_rows: int,
+    unique: bool,
+    count: PairCount | None,
+) -> DataFrame:
+    """Visits with the reach cut to the k-th neighbour found around home.
+
+    Home is the query's strip, and the ones beside it, of the leaf whose box is nearest (each of them, if
+    several are). Queries with fewer than ``k`` points at home keep their reach.
+    """
+    qp, tp = point("q", dims), point("t", dims)
+    own = _strip(F.col("qx"), "t_", strip_rows)
+    beside = F.sequence(own - 1, own + 1)
+    least = F.min("gap").over(Window.partitionBy("tile", "qid"))
+    home = visits.withColumn("least", least).filter(F.col("gap") <= F.col("least")).drop("least")
+    home = home.withColumn("strip", F.explode(beside))
+    near = home.join(members, ["tile", *key_names(dims, "t_"), "strip"])
+    if count is not None:
+        near = near.observe(count.home, F.count(F.lit(1)).alias("pairs"))
+    near = near.select("tile", "qid", "tid", distance(qp, tp).alias("dist"))
+    if not unique:
+        near = near.groupBy("tile", "qid", "tid").agg(F.min("dist").alias("dist"))
+    nearest = Window.partitionBy("tile", "qid").orderBy("dist")
+    found = near.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= k)
+    found = found.filter(F.col("nth") == k).select("tile", "qid", F.col("dist").alias("found"))
+    known = visits.join(found, ["tile", "qid"], "left")
+    known = known.withColumn("reach", F.least("reach", "found")).drop("found")
+    return known.filter(F.col("gap") <= F.col("reach"))
 
 
 def meet_points(
     stage: Stage,
     visits: DataFrame,
-    t: DataFrame,
+    t,
     found: Candidates,
     training: Pyramid,
     k: int | None,
@@ -145,17 +226,33 @@ def meet_points(
     *,
     exclude_self: bool,
     unique: bool,
+    count: PairCount | None = None,
 ) -> DataFrame:
-    """Pairs ``(tile, qid, tid, dist)`` within each query's reach."""
+    """Pairs ``(tile, qid, tid, dist)`` within each query's reach.
+
+    With ``method="ps"`` a leaf is cut into strips along x. A query first meets the strips around it, whose
+    k-th distance shortens its reach, and then only the leaves within that reach and of them the strips
+    that its band ``[x - reach, x + reach]`` touches. All of it happens inside the tile.
+    """
     dims = training.dims
     qp, tp = point("q", dims), point("t", dims)
-    members = _members(stage, t, found, training, k, unique)
+    strip_rows = max(4, k) if k is not None else STRIP_ROWS
+    sweep = method == "ps"
+    members = _members(stage, t, found, training, k, unique, strip_rows if sweep else None)
+    keys = ["tile", *key_names(dims, "t_")]
     near = distance(qp, tp) <= F.col("reach")
-    if method == "ps":
+    if sweep:
+        if k is not None:
+            visits = _shortened(visits, members, dims, k, strip_rows, unique, count)
+        visits, keys = _sweep(visits, strip_rows), [*keys, "strip"]
         near = (x_distance(qp, tp) <= F.col("reach")) & near
     if exclude_self:
         near = near & (F.col("qid") != F.col("tid"))
-    met = visits.join(members, ["tile", *key_names(dims, "t_")]).filter(near)
+    met = visits.join(members, keys)
+    if count is not None:
+        count.swept = sweep and k is not None
+        met = met.observe(count.rest, F.count(F.lit(1)).alias("pairs"))
+    met = met.filter(near)
     return met.select("tile", "qid", "tid", distance(qp, tp).alias("dist"))
 
 
@@ -213,22 +310,36 @@ def _placed_queries(q: DataFrame, found: Candidates, queries: Pyramid) -> DataFr
             F.when(single, own[i]).otherwise(F.col(f"c{a}")).alias(f"q_c{a}")
             for i, a in enumerate(axes)
         ],
+        *([F.col("ub").alias("q_ub")] if "ub" in q.columns else []),
     )
     nodes = found.nodes.select(*q_keys, "q_rows", "tile", "salts")
     return lookup(spread, nodes, q_keys, "q_rows", queries.rows, found.node_count)
 
 
 def _members(
-    stage: Stage, t: DataFrame, found: Candidates, training: Pyramid, k: int | None, unique: bool
+    stage: Stage,
+    t,
+    found: Candidates,
+    training: Pyramid,
+    k: int | None,
+    unique: bool,
+    strip_rows: int | None = None,
 ) -> DataFrame:
-    """Training points of the candidate leaves, one copy per tile.
+    """Training points of the candidate leaves, one copy per tile. ``t`` are points or a ``PointIndex``.
+
+    With ``strip_rows`` they have the number of their ``strip``.
+
+    Where the candidates are few of all leaves, points of other leaves are dropped before anything
+    is shuffled: by the leaves themselves if these are few enough to broadcast, else by the coarse cells
+    around them.
 
     A leaf is crowded if it is a pile or if very many tiles want it. Crowded leaves are
     joined apart: a pile keeps the ids that can win, a wanted leaf is split over its tiles.
     """
     dims = training.dims
     axes, keys, t_keys = axes_of(dims), key_names(dims), key_names(dims, "t_")
-    needs = found.pairs.select("tile", *t_keys).distinct()
+    strip = ["lo_x", "hi_x", "rows"] if strip_rows else []
+    needs = found.pairs.select("tile", *t_keys, *[f"t_{c}" for c in strip]).distinct()
     crowded = 0
     if found.pile_count or found.tile_count > LEAF_TILES:
         leaves, facts = _wanted_leaves(stage, found, training, k)
@@ -236,8 +347,19 @@ def _members(
         levels = masked_levels(levels, min(training.levels))
     else:
         leaves, levels, size = training.leaves, training.leaf_levels, training.leaf_count
-    spread = training.place(t, leaves, levels, size)
-    needs = needs.select("tile", *[F.col(f"t_{c}").alias(c) for c in keys])
+    indexed = hasattr(t, "points_of")
+    few = found.leaf_count * 2 <= training.leaf_count
+    if indexed or few:
+        corners = [*keys, *[f"lo_{a}" for a in axes]]
+        wanted = found.pairs.select(*[F.col(f"t_{c}").alias(c) for c in corners]).dropDuplicates(keys)
+        # The count is an estimate with a standard error of 5 %.
+        most = int(found.leaf_count * 1.3) + 1
+        spread = t.points_of(wanted) if indexed else training.place(t, wanted, levels, most)
+        if few and most <= BROADCAST_ROWS:
+            spread = spread.join(F.broadcast(wanted.select(*keys)), keys, "left_semi")
+    else:
+        spread = training.place(t, leaves, levels, size)
+    needs = needs.select("tile", *[F.col(f"t_{c}").alias(c) for c in [*keys, *strip]])
     plain = needs
     if crowded:
         special = leaves.filter("crowded").select(*keys, "rows", "pile", "parts")
@@ -247,7 +369,7 @@ def _members(
         # Rows of a heavy pile must not travel to a join that drops them.
         heavy = special.filter(F.col("rows") >= training.rows / HEAVY_KEYS).select(*keys)
         ordinary = spread.join(F.broadcast(heavy), keys, "left_anti")
-    members = ordinary.join(plain, keys).select("tile", *keys, "id", *axes)
+    members = ordinary.join(plain, keys).select("tile", *keys, "id", *axes, *strip)
     if crowded:
         split = lookup(spread, special, keys, "rows", training.rows, crowded)
         if k:
@@ -259,15 +381,21 @@ def _members(
             split = split.filter("not pile").unionByName(thin.drop("nth"))
         split = split.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         apart = needs.join(special.select(*keys, "parts"), keys).select(
-            "tile", *keys, F.pmod(F.xxhash64("tile"), F.col("parts")).cast("int").alias("part")
+            "tile",
+            *keys,
+            *strip,
+            F.pmod(F.xxhash64("tile"), F.col("parts")).cast("int").alias("part"),
         )
         split = split.select(*keys, "id", *axes, "part").join(apart, [*keys, "part"])
-        members = members.unionByName(split.select("tile", *keys, "id", *axes))
+        members = members.unionByName(split.select("tile", *keys, "id", *axes, *strip))
+    if strip_rows:
+        members = members.withColumn("strip", _strip(F.col("x"), "", strip_rows))
     return members.select(
         "tile",
         *[F.col(c).alias(t) for c, t in zip(keys, t_keys, strict=True)],
         F.col("id").alias("tid"),
         *[F.col(a).alias(f"t{a}") for a in axes],
+        *(["strip"] if strip_rows else []),
     ).repartition("tile")
 
 

@@ -9,11 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.functions.geometry import axes_of, box_min_dist, distance, point
+from nearfield.functions.geometry import axes_of, box_min_dist
 from nearfield.functions.grid import check_n, grid_decode
 from nearfield.functions.tree import axis_index, tree_cell
 from nearfield.operators.cells import assign_grid, assign_tree
-from nearfield.operators.neighbors import check_k, local_radius, merge_topk, topk
+from nearfield.operators.neighbors import (
+    check_k,
+    empty_neighbors,
+    local_radius,
+    merge_topk,
+    topk,
+)
 from nearfield.plans.aknn import (
     QUERY_CAPACITY,
     plain_points,
@@ -35,6 +41,7 @@ from nearfield.plans.pyramid import (
     key_names,
     top_level,
 )
+from nearfield.plans.seek import meet_leaves, query_rows, seek_leaves, top_nodes
 from nearfield.plans.staging import BROADCAST_ROWS, Stage
 
 OVERLAP_SCHEMA = "qid bigint, cell {type}, complete boolean"
@@ -140,7 +147,8 @@ def overlaps_grid(
     A query whose own cell holds ``k`` points and whose list cannot improve elsewhere has one
     row, its own cell with ``complete`` true. Any other has its occupied other cells within
     reach: no farther than the k-th neighbour of its own cell, if there is one, nor than
-    the distance within which whole cells hold ``k`` points.
+    the distance within which whole cells hold ``k`` points. A training id that occurs more than
+    once is one point: a list has it once, and it counts in the cell of its smallest place only.
     """
     return _overlaps(q, t, k, dims, n=n)
 
@@ -159,7 +167,9 @@ def _overlaps(
     dims: int | None,
     n: int | None = None,
     leaves: DataFrame | None = None,
+    lists: DataFrame | None = None,
 ) -> DataFrame:
+    """Overlap cells; ``lists`` are those of ``local_knn`` where they are at hand."""
     k = check_k(k)
     dims = settle_dims(q, t, dims)
     q, t = plain_points(q, dims, "q"), plain_points(t, dims, "t")
@@ -181,7 +191,7 @@ def _overlaps(
         return q.sparkSession.createDataFrame([], OVERLAP_SCHEMA.format(type=kind))
 
     top = min(0, top_level(q_extent.union(t_extent), dims, width))
-    weighed, _ = weigh(t_in, dims, True)
+    weighed, unique = weigh(t_in, dims, None)
     training = build_pyramid(
         stage, "training", weighed, dims, None, width=width, extent=t_extent, top=top, **base
     )
@@ -218,9 +228,10 @@ def _overlaps(
         cell = tree_cell(index, F.col("t_lvl"))
     visits = visits.select("qid", "reach", "gap", cell.alias("cell"))
 
-    lists = local_knn(
-        q, t, k, dims=dims, n=n, leaves=leaves, unique_ids=True, unique_query_ids=True
-    )
+    if lists is None:
+        lists = local_knn(
+            q, t, k, dims=dims, n=n, leaves=leaves, unique_ids=unique, unique_query_ids=True
+        )
     own = own.select(F.col("id").alias("qid"), F.col("cell").alias("own"))
     # Both parts of the result read these two, so neither is made twice.
     own = stage.save(own.join(local_radius(lists, k), "qid", "left"), "own-cells")
@@ -247,28 +258,43 @@ def probe_overlaps(
     dims: int | None = None,
     n: int | None = None,
     leaves: DataFrame | None = None,
+    bound: str | None = None,
 ) -> DataFrame:
     """The second phase: the ``k`` nearest points in each query's overlap cells.
 
     ``overlaps`` comes from ``overlaps_grid`` (give its ``n``) or ``overlaps_tree`` (its
-    ``leaves``). Queries that are complete have no row here. A query meets all points of its
-    cells; ``aknn_join`` splits crowded cells.
+    ``leaves``). Queries that are complete have no row here. Crowded cells are split by their points, and
+    a query meets only the parts that can hold one of its ``k``; ``bound`` names a column of ``q``
+    with the distance beyond which it wants none (null is no bound).
     """
     if (n is None) == (leaves is None):
         raise ValueError("give either n or leaves")
+    k = check_k(k)
     dims = settle_dims(q, t, dims)
-    q, t = plain_points(q, dims, "q"), plain_points(t, dims, "t")
-    placed = assign_grid(t, n, dims) if leaves is None else assign_tree(t, leaves, dims)
-    names = lambda side: [F.col(a).alias(f"{side}{a}") for a in axes_of(dims)]
-    placed = placed.select("cell", F.col("id").alias("tid"), *names("t"))
-    asked = overlaps.filter(~F.col("complete")).select("qid", "cell")
-    asked = asked.join(q.select(F.col("id").alias("qid"), *names("q")), "qid")
-    met = asked.join(placed, "cell")
-    return topk(
-        met.select("qid", "tid", distance(point("q", dims), point("t", dims)).alias("dist")),
-        k,
-        distinct=True,
+    q, t = plain_points(q, dims, "q", bound), plain_points(t, dims, "t")
+    axes, stage = axes_of(dims), Stage(q.sparkSession)
+    if leaves is None:
+        base = {"level": 0, "width": 1.0 / check_n(n)}
+        level, index = F.lit(0), grid_decode(F.col("cell"), n, dims)
+    else:
+        leaves = stage.save(leaves.select("path", "depth", "n_sample"), "leaves")
+        t, base = in_leaves(t, leaves, dims), {"level_column": "leaf_level", "width": 1.0}
+        level, index = F.length("cell"), [axis_index(F.col("cell"), a) for a in axes]
+    extent = extent_of(t, dims, "t")
+    if not extent.rows:
+        return empty_neighbors(q.sparkSession)
+    weighed, unique = weigh(t, dims, None)
+    training = build_pyramid(
+        stage, "cells", weighed, dims, max(64, 4 * k), extent=extent, top=0, rooted=False, **base
     )
+    asked = overlaps.filter(~F.col("complete")).select(
+        "qid", level.alias("t_lvl"), *[i.alias(f"t_c{a}") for i, a in zip(index, axes, strict=True)]
+    )
+    asked = asked.join(query_rows(q, dims), "qid")
+    pairs = asked.join(top_nodes(training), key_names(dims, "t_"))
+    visits = seek_leaves(stage, pairs, training, k)
+    met = meet_leaves(stage, visits, t, training, k, unique=unique)
+    return topk(met, k, distinct=not unique)
 
 
 def two_phase_join(
@@ -282,14 +308,20 @@ def two_phase_join(
 ) -> DataFrame:
     """The all-k-nearest-neighbour join in two phases: own cell, then overlap cells, merged.
 
-    The rows are those of ``aknn_join`` (points outside a tree are left out).
+    The rows are those of ``aknn_join`` (points outside a tree are left out). The second phase looks no
+    farther than the k-th neighbour that the first one found.
     """
     stage = Stage(q.sparkSession)
     if leaves is not None:
         leaves = stage.save(leaves.select("path", "depth", "n_sample"), "leaves")
-    own = local_knn(q, t, k, dims=dims, n=n, leaves=leaves)
-    overlaps = _overlaps(q, t, k, dims, n=n, leaves=leaves)
-    return merge_topk(own, probe_overlaps(q, t, overlaps, k, dims=dims, n=n, leaves=leaves), k)
+    own = stage.save(local_knn(q, t, k, dims=dims, n=n, leaves=leaves), "own-lists")
+    overlaps = _overlaps(q, t, k, dims, n=n, leaves=leaves, lists=own)
+    reach = local_radius(own, k).select(F.col("qid").alias("id"), F.col("r").alias("own_reach"))
+    bounded = q.withColumn("id", F.col("id").cast("bigint")).join(reach, "id", "left")
+    rest = probe_overlaps(
+        bounded, t, overlaps, k, dims=dims, n=n, leaves=leaves, bound="own_reach"
+    )
+    return merge_topk(own, rest, k)
 
 
 def completeness(q: DataFrame, overlaps: DataFrame) -> DataFrame:

@@ -194,12 +194,13 @@ def density_level(extent: Extent, dims: int, width: float, capacity: int) -> int
     return round(math.log2(per_axis * width / extent.side))
 
 
-def _measures(dims: int) -> list[Column]:
+def _measures(dims: int, bounded: bool) -> list[Column]:
     return [
         F.sum("rows").alias("rows"),
         F.sum("n").alias("n"),
         F.min("id_lo").alias("id_lo"),
         F.max("id_hi").alias("id_hi"),
+        *([F.max("ub").alias("ub")] if bounded else []),
     ] + [
         agg(f"{side}_{a}").alias(f"{side}_{a}")
         for a in axes_of(dims)
@@ -209,10 +210,13 @@ def _measures(dims: int) -> list[Column]:
 
 def _histogram(keyed: DataFrame, dims: int) -> DataFrame:
     """Counts and bounds per cell; ``stop`` is the level to roll up to, ``base`` its parent's."""
+    bounded = "ub" in keyed.columns
     boxes = {f"{side}_{a}": F.col(a) for a in axes_of(dims) for side in ("lo", "hi")}
     boxes |= {"id_lo": F.col("id"), "id_hi": F.col("id")}
     return (
-        keyed.withColumns(boxes).groupBy(*key_names(dims), "stop", "base").agg(*_measures(dims))
+        keyed.withColumns(boxes)
+        .groupBy(*key_names(dims), "stop", "base")
+        .agg(*_measures(dims, bounded))
     )
 
 
@@ -221,6 +225,7 @@ def _roll_up(
 ) -> DataFrame:
     """Ancestors of the histogram's cells up to ``stop``, kept where the parent is split."""
     axes, keys = axes_of(dims), key_names(dims)
+    bounded = "ub" in hist.columns
     spread = hist.withColumn("up", F.explode(F.sequence("stop", "lvl")))
     at_stop = F.col("stop") == F.col("up")
     moved = spread.select(
@@ -230,12 +235,13 @@ def _roll_up(
         "n",
         "id_lo",
         "id_hi",
+        *(["ub"] if bounded else []),
         *box_names(dims),
         (F.col("lvl") == F.col("up")).alias("deepest"),
         F.when(at_stop, F.col("base")).otherwise(F.col("up") - 1).alias("plvl"),
     )
     flags = [F.max(c).alias(c) for c in ("deepest", "plvl")]
-    cells = moved.groupBy(*keys).agg(*_measures(dims), *flags)
+    cells = moved.groupBy(*keys).agg(*_measures(dims, bounded), *flags)
     is_top = F.col("plvl") == ROOT
     for a in axes:
         root = F.lit(0).cast("bigint") if rooted else F.col(f"c{a}")
@@ -282,9 +288,10 @@ def build_pyramid(
     last: int | None = None,
     rooted: bool = True,
 ) -> Pyramid:
-    """Build the pyramid of ``points(id, x, y[, z], rows, n)``.
+    """Build the pyramid of ``points(id, x, y[, z], rows, n[, ub])``.
 
-    ``rows`` weighs a row for the split test, ``n`` for neighbour counting. The first
+    ``rows`` weighs a row for the split test, ``n`` for neighbour counting; ``ub`` is a query's own
+    bound, of which a cell has the largest. The first
     histogram is taken at ``level`` (or per row at ``level_column``) and rolled up to ``top``;
     cells still over capacity are then split alone, each straight to the level that its own
     bounds and count ask for, ``last`` at most. With ``rooted`` the cells at ``top`` share one
@@ -297,7 +304,8 @@ def build_pyramid(
         first = F.greatest(F.lit(top), F.col(level_column)) if rooted else F.col(level_column)
     else:
         first = F.lit(max(top, level if level is not None else top))
-    source = points.select("id", *axes, "rows", "n", first.cast("int").alias("lvl"))
+    own = ["ub"] if "ub" in points.columns else []
+    source = points.select("id", *axes, "rows", "n", *own, first.cast("int").alias("lvl"))
     stop = F.lit(top) if rooted else F.col("lvl")
     keyed = with_cell(source, dims, width, F.col("lvl"))
     keyed = keyed.withColumn("stop", stop).withColumn("base", F.lit(ROOT))
@@ -335,14 +343,14 @@ def build_pyramid(
             *keys, goal.cast("int").alias("goal"), stop.cast("int").alias("stop"), "rows"
         )
         spread = at_levels(
-            points.select("id", *axes, F.col("rows").alias("r"), "n"),
+            points.select("id", *axes, F.col("rows").alias("r"), "n", *own),
             dims,
             width,
             masked_levels(facts["levels"], top),
         )
         found = lookup(spread, goals, keys, "rows", extent.rows, facts["cells"])
         found = found.select(
-            "id", *axes, F.col("r").alias("rows"), "n", "goal", "stop", F.col("lvl").alias("base")
+            "id", *axes, F.col("r").alias("rows"), "n", *own, "goal", "stop", F.col("lvl").alias("base")
         )
         keyed = with_cell(found, dims, width, F.col("goal"))
     nodes = parts[0]

@@ -26,6 +26,14 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def cells_for_queries(monkeypatch):
+    """Let small query tables, too, go through cells of their own; tests of the short way undo it."""
+    from nearfield.plans import aknn
+
+    monkeypatch.setattr(aknn, "SMALL_QUERIES", 0)
+
+
 @pytest.fixture
 def tiny_limits(monkeypatch):
     """Limits so low that the shuffle, salting and splitting branches run on small tables."""
