@@ -10,8 +10,8 @@ threshold any more drop out, and the rest is finished in double precision.
 Equal vectors are compared once and counted with their multiplicity. A block pair gives a row for each
 linked vector (links found, and the smallest member of its local component), never a row per link.
 
-Null vectors, zero vectors, vectors with null or non-finite components or of another length than most,
-and rows with a null id, link with nothing. Rows that share an id are one node of a component; each
+Vectors of different lengths do not link; each length has axes and blocks of its own. Null and empty
+vectors, zero vectors, vectors with null or non-finite components, and rows with a null id, link with nothing. Rows that share an id are one node of a component; each
 row has its own vector's links. Other columns are ignored; no rows give no rows.
 """
 
@@ -35,22 +35,19 @@ SPARSE = 0.02  # share of pairs below which they are finished one by one
 SLACK = 1e-9  # far above the rounding of a product of unit vectors
 
 
-def _units(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, unit = batch.column("id"), []
-            for row, value in enumerate(batch.column("embedding")):
-                vector = np.array(value.as_py() or [], dtype=np.float64)
-                unit.append(None)
-                if len(vector) != length or not ids[row].is_valid or not np.isfinite(vector).all():
-                    continue
-                largest = np.abs(vector).max()
-                if largest > 0:
-                    vector = vector / largest
-                    unit[-1] = (vector / np.linalg.norm(vector) + 0.0).astype("<f8").tobytes()
-            yield pa.RecordBatch.from_pydict({"id": ids, "unit": pa.array(unit, pa.binary())})
-
-    return run
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, unit = batch.column("id"), []
+        for row, value in enumerate(batch.column("embedding")):
+            vector = np.array(value.as_py() or [], dtype=np.float64)
+            unit.append(None)
+            if not len(vector) or not ids[row].is_valid or not np.isfinite(vector).all():
+                continue
+            largest = np.abs(vector).max()
+            if largest > 0:
+                vector = vector / largest
+                unit[-1] = (vector / np.linalg.norm(vector) + 0.0).astype("<f8").tobytes()
+        yield pa.RecordBatch.from_pydict({"id": ids, "unit": pa.array(unit, pa.binary())})
 
 
 def _matrix(column: pa.Array, length: int) -> np.ndarray:
@@ -195,6 +192,26 @@ def _links(length: int, threshold: float):
     return run
 
 
+def _placed(edges: np.ndarray, reach: float):
+    """Each vector's block between the edges, and the blocks that begin or end within reach of that one."""
+    lows, highs = np.append(-np.inf, edges), np.append(edges, np.inf)
+    first = np.searchsorted(highs, lows - reach)
+    last = np.searchsorted(lows, highs + reach, side="right") - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.searchsorted(edges, batch.column("along").to_numpy(), side="right")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in ("node", "n", "y")),
+                    *(pa.array(x, pa.int32()) for x in (own, first[own], last[own])),
+                ],
+                names=["node", "n", "y", "own", "first", "last"],
+            )
+
+    return run
+
+
 def _in_blocks(vectors: DataFrame, count: int, threshold: float) -> DataFrame:
     """Rows (a, b, right, node, n, y): every vector in each pair of blocks that may link."""
     blocks = max(1, -(-count // BLOCK))
@@ -203,15 +220,13 @@ def _in_blocks(vectors: DataFrame, count: int, threshold: float) -> DataFrame:
     if shares:
         edges = vectors.select(F.percentile_approx("along", F.lit(shares), F.lit(100 * blocks)).alias("p"))
         edges = sorted(set(edges.first()["p"] or []))
-    inner = F.lit(edges).cast("array<double>")
-    index = F.aggregate(inner, F.lit(0), lambda n, e: n + (e <= F.col("along")).cast("int"))
     # Unit vectors with this cosine are at most so far apart, also along one axis.
     reach = np.sqrt(2 - 2 * threshold) + SLACK
-    lows, highs = [-np.inf, *edges], [*edges, np.inf]
-    near = [[b for b in range(len(lows)) if lows[b] - highs[a] <= reach and lows[a] - highs[b] <= reach] for a in range(len(lows))]
-    partners = F.array(*[F.lit(x).cast("array<int>") for x in near])
-    rows = vectors.withColumn("own", index)
-    rows = rows.withColumn("other", F.explode(F.element_at(partners, F.col("own") + 1)))
+    rows = vectors.mapInArrow(
+        _placed(np.array(edges, dtype=np.float64), reach),
+        "node long, n long, y binary, own int, first int, last int",
+    )
+    rows = rows.withColumn("other", F.explode(F.sequence("first", "last")))
     return rows.select(
         F.least("own", "other").alias("a"),
         F.greatest("own", "other").alias("b"),
@@ -220,6 +235,22 @@ def _in_blocks(vectors: DataFrame, count: int, threshold: float) -> DataFrame:
     )
 
 
+def _linked(stage: Stage, valid: DataFrame, kinds: DataFrame, length: int, threshold: float) -> DataFrame:
+    """Rows (node, links, root) of the vectors of one length that have links."""
+    axes = stage.spark.sparkContext.broadcast(principal_axes(valid, length))
+    rotated, facts = stage.save_with(
+        kinds.select(F.col("vector").alias("node"), "n", "unit").mapInArrow(
+            _rotated(axes, length), "node long, n long, along double, y binary"
+        ),
+        f"rotated-{length}",
+        F.count(F.lit(1)).alias("rows"),
+    )
+    pairs = _in_blocks(rotated, facts["rows"], threshold)
+    pairs = pairs.repartition("a", "b").sortWithinPartitions("a", "b", "node")
+    links = pairs.mapInArrow(_links(length, threshold), "node long, links long, root long")
+    return stage.save(links, f"links-{length}")
+
+
 def near_duplicate_vectors(
     vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -229,26 +260,18 @@ def near_duplicate_vectors(
     rows = vectors.select(
         F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("embedding")
     )
-    usual = rows.filter(F.size("embedding") > 0).groupBy(F.size("embedding").alias("d")).count()
-    usual = usual.orderBy(F.col("count").desc(), "d").first()
-    length = usual["d"] if usual else 1
-    units = stage.save(rows.mapInArrow(_units(length), "id long, unit binary"), "units")
+    units = stage.save(rows.mapInArrow(_units, "id long, unit binary"), "units")
     units = units.withColumn("vector", F.when(F.col("unit").isNotNull(), F.xxhash64("unit")))
     valid = units.filter("unit is not null")
-    axes = spark.sparkContext.broadcast(principal_axes(valid, length))
     kinds = valid.groupBy("vector").agg(
         F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit")
     )
-    rotated, facts = stage.save_with(
-        kinds.select(F.col("vector").alias("node"), "n", "unit").mapInArrow(
-            _rotated(axes, length), "node long, n long, along double, y binary"
-        ),
-        "rotated",
-        F.count(F.lit(1)).alias("rows"),
-    )
-    pairs = _in_blocks(rotated, facts["rows"], threshold)
-    pairs = pairs.repartition("a", "b").sortWithinPartitions("a", "b", "node")
-    found = stage.save(pairs.mapInArrow(_links(length, threshold), "node long, links long, root long"), "links")
+    lengths = valid.groupBy(F.expr("octet_length(unit) div 8").alias("d")).count().collect()
+    found = None
+    for length in sorted(r["d"] for r in lengths) or [1]:
+        alike = F.octet_length("unit") == 8 * length
+        links = _linked(stage, valid.filter(alike), kinds.filter(alike), length, threshold)
+        found = links if found is None else found.unionByName(links)
 
     direct = found.groupBy("node").agg(F.sum("links").alias("links"))
     kinds = stage.save(kinds.select("vector", "least", "n"), "kinds")

@@ -11,10 +11,9 @@ SCHEMA = "vec_id long, embedding array<float>, n int, unit string"
 
 
 def brute(rows):
-    size = max({len(v) for _, v in rows if v}, key=lambda d: sum(len(v or []) == d for _, v in rows), default=1)
     good = []
     for at, (name, v) in enumerate(rows):
-        if name is None or not v or len(v) != size or any(x is None or not math.isfinite(x) for x in v):
+        if name is None or not v or any(x is None or not math.isfinite(x) for x in v):
             continue
         x = np.array(v, dtype=np.float32).astype(float)
         if np.abs(x).max() > 0:
@@ -29,7 +28,7 @@ def brute(rows):
 
     for i, (a, x) in enumerate(good):
         for b, y in good[:i]:
-            if x @ y >= 0.9:
+            if len(x) == len(y) and x @ y >= 0.9:
                 links[a] += 1
                 links[b] += 1
                 p, q = find(rows[a][0]), find(rows[b][0])
@@ -71,6 +70,25 @@ def test_same_as_all_pairs(spark, monkeypatch, block, tile, noise):
     assert run(spark, rows) == sorted(brute(rows), key=str)
 
 
+def test_every_length_links(spark):
+    rows = [(1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, [0.0, 1.0]), (4, [1.0, 2.0, 0.0]), (5, [1.0, 2.0, 0.0]), (6, [1.0])]
+    assert run(spark, rows) == sorted(brute(rows), key=str)
+
+
+def test_partners_are_all_blocks_in_reach():
+    rnd = np.random.default_rng(8)
+    for reach in (0.0, 0.1, 0.447, 3.0):
+        edges = np.sort(rnd.uniform(-1, 1, 30))
+        batch = dups.pa.RecordBatch.from_pydict(
+            {"node": list(range(31)), "n": [1] * 31, "along": [*edges, 1.0], "y": [b""] * 31}
+        )
+        lows, highs = [-np.inf, *edges], [*edges, np.inf]
+        for row in next(dups._placed(edges, reach)([batch])).to_pylist():
+            a = row["own"]
+            near = [b for b in range(31) if lows[b] - highs[a] <= reach and lows[a] - highs[b] <= reach]
+            assert list(range(row["first"], row["last"] + 1)) == near
+
+
 def test_empty_and_single(spark):
     assert run(spark, []) == []
     assert run(spark, [(7, [1.0, 2.0])]) == [(7, 0, 7)]
