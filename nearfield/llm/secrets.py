@@ -50,6 +50,7 @@ _GAP = re.compile(_WRAP)
 _LEAST_CHARS = 24
 # An encoded brace, then a quote or white space.
 _BRACE = re.compile(r"e(?:y[A-DI-L]|w[k-r0-3])")
+_BLANK = re.compile(r"\s*")
 _HEADER = re.compile(r"[A-Za-z0-9_-]{8,}+")
 _REST = re.compile(r"\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+")
 _ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY|[A-Z0-9 ]*PUBLIC KEY)-----")
@@ -288,9 +289,11 @@ def _is_signed_header(part: str) -> bool:
 def _is_object(data: str, at: int) -> bool:
     """Whether ``data`` is one JSON object from ``at`` on."""
     try:
-        return not data[json.JSONDecoder().raw_decode(data, at)[1] :].strip()
+        end = json.JSONDecoder().raw_decode(data, at)[1]
     except (ValueError, RecursionError):
         return False
+    # Looks no farther than the next character that is no space, and copies nothing.
+    return _BLANK.fullmatch(data, end) is not None
 
 
 def _signed(text: str) -> Iterator[tuple[int, int]]:
@@ -319,12 +322,16 @@ def _signed(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _armoured(text: str) -> Iterator[tuple[int, int]]:
-    at = 0
+    at, endless = 0, set()
     while begin := _ARMOUR.search(text, at):
         tail = f"-----END {begin[1]}-----"
-        end = text.find(tail, begin.end())
+        # A label without an end here has none farther on.
+        end = -1 if tail in endless else text.find(tail, begin.end())
         if end < 0:
             at = begin.end()
+            if tail in endless:
+                continue
+            endless.add(tail)
             if text.find("-----END ", at) < 0:
                 return
             continue

@@ -5,6 +5,7 @@ import hashlib
 import json
 import re
 import struct
+import time
 
 from nearfield.llm import secrets
 
@@ -141,3 +142,20 @@ def test_redaction(spark):
     assert got == [(1, "a [secret] b", 12, "k"), (2, None, 7, "k"), (3, "clean", 5, "k"), (3, "clean", 5, "k")]
     assert secrets.redact_secrets(docs.limit(0)).count() == 0
     assert secrets.mask_spans("abcdefgh", [(1, 5, "hex"), (2, 4, "jwt"), (4, 6, "der")]) == "a[secret]gh"
+
+
+def test_long_runs_take_linear_time():
+    """Twice the text takes far less than four times as long."""
+    objects = base64.urlsafe_b64encode(b'{"a":1}' * 3000).decode()
+    shapes = {
+        "objects": lambda n: objects * n + ".e30.sig",
+        "beginnings": lambda n: "-----BEGIN RSA PRIVATE KEY-----\nx\n" * (4000 * n) + "-----END OTHER-----",
+    }
+    for make in shapes.values():
+        took = []
+        for n in (2, 8):
+            text = make(n)
+            started = time.process_time()
+            secrets.find_secrets(text)
+            took.append(time.process_time() - started)
+        assert took[1] < 9 * took[0] + 0.2
