@@ -6,7 +6,11 @@ from pyspark.sql import SparkSession
 
 # The join partitions queries, candidate leaves and training points by tile and joins them on
 # tile plus cell. Spark re-shuffles for the longer key unless told that the tile is enough.
-OPTIONS = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
+OPTIONS = {
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # Lists of more than 1,000 neighbours, too, are cut to k before they are shuffled.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
+}
 
 
 def configure(spark: SparkSession) -> SparkSession:

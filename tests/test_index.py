@@ -190,3 +190,12 @@ def test_two_phases_with_repeated_ids(spark, tree):
     qf, tf = frame(spark, range(60), q), frame(spark, ids, t)
     where = {"leaves": nf.build_leaves(tf, capacity=10, max_depth=6)} if tree else {"n": 10}
     assert rows(nf.two_phase_join(qf, tf, 5, **where)) == brute_force(range(60), q, ids, t, 5)
+
+
+def test_large_k_is_cut_before_the_shuffle(spark):
+    rng = np.random.default_rng(41)
+    q, t = uniform(rng, 3, 2), uniform(rng, 2600, 2)
+    nf.configure(spark)
+    joined = nf.aknn_join(frame(spark, range(3), q), frame(spark, range(2600), t), 2000)
+    assert rows(joined) == brute_force(range(3), q, range(2600), t, 2000)
+    assert "WindowGroupLimit" in joined._jdf.queryExecution().executedPlan().toString()
