@@ -28,7 +28,7 @@ from nearfield.plans.staging import Stage
 
 CAPACITY = 4096
 GROUP_PIECES = 20_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 TEXT_BLOCK = 1 << 20
 
 
