@@ -21,7 +21,7 @@ from nearfield.operators.neighbors import check_k, empty_neighbors, topk
 from nearfield.plans.descent import candidate_leaves
 from nearfield.plans.index import PointIndex
 from nearfield.plans.meet import PairCount, meet_points, query_visits, tile_candidates
-from nearfield.plans.pyramid import build_pyramid, density_level, extent_of, top_level
+from nearfield.plans.pyramid import build_pyramid, density_level, extent_of, id_mark, top_level
 from nearfield.plans.seek import from_the_top, meet_leaves, seek_leaves
 from nearfield.plans.staging import Stage
 from nearfield.sources.points import infer_dims
@@ -32,6 +32,8 @@ LEAF_FILL = 0.3
 QUERY_CAPACITY = 128
 # Up to so many queries walk the cells one by one, which takes fewer jobs than cells of their own.
 SMALL_QUERIES = 2_000
+# Parts of a repeated id that its places share.
+SHARES = 1 << 20
 METHODS = ("bf", "ps")
 PARTITIONINGS = ("gd", "qt")
 
@@ -274,21 +276,45 @@ def plain_weight(points: DataFrame) -> DataFrame:
 
 
 def weigh(t: DataFrame, dims: int, unique_ids: bool | None) -> tuple[DataFrame, bool]:
-    """Weights for the pyramid: every row counts for splitting, every id once for bounds."""
+    """Weights for the pyramid: every row counts for splitting, every id once for bounds.
+
+    An id that repeats counts in equal shares at all its places, so what cells hold is never more than the
+    ids in them, wherever the places lie. Shares are multiples of ``1 / SHARES``, which doubles add up exactly;
+    the remainder goes to the first place. ``ids`` tells ids apart.
+    """
     if unique_ids is None:
         unique_ids = not has_repeated_ids(t)
     if unique_ids:
         return plain_weight(t), True
-    axes = axes_of(dims)
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    share = F.floor(F.lit(SHARES) / F.col("places"))
+    ids = _first_places(t, dims)
+    places = t.join(ids.select("id", "places"), "id")
+    places = places.select(*t.columns, one.alias("rows"), (share / SHARES).alias("n"))
+    left = (F.lit(SHARES) - share * F.col("places")) / SHARES
+    ids = ids.select(*t.columns, zero.alias("rows"), left.alias("n")).filter("n > 0")
+    weighed = places.unionByName(ids).withColumn("ids", id_mark())
+    return Stage(t.sparkSession).save(weighed, "weighed"), False
+
+
+def weigh_first_places(t: DataFrame, dims: int) -> tuple[DataFrame, bool]:
+    """The same, but an id that repeats counts in the cell of its smallest place only."""
+    if not has_repeated_ids(t):
+        return plain_weight(t), True
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    ids = _first_places(t, dims).drop("places")
     places = t.withColumns({"rows": one, "n": zero})
-    # An id counts at its first place; what else a row says goes by the place.
-    rest = [c for c in t.columns if c != "id" and c not in axes]
-    ids = t.groupBy("id").agg(F.min(F.struct(*axes, *rest)).alias("p"))
-    ids = ids.select("id", *[F.col(f"p.{c}").alias(c) for c in (*axes, *rest)])
     return places.unionByName(ids.withColumns({"rows": zero, "n": one})), False
 
 
+def _first_places(t: DataFrame, dims: int) -> DataFrame:
+    """Every id at its smallest place, with the number of its ``places``; what else a row says goes by the place."""
+    axes = axes_of(dims)
+    rest = [c for c in t.columns if c != "id" and c not in axes]
+    ids = t.groupBy("id").agg(F.min(F.struct(*axes, *rest)).alias("p"), F.count(F.lit(1)).alias("places"))
+    return ids.select("id", *[F.col(f"p.{c}").alias(c) for c in (*axes, *rest)], "places")
+
+
 def with_leaf_level(points: DataFrame, leaves: DataFrame, dims: int) -> DataFrame:
     placed = assign_tree(points, leaves, dims, how="left")
     return placed.withColumn("leaf_level", F.coalesce(F.length("cell"), F.lit(0))).drop("cell")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.geometry import axes_of, box_gap, box_span, longest_side
-from nearfield.plans.pyramid import POINT, ROOT, Pyramid, box_names, high, key_names, low
+from nearfield.plans.pyramid import POINT, ROOT, Pyramid, box_names, high, holds, key_names, low
 from nearfield.plans.staging import Stage
 
 # Candidate leaves, by dims, above which a query node is split if that can help; a query leaf
@@ -56,10 +56,10 @@ def _prune(pairs: DataFrame, dims: int, k: int | None, repeated: bool) -> DataFr
     if k is not None:
         by_far = all_rows.orderBy("far", *key_names(dims, "t_"))
         running = by_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        bound = F.min(F.when(F.col("held") >= k, F.col("far"))).over(all_rows)
+        bound = F.min(F.when(F.col("held"), F.col("far"))).over(all_rows)
         kept = (
             kept.withColumn("far", box_span(q_lo, q_hi, t_lo, t_hi))
-            .withColumn("held", F.sum("t_n").over(running))
+            .withColumn("held", holds(kept, k, running))
             .withColumn("ub", F.least("ub", bound))
             .filter(F.col("gap") <= F.col("ub"))
         )
@@ -119,6 +119,7 @@ def candidate_leaves(
     """
     dims = training.dims
     facts_of_t = ["leaf", "n", "rows"] + (["id_lo", "id_hi"] if repeated else [])
+    facts_of_t += ["ids"] if "ids" in training.nodes.columns else []
     facts_of_q = ["leaf", "rows"] + (["ub"] if "ub" in queries.nodes.columns else [])
     q_nodes = _named(queries.nodes.filter(F.col("plvl") == ROOT), "q_", dims, *facts_of_q)
     t_nodes = _named(training.nodes.filter(F.col("plvl") == ROOT), "t_", dims, *facts_of_t)

@@ -22,7 +22,7 @@ from nearfield.functions.geometry import (
     point,
     x_distance,
 )
-from nearfield.plans.pyramid import POINT, ROOT, Pyramid, box_names, high, key_names, low
+from nearfield.plans.pyramid import POINT, ROOT, Pyramid, box_names, high, holds, key_names, low
 from nearfield.plans.staging import (
     BROADCAST_ROWS,
     HEAVY_KEYS,
@@ -72,13 +72,15 @@ def tile_candidates(
     )
     levels = masked_levels(facts["levels"], base) + ([POINT] if facts["points"] else [])
     salts = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    marks = ["t_ids"] if "t_ids" in pairs.columns else []
     tiled = (
         pairs.drop("q_rows")
         .join(nodes, q_keys)
         .withColumn("salt", salts)
         .withColumn("tile", _tile())
         .select(
-            "tile", *q_keys, *t_keys, "t_n", "t_rows", "ub", *[f"t_{c}" for c in box_names(dims)]
+            *["tile", *q_keys, *t_keys, "t_n", "t_rows", "ub", *marks],
+            *[f"t_{c}" for c in box_names(dims)],
         )
     )
     pairs, seen = stage.save_with(
@@ -141,10 +143,10 @@ def query_visits(
         by_query = Window.partitionBy("tile", "qid")
         by_far = by_query.orderBy("far", *t_keys)
         running = by_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        bound = F.min(F.when(F.col("held") >= k, F.col("far"))).over(by_query)
+        bound = F.min(F.when(F.col("held"), F.col("far"))).over(by_query)
         met = (
             met.withColumn("far", box_max_dist(qp, lo, hi))
-            .withColumn("held", F.sum("t_n").over(running))
+            .withColumn("held", holds(met, k, running))
             .withColumn("reach", F.least("ub", bound))
             .filter(F.col("gap") <= F.col("reach"))
         )

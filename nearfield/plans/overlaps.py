@@ -27,6 +27,7 @@ from nearfield.plans.aknn import (
     refuse_repeated_ids,
     settle_dims,
     weigh,
+    weigh_first_places,
 )
 from nearfield.plans.descent import candidate_leaves
 from nearfield.plans.local import in_leaves, local_knn
@@ -190,8 +191,22 @@ def _overlaps(
         kind = "bigint" if leaves is None else "string"
         return q.sparkSession.createDataFrame([], OVERLAP_SCHEMA.format(type=kind))
 
+    weighed, unique = weigh_first_places(t_in, dims)
+    if lists is None:
+        lists = local_knn(
+            q, t, k, dims=dims, n=n, leaves=leaves, unique_ids=unique, unique_query_ids=True
+        )
+    own = own.select(F.col("id").alias("qid"), F.col("cell").alias("own"))
+    # All that follows reads these, so none is made twice.
+    own = stage.save(own.join(local_radius(lists, k), "qid", "left"), "own-cells")
+    # A border point may lie a rounding error outside its cell's box.
+    slack = F.lit(1e-9 * width)
+    # No cell matters beyond the k-th neighbour at home.
+    known = own.select(F.col("qid").alias("id"), (F.col("r") * (1.0 + 1e-12) + slack).alias("ub"))
+    q_in = q_in.join(known, "id", "left")
+    q_in = q_in.withColumn("ub", F.coalesce("ub", F.lit(float("inf"))))
+
     top = min(0, top_level(q_extent.union(t_extent), dims, width))
-    weighed, unique = weigh(t_in, dims, None)
     training = build_pyramid(
         stage, "training", weighed, dims, None, width=width, extent=t_extent, top=top, **base
     )
@@ -228,15 +243,7 @@ def _overlaps(
         cell = tree_cell(index, F.col("t_lvl"))
     visits = visits.select("qid", "reach", "gap", cell.alias("cell"))
 
-    if lists is None:
-        lists = local_knn(
-            q, t, k, dims=dims, n=n, leaves=leaves, unique_ids=unique, unique_query_ids=True
-        )
-    own = own.select(F.col("id").alias("qid"), F.col("cell").alias("own"))
-    # Both parts of the result read these two, so neither is made twice.
-    own = stage.save(own.join(local_radius(lists, k), "qid", "left"), "own-cells")
-    # A border point may lie a rounding error outside its cell's box.
-    reach = F.least("reach", "r") * (1.0 + 1e-12) + F.lit(1e-9 * width)
+    reach = F.least("reach", "r") * (1.0 + 1e-12) + slack
     others = (
         visits.join(own, "qid")
         .filter((F.col("gap") <= reach) & (F.col("cell") != F.col("own")))

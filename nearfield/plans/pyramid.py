@@ -14,7 +14,7 @@ import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from nearfield.functions.geometry import axes_of, longest_side
@@ -32,6 +32,8 @@ POINT = 1000
 # Levels below the top that a cell may be split to. Each halves the cells, so this covers extents of
 # 4e18 times the smallest leaf; a double's own 53 bits end sooner, unless points lie around zero.
 LEVEL_RANGE = 62
+# Bits that tell repeated ids apart.
+MARKS = 64
 
 
 def key_names(dims: int, prefix: str = "") -> list[str]:
@@ -194,13 +196,13 @@ def density_level(extent: Extent, dims: int, width: float, capacity: int) -> int
     return round(math.log2(per_axis * width / extent.side))
 
 
-def _measures(dims: int, bounded: bool) -> list[Column]:
+def _measures(dims: int, own: Sequence[str]) -> list[Column]:
     return [
         F.sum("rows").alias("rows"),
         F.sum("n").alias("n"),
         F.min("id_lo").alias("id_lo"),
         F.max("id_hi").alias("id_hi"),
-        *([F.max("ub").alias("ub")] if bounded else []),
+        *[(F.max if c == "ub" else F.bit_or)(c).alias(c) for c in own],
     ] + [
         agg(f"{side}_{a}").alias(f"{side}_{a}")
         for a in axes_of(dims)
@@ -208,15 +210,34 @@ def _measures(dims: int, bounded: bool) -> list[Column]:
     ]
 
 
+def _own_columns(points: DataFrame) -> list[str]:
+    return [c for c in ("ub", "ids") if c in points.columns]
+
+
+def id_mark() -> Column:
+    """One of ``MARKS`` bits for an id: as many bits as rows set between them, so many ids they have at least."""
+    return F.call_function(
+        "shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64("id"), F.lit(MARKS)).cast("int")
+    )
+
+
+def holds(nodes: DataFrame, k: int, running: WindowSpec) -> Column:
+    """Whether the training nodes (``t_*``) of a window are known to hold ``k`` ids between them."""
+    known = F.sum("t_n").over(running) >= k
+    if "t_ids" in nodes.columns and k <= MARKS:
+        known = known | (F.bit_count(F.bit_or("t_ids").over(running)) >= k)
+    return known
+
+
 def _histogram(keyed: DataFrame, dims: int) -> DataFrame:
     """Counts and bounds per cell; ``stop`` is the level to roll up to, ``base`` its parent's."""
-    bounded = "ub" in keyed.columns
+    own = _own_columns(keyed)
     boxes = {f"{side}_{a}": F.col(a) for a in axes_of(dims) for side in ("lo", "hi")}
     boxes |= {"id_lo": F.col("id"), "id_hi": F.col("id")}
     return (
         keyed.withColumns(boxes)
         .groupBy(*key_names(dims), "stop", "base")
-        .agg(*_measures(dims, bounded))
+        .agg(*_measures(dims, own))
     )
 
 
@@ -225,7 +246,7 @@ def _roll_up(
 ) -> DataFrame:
     """Ancestors of the histogram's cells up to ``stop``, kept where the parent is split."""
     axes, keys = axes_of(dims), key_names(dims)
-    bounded = "ub" in hist.columns
+    own = _own_columns(hist)
     spread = hist.withColumn("up", F.explode(F.sequence("stop", "lvl")))
     at_stop = F.col("stop") == F.col("up")
     moved = spread.select(
@@ -235,13 +256,13 @@ def _roll_up(
         "n",
         "id_lo",
         "id_hi",
-        *(["ub"] if bounded else []),
+        *own,
         *box_names(dims),
         (F.col("lvl") == F.col("up")).alias("deepest"),
         F.when(at_stop, F.col("base")).otherwise(F.col("up") - 1).alias("plvl"),
     )
     flags = [F.max(c).alias(c) for c in ("deepest", "plvl")]
-    cells = moved.groupBy(*keys).agg(*_measures(dims, bounded), *flags)
+    cells = moved.groupBy(*keys).agg(*_measures(dims, own), *flags)
     is_top = F.col("plvl") == ROOT
     for a in axes:
         root = F.lit(0).cast("bigint") if rooted else F.col(f"c{a}")
@@ -288,10 +309,10 @@ def build_pyramid(
     last: int | None = None,
     rooted: bool = True,
 ) -> Pyramid:
-    """Build the pyramid of ``points(id, x, y[, z], rows, n[, ub])``.
+    """Build the pyramid of ``points(id, x, y[, z], rows, n[, ub][, ids])``.
 
     ``rows`` weighs a row for the split test, ``n`` for neighbour counting; ``ub`` is a query's own
-    bound, of which a cell has the largest. The first
+    bound, of which a cell has the largest, ``ids`` the mark of a repeated id (``id_mark``). The first
     histogram is taken at ``level`` (or per row at ``level_column``) and rolled up to ``top``;
     cells still over capacity are then split alone, each straight to the level that its own
     bounds and count ask for, ``last`` at most. With ``rooted`` the cells at ``top`` share one
@@ -304,7 +325,7 @@ def build_pyramid(
         first = F.greatest(F.lit(top), F.col(level_column)) if rooted else F.col(level_column)
     else:
         first = F.lit(max(top, level if level is not None else top))
-    own = ["ub"] if "ub" in points.columns else []
+    own = _own_columns(points)
     source = points.select("id", *axes, "rows", "n", *own, first.cast("int").alias("lvl"))
     stop = F.lit(top) if rooted else F.col("lvl")
     keyed = with_cell(source, dims, width, F.col("lvl"))

@@ -20,7 +20,7 @@ from nearfield.functions.geometry import (
     point,
 )
 from nearfield.plans.meet import PairCount
-from nearfield.plans.pyramid import ROOT, Pyramid, box_names, high, key_names, low
+from nearfield.plans.pyramid import ROOT, Pyramid, box_names, high, holds, key_names, low
 from nearfield.plans.staging import Stage, lookup
 
 # Levels that are walked before the frontier is written, which keeps plans short.
@@ -41,6 +41,7 @@ def top_nodes(training: Pyramid) -> DataFrame:
 
 def _node_columns(nodes: DataFrame, dims: int, prefix: str, *extra: Column) -> DataFrame:
     names = [*key_names(dims), *box_names(dims), "leaf", "n", "rows"]
+    names += ["ids"] if "ids" in nodes.columns else []
     return nodes.select(*extra, *[F.col(c).alias(f"{prefix}{c}") for c in names])
 
 
@@ -85,12 +86,12 @@ def _near(pairs: DataFrame, dims: int, k: int | None) -> DataFrame:
     query = Window.partitionBy("qid")
     by_far = query.orderBy("far", *key_names(dims, "t_"))
     running = by_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bound = F.min(F.when(F.col("held") >= k, F.col("far"))).over(query)
+    bound = F.min(F.when(F.col("held"), F.col("far"))).over(query)
     return (
         pairs.withColumn("gap", gap)
         .filter(F.col("gap") <= F.col("ub"))
         .withColumn("far", box_max_dist(qp, lo, hi))
-        .withColumn("held", F.sum("t_n").over(running))
+        .withColumn("held", holds(pairs, k, running))
         .withColumn("ub", F.least("ub", bound))
         .filter(F.col("gap") <= F.col("ub"))
         .drop("gap", "far", "held")
