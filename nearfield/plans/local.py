@@ -77,7 +77,7 @@ def local_knn(
     found = tile_candidates(stage, pairs, queries, k)
     visits = query_visits(q, found, queries, k)
     met = meet_points(
-        stage, visits, t, found, training, k, method, exclude_self=False, unique=unique
+        stage, visits, t, found, queries, training, k, method, exclude_self=False, unique=unique
     )
     return topk(met, k, distinct=not unique, within="tile")
 
