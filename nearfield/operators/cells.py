@@ -49,7 +49,7 @@ def assign_tree(
     if facts.leaves > BROADCAST_ROWS:
         # What the sample counted need not be how these points lie, so count them.
         found = spread.groupBy("cell").agg(F.count(F.lit(1)).alias("leaf_rows"))
-        table = table.join(found, "cell")
+        table = table.join(found.hint("merge"), "cell")
         total = points.count()
     else:
         table, total = table.withColumn("leaf_rows", F.lit(0)), 0

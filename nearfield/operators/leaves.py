@@ -145,7 +145,9 @@ def wide_nodes(spark: SparkSession, avg_width: float, dims: int, max_depth: int)
 def _leaves_under(inner: DataFrame, counts: DataFrame, dims: int) -> DataFrame:
     root = inner.sparkSession.range(1).select(F.lit("").alias("path"))
     nodes = root.unionByName(_children(inner, dims))
-    leaves = nodes.join(inner, "path", "left_anti").join(counts, "path", "left")
+    # Counts are far more rows than the points they come from, by which Spark would judge their size.
+    leaves = nodes.join(inner.hint("merge"), "path", "left_anti")
+    leaves = leaves.join(counts.hint("merge"), "path", "left")
     return leaves.select(
         "path",
         F.length("path").alias("depth"),
