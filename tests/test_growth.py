@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 
 import nearfield as nf
-from nearfield.plans import overlaps
+from nearfield.operators import leaves as leaves_module
+from nearfield.plans import meet, overlaps, within
 from nearfield.plans.meet import PairCount
+from nearfield.plans.pyramid import Extent
 from tests.points import brute_force, frame, rows, uniform
 
 
@@ -53,3 +55,39 @@ def test_two_phases_with_ids_spread_over_the_square(spark):
     q = uniform(rng, 40, 2)
     got = nf.two_phase_join(frame(spark, range(40), q), frame(spark, ids, t), 5, n=6)
     assert rows(got) == brute_force(range(40), q, ids, t, 5)
+
+
+@pytest.mark.parametrize("policy", ["capacity", "all_children", "avg_width"])
+def test_prefix_counts_are_never_broadcast(spark, policy, tmp_path):
+    points = frame(spark, range(500), uniform(np.random.default_rng(4), 500, 3))
+    points.write.parquet(str(tmp_path / "points"))
+    points = spark.read.parquet(str(tmp_path / "points"))
+    tree = nf.build_leaves(points, capacity=20, dims=3, policy=policy, max_depth=16)
+    assert "BroadcastHashJoin" not in tree._jdf.queryExecution().executedPlan().toString()
+    assert leaves_module.tree_stats(tree).first().n_sample == 500
+
+
+def test_partitions_follow_the_queries(spark, monkeypatch):
+    monkeypatch.setattr(meet, "COUNTED_ROWS", 100)
+    monkeypatch.setattr(meet, "PARTITION_ROWS", 50)
+    rng = np.random.default_rng(5)
+    q, t = uniform(rng, 500, 2), uniform(rng, 300, 2)
+    joined = nf.aknn_join(frame(spark, range(500), q), frame(spark, range(300), t), 3)
+    assert joined.rdd.getNumPartitions() == 10
+    assert rows(joined) == brute_force(range(500), q, range(300), t, 3)
+
+
+@pytest.mark.parametrize("dims", [2, 3])
+def test_leaves_of_a_radius_join_grow_with_the_density(spark, dims):
+    side = (0.0,) * dims, (1.0,) * dims
+    few, many = (within.leaf_capacity(Extent(n, *side), 0.05, dims) for n in (1_000, 10_000_000))
+    assert few == within.LEAF_CAPACITY and many > 10 * few
+    rng = np.random.default_rng(6)
+    q, t = uniform(rng, 60, dims), uniform(rng, 3000, dims)
+    apart = np.zeros((60, 3000))
+    for axis in range(dims):
+        d = q[:, None, axis] - t[None, :, axis]
+        apart = apart + d * d
+    for method in ("bf", "ps"):
+        got = nf.radius_join(frame(spark, range(60), q), frame(spark, range(3000), t), 0.3, method=method)
+        assert got.count() == (np.sqrt(apart) <= 0.3).sum()
