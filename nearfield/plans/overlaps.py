@@ -45,6 +45,8 @@ from nearfield.plans.pyramid import (
 from nearfield.plans.seek import meet_leaves, query_rows, seek_leaves, top_nodes
 from nearfield.plans.staging import BROADCAST_ROWS, Stage
 
+# Pairs of a query and a cell that one key of a join may make.
+KEY_PAIRS = 20_000_000
 OVERLAP_SCHEMA = "qid bigint, cell {type}, complete boolean"
 
 
@@ -135,11 +137,30 @@ def range_cells(
     spread = itself.unionByName(above)
     if facts.cells * (depths[-1] - coarsest + 2) <= BROADCAST_ROWS:
         spread = F.broadcast(spread)
+    else:
+        look, spread = _parted(look, spread, keys)
+        keys = [*keys, "part"]
     lo, hi = [F.col(f"lo_{a}") for a in axes], [F.col(f"hi_{a}") for a in axes]
     gap = box_min_dist([F.col(a) for a in axes], lo, hi)
     return look.join(spread, keys).filter(gap <= F.col("r")).select("qid", "cell")
 
 
+def _parted(look: DataFrame, spread: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``part``: queries of a key that meets very many cells are dealt over several."""
+    asked = look.groupBy(*keys).agg(F.count(F.lit(1)).alias("asked"))
+    here = spread.groupBy(*keys).agg(F.count(F.lit(1)).alias("here"))
+    load = asked.join(here.hint("merge"), keys).filter(F.col("asked") * F.col("here") > KEY_PAIRS)
+    # There can be no more of these than all pairs hold KEY_PAIRS.
+    parts = F.ceil(F.col("asked") * F.col("here") / KEY_PAIRS)
+    crowded = F.broadcast(load.select(*keys, F.least("asked", parts).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    look = look.join(crowded, keys, "left")
+    look = look.withColumn("part", F.pmod(F.xxhash64("qid"), parts).cast("int")).drop("parts")
+    spread = spread.join(crowded, keys, "left")
+    spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return look, spread.hint("merge")
+
+
 def overlaps_grid(
     q: DataFrame, t: DataFrame, k: int, n: int, *, dims: int | None = None
 ) -> DataFrame:

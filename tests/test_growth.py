@@ -91,3 +91,24 @@ def test_leaves_of_a_radius_join_grow_with_the_density(spark, dims):
     for method in ("bf", "ps"):
         got = nf.radius_join(frame(spark, range(60), q), frame(spark, range(3000), t), 0.3, method=method)
         assert got.count() == (np.sqrt(apart) <= 0.3).sum()
+
+
+def test_crowded_keys_of_range_cells_are_dealt_over_parts(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    q, t = frame(spark, range(200), uniform(rng, 200, 2)), frame(spark, range(400), uniform(rng, 400, 2))
+    cells = nf.occupied_cells(nf.cell_histogram(nf.assign_grid(t, 20)), n=20)
+    asked = q.selectExpr("*", "cast(0.1 as double) as r")
+    plain = rows(nf.range_cells(asked, cells, n=20))
+    monkeypatch.setattr(overlaps, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(overlaps, "KEY_PAIRS", 50)
+    look = overlaps._parted
+    parts = []
+
+    def noted(*args):
+        left, right = look(*args)
+        parts.append(left.agg({"part": "max"}).first()[0])
+        return left, right
+
+    monkeypatch.setattr(overlaps, "_parted", noted)
+    assert rows(nf.range_cells(asked, cells, n=20)) == plain
+    assert parts[0] > 0
