@@ -191,3 +191,56 @@ def test_thresholds_equal_those_of_all_cuts():
             return 2 * (hit & (y == 1)).sum() / max(1, hit.sum() + y.sum())
 
         assert f1(cut) >= max(f1(t) for t in z) - 1e-12
+
+
+def test_documents_beyond_any_sample_are_learnt_from(spark):
+    ids = spark.range(12_000).selectExpr("id", "shiftrightunsigned(xxhash64(id), 32) as h").filter("crc32(cast(cast(id as string) as binary)) % 5 != 0")
+    order = [r["id"] for r in ids.orderBy("h").collect()]
+    rnd = random.Random(5)
+    common = ["house", "tree", "water", "road", "stone", "bread", "river", "light"]
+    toxic = {d: int(i % 5 > 0) for i, d in enumerate(order)}
+    last = set([d for d in order if toxic[d]][-150:])
+    rows = []
+    for d in order:
+        own = ["zorn", "zorn"] if d in last else ["moron"] if toxic[d] else []
+        rows.append((d, " ".join([rnd.choice(common) for _ in range(6)] + own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    scores = tox.scores(tox.train_toxicity(docs, labels), pa.array(["house tree zorn zorn", "house moron tree", "house tree road water"]))
+    assert scores[0] > 0.5 and scores[1] > 0.5 > scores[2]
+
+
+def test_many_documents_are_learnt_from_in_parts(spark, trained, monkeypatch):
+    rows, docs, labels, _ = trained
+    monkeypatch.setattr(tox, "PART_DOCS", 150)
+    twice = docs.unionByName(docs.filter("doc_id % 3 = 0"))
+    models = [tox.train_toxicity(d, labels) for d in (docs.repartition(3), twice)]
+    truth = {d: y for d, _, _, y in rows}
+    held = [r for r in tox.score_toxicity(docs, models[0]).collect() if r.held_out]
+    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.97 * len(held)
+    texts = pa.array([t for _, t, _, _ in rows[:50]])
+    assert np.array_equal(*(tox.scores(m, texts) for m in models))
+
+
+def test_all_documents_are_in_the_parts(spark, trained, monkeypatch):
+    rows, docs, labels, _ = trained
+    monkeypatch.setattr(tox, "PART_DOCS", 150)
+    seen = []
+    monkeypatch.setattr(tox, "_fit_parts", lambda steps, rows, facts: seen.append((rows.collect(), facts)) or tox._untrained())
+    monkeypatch.setattr(tox.Steps, "drop", lambda self: None)
+    tox.train_toxicity(docs, labels)
+    ((found, facts),) = seen
+    kept = [(d, t) for d, t, _, _ in rows if zlib.crc32(str(d).encode()) % 5]
+    assert len(found) == len(kept) == facts["ones"] + facts["zeros"] and len({r.part for r in found}) > 1
+    sizes = sum(np.diff(x.first).sum() for x in tox.encoded(pa.array([t for _, t in kept])))
+    assert facts["words"] == sizes
+
+
+def test_long_texts_are_pooled_in_pieces(trained, monkeypatch):
+    model = trained[3]
+    (x,) = tox.encoded(pa.array(["moron the " * 9, "", "a", "le les et maison tree water of scum " * 5, "house"]))
+    whole = tox._pooled(model, x, keep=True)
+    for size in (1, 2, 7):
+        monkeypatch.setattr(tox, "POOLED_WORDS", size)
+        for a, b in zip(whole, tox._pooled(model, x, keep=True), strict=True):
+            assert np.allclose(a, b, atol=1e-5)
