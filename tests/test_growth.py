@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 
@@ -112,3 +114,12 @@ def test_crowded_keys_of_range_cells_are_dealt_over_parts(spark, monkeypatch):
     monkeypatch.setattr(overlaps, "_parted", noted)
     assert rows(nf.range_cells(asked, cells, n=20)) == plain
     assert parts[0] > 0
+
+
+def test_a_partition_has_many_tiles_however_many_queries(spark):
+    for rows in (10**6, 10**8):
+        queries = SimpleNamespace(rows=rows, nodes=spark.range(1))
+        assert meet.PARTITION_ROWS >= meet.TILES_PER_PARTITION * meet.tile_rows(queries)
+    tiles = spark.range(1000).withColumnRenamed("id", "tile")
+    queries = SimpleNamespace(rows=10**6, nodes=tiles)
+    assert meet.by_tile(tiles, queries).rdd.getNumPartitions() == 10**6 // meet.PARTITION_ROWS
