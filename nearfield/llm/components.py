@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large and small stars.
 
-Every round is an aggregate and a join; a node's neighbours are never gathered, and each round's
-edges are written to the staging folder, so lineage stays short and lost executors re-read them.
+Every star is an aggregate and a join; a node's neighbours are never gathered, and each star's
+edges are written to the staging folder, so plans stay short and lost executors re-read them. (A star reads
+its edges several times; on top of another star that is not written yet its plan would hold that one as often.)
 """
 
 from __future__ import annotations
@@ -31,10 +32,12 @@ def components(edges: DataFrame, stage: Stage, name: str = "components") -> Data
     """
     edges = edges.select("u", "v").filter("u <> v")
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges = stage.save(edges, f"{name}-edges")
     before = None
     sums = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
     for i in range(1_000_000):
-        edges, facts = stage.save_with(_star(_star(edges, True), False), f"{name}-{i}", *sums)
+        large = stage.save(_star(edges, True), f"{name}-{i}-large")
+        edges, facts = stage.save_with(_star(large, False), f"{name}-{i}", *sums)
         now = (facts["n"], facts["s"])
         if now == before or not facts["n"]:
             break

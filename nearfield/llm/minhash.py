@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -233,22 +234,47 @@ def samples(hashes: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.nda
     and its quantised weight.
     """
     begin, sizes = first[:-1], np.diff(first)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     log_w = np.log(weight)
+    # Most shingles occur once and are not among the frequent: what they cost goes by the triple alone.
+    kinds, seen = np.unique(log_w, return_counts=True)
+    usual = kinds[seen.argmax()]
+    usual_cost = _usual_cost(float(usual))
+    other = np.flatnonzero(log_w != usual)
+    other_w = log_w[other]
+    key = np.empty(len(hashes), dtype=_U)
+    cost = np.empty(len(hashes), dtype=np.float32)
+    shift = _U(64 - TRIPLES.bit_length() + 1)
     out = np.empty((len(sizes), len(_SALTS)), dtype=np.uint32)
     for k, salt in enumerate(_SALTS):
-        at = (hashes * salt) >> _U(64 - TRIPLES.bit_length() + 1)
-        r, beta = _R[at], _BETA[at]
-        level = np.floor(log_w / r + beta)
-        cost = _LOG_C[at] - r * (level - beta + 1)
+        np.multiply(hashes, salt, out=key)
+        np.right_shift(key, shift, out=key)
+        at = key.view(np.int64)
+        np.take(usual_cost, at, out=cost, mode="clip")
+        if len(other):
+            cost[other] = _levels(other_w, at[other])[1]
         least = np.minimum.reduceat(cost, begin)
         hit = np.flatnonzero(cost == np.repeat(least, sizes))
-        text = np.searchsorted(first, hit, side="right") - 1
-        value = mix(hashes[hit] + level[hit].astype(np.int64).astype(_U) * salt)
-        starts = np.flatnonzero(np.diff(text, prepend=-1))
+        level = _levels(log_w[hit], at[hit])[0]
+        value = mix(hashes[hit] + level.astype(np.int64).astype(_U) * salt)
+        starts = np.flatnonzero(np.diff(owner[hit], prepend=-1))
         out[:, k] = (np.minimum.reduceat(value, starts) >> _U(32)).astype(np.uint32)
     return out
 
 
+def _levels(log_w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised log weights and costs of shingles by the triples they have."""
+    r, beta = _R[at], _BETA[at]
+    level = np.floor(log_w / r + beta)
+    return level, _LOG_C[at] - r * (level - beta + 1)
+
+
+@lru_cache(maxsize=4)
+def _usual_cost(log_w: float) -> np.ndarray:
+    """The cost of a shingle of one weight with each of the triples."""
+    return _levels(np.full(TRIPLES, log_w, dtype=np.float32), np.arange(TRIPLES))[1]
+
+
 def band_keys(sample: np.ndarray) -> np.ndarray:
     """A 64-bit key (texts, BANDS) of each band's samples."""
     n = len(sample)
@@ -469,7 +495,7 @@ def _rest(
         F.ceil(F.sum("n") / BUCKET_ROWS).cast("int").alias("parts"),
     )
     rows = stage.save(rows.join(mains.filter("kinds > 1"), "bucket"), "mixed")
-    facts = _shared_weights(vectors, rows.select("doc").distinct())
+    facts = stage.save(_shared_weights(vectors, rows.select("doc").distinct()), "shared")
     facts = samples_of.join(facts, "doc")
     loose = F.col("root") != F.col("main")
     mine = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
@@ -513,7 +539,7 @@ def near_duplicates(
     buckets = stands.mapInArrow(_bands, "bucket long, doc long")
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     crowded = stage.save(buckets.join(sizes, "bucket"), "buckets")
-    company = crowded.groupBy("doc").agg(F.sum("n").alias("company"))
+    company = stage.save(crowded.groupBy("doc").agg(F.sum("n").alias("company")), "company")
     hubs = crowded.join(company, "doc").groupBy("bucket").agg(
         F.max_by("doc", F.struct("company", "doc")).alias("hub")
     )
@@ -530,9 +556,9 @@ def near_duplicates(
         "bags",
     )
     vectors = stage.save(_with_weights(bags, others, most), "vectors")
-    links = stage.save(_links(stars, vectors, threshold), "links")
-    roots = components(links, stage, "star")
-    rest = _rest(crowded.select("bucket", "doc"), roots, stands, vectors, threshold, stage)
+    links = stage.save(_links(stage.save(stars, "stars"), vectors, threshold), "links")
+    roots = stage.save(components(links, stage, "star"), "roots")
+    rest = stage.save(_rest(crowded.select("bucket", "doc"), roots, stands, vectors, threshold, stage), "pairs")
     links = links.unionByName(stage.save(_links(rest, vectors, threshold), "more"))
 
     ids = texts.select("text_id", "doc")

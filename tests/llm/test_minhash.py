@@ -169,3 +169,38 @@ def test_components(spark):
     assert {r.node: r.root for r in got} == {x: find(x) for x in list(root)}
     assert len(got) == len(root)
     assert graph.components(table.filter(F.lit(False)), Stage(spark)).count() == 0
+
+
+def test_samples_cost_shingles_of_the_usual_weight_by_a_table(monkeypatch):
+    rnd = np.random.default_rng(8)
+    hashes = rnd.integers(0, 2**64, 6000, dtype=np.uint64)
+    first = np.array([0, 1, 500, 2500, 6000])
+    weight = np.full(6000, 1.9, dtype=np.float32)
+    weight[::50] = rnd.uniform(1, 4, 120)
+    want = np.empty((4, len(minhash._SALTS)), dtype=np.uint32)
+    for k, salt in enumerate(minhash._SALTS):
+        at = (hashes * salt) >> np.uint64(48)
+        r, beta = minhash._R[at], minhash._BETA[at]
+        level = np.floor(np.log(weight) / r + beta)
+        cost = minhash._LOG_C[at] - r * (level - beta + 1)
+        value = minhash.mix(hashes + level.astype(np.int64).astype(np.uint64) * salt) >> np.uint64(32)
+        parts = [slice(a, b) for a, b in zip(first[:-1], first[1:], strict=True)]
+        want[:, k] = [value[p][cost[p] == cost[p].min()].min() for p in parts]
+    worked_out, levels = [], minhash._levels
+    monkeypatch.setattr(minhash, "_levels", lambda w, at: worked_out.append(len(w)) or levels(w, at))
+    assert (minhash.samples(hashes, weight, first) == want).all()
+    assert sum(worked_out) <= minhash.TRIPLES + 200 * len(minhash._SALTS)
+
+
+def test_no_plan_reads_many_tables(spark, monkeypatch):
+    """A plan's exchanges are prepared by as many threads of the driver."""
+    sizes, save = {}, Steps.save_with
+
+    def counted(self, df, name, *facts):
+        sizes[name] = df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+        return save(self, df, name, *facts)
+
+    monkeypatch.setattr(Steps, "save_with", counted)
+    rows = corpus()
+    assert run(spark, rows) == brute(rows)
+    assert max(sizes.values()) <= 12, sizes
