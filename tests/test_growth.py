@@ -123,3 +123,10 @@ def test_a_partition_has_many_tiles_however_many_queries(spark):
     tiles = spark.range(1000).withColumnRenamed("id", "tile")
     queries = SimpleNamespace(rows=10**6, nodes=tiles)
     assert meet.by_tile(tiles, queries).rdd.getNumPartitions() == 10**6 // meet.PARTITION_ROWS
+
+
+def test_tasks_hold_few_queries_from_small_tables_on(spark):
+    tiles = spark.range(1000).withColumnRenamed("id", "tile")
+    for rows in (30_000, 90_000, 10**6):
+        parts = meet.by_tile(tiles, SimpleNamespace(rows=rows, nodes=tiles)).rdd.getNumPartitions()
+        assert rows / parts <= 7_500
