@@ -14,7 +14,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.functions.geometry import axes_of
+from nearfield.functions.geometry import axes_of, distance, point
 from nearfield.functions.grid import check_n
 from nearfield.operators.cells import assign_tree
 from nearfield.operators.neighbors import check_k, empty_neighbors, topk
@@ -32,6 +32,11 @@ LEAF_FILL = 0.3
 QUERY_CAPACITY = 128
 # Up to so many queries walk the cells one by one, which takes fewer jobs than cells of their own.
 SMALL_QUERIES = 2_000
+# Training points that all places of a repeated query id meet: no more than any leaf may hold.
+FEW_POINTS = 64
+# Places of a repeated query id, and the share of all, from which on they are not brought together.
+MANY_PLACES = 100_000
+PLACES_SHARE = 1_000
 # Parts of a repeated id that its places share.
 SHARES = 1 << 20
 METHODS = ("bf", "ps")
@@ -112,6 +117,8 @@ def aknn_join(
         return empty_neighbors(q.sparkSession)
 
     stage = Stage(q.sparkSession)
+    if repeated_queries and index is None and t_extent.rows <= FEW_POINTS:
+        return _lists_of_places(stage, q, t, k, dims, q_extent.rows, exclude_self, count)
     if repeated_queries:
         # Each place is a query of its own; an id's lists are then merged.
         places = q.distinct().withColumn("place", F.monotonically_increasing_id())
@@ -221,6 +228,47 @@ def aknn_join(
     return topk(met, k, distinct=not unique, within="tile")
 
 
+def _lists_of_places(
+    stage: Stage,
+    q: DataFrame,
+    t: DataFrame,
+    k: int,
+    dims: int,
+    rows: int,
+    exclude_self: bool,
+    count: PairCount | None,
+) -> DataFrame:
+    """One list for every id of ``q``, each of whose places meets all of the few points of ``t``.
+
+    The places of an id are brought together, so nothing but ``q`` is shuffled, once. Ids at very many
+    places stay where they are, and what each task found for them is merged.
+    """
+    limit = max(MANY_PLACES, rows // PLACES_SHARE)
+    often = q.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit)
+    often, facts = stage.save_with(often.select("id"), "often", F.count(F.lit(1)).alias("ids"))
+    few = q
+    if facts["ids"]:
+        few = q.join(F.broadcast(often), "id", "left_anti")
+    sides = [few.repartition("id")]
+    if facts["ids"]:
+        sides.append(q.join(F.broadcast(often), "id", "left_semi"))
+    axes = axes_of(dims)
+    points = F.broadcast(t.select(F.col("id").alias("tid"), *[F.col(a).alias(f"t{a}") for a in axes]))
+    dist = distance(point("q", dims), point("t", dims))
+    lists = []
+    for i, side in enumerate(sides):
+        met = side.withColumnsRenamed({"id": "qid", **{a: f"q{a}" for a in axes}}).crossJoin(points)
+        if count is not None:
+            count.swept = len(sides) > 1
+            met = met.observe(count.home if i else count.rest, F.count(F.lit(1)).alias("pairs"))
+        if "ub" in q.columns:
+            met = met.filter(dist <= F.col("ub"))
+        if exclude_self:
+            met = met.filter(F.col("qid") != F.col("tid"))
+        lists.append(topk(met.select("qid", "tid", dist.alias("dist")), k, distinct=True))
+    return lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
+
+
 def check_same_axes(q: DataFrame, t: DataFrame | PointIndex) -> None:
     if ("z" in q.columns) != ("z" in t.columns):
         raise ValueError("one side has a z column and the other has not")

@@ -9,9 +9,10 @@ import pytest
 
 import nearfield as nf
 from nearfield.operators import leaves as leaves_module
-from nearfield.plans import meet, overlaps, within
+from nearfield.plans import aknn, meet, overlaps, within
 from nearfield.plans.meet import PairCount
 from nearfield.plans.pyramid import Extent
+from nearfield.plans.staging import Stage
 from tests.points import brute_force, frame, rows, uniform
 
 
@@ -130,3 +131,32 @@ def test_tasks_hold_few_queries_from_small_tables_on(spark):
     for rows in (30_000, 90_000, 10**6):
         parts = meet.by_tile(tiles, SimpleNamespace(rows=rows, nodes=tiles)).rdd.getNumPartitions()
         assert rows / parts <= 7_500
+
+
+@pytest.mark.parametrize("crowd", [10**6, 20])
+@pytest.mark.parametrize("dims", [2, 3])
+def test_places_of_an_id_meet_few_points_at_once(spark, monkeypatch, dims, crowd):
+    monkeypatch.setattr(aknn, "MANY_PLACES", crowd, raising=False)
+    saved, save = [], Stage.save_with
+    monkeypatch.setattr(Stage, "save_with", lambda s, df, name, *f: saved.append(name) or save(s, df, name, *f))
+    rng = np.random.default_rng(9)
+    ids = np.concatenate([np.repeat(np.arange(30), 6), np.zeros(40, dtype=int)])
+    q, t = uniform(rng, len(ids), dims), uniform(rng, 25, dims)
+    at = np.arange(25) % 20  # some training ids at two places
+    count = PairCount()
+    joined = nf.aknn_join(frame(spark, ids, q), frame(spark, at, t), 5, exclude_self=True, count=count)
+    want = []
+    for i in range(30):
+        dist = {}
+        for a in q[ids == i]:
+            for tid, b in zip(at.tolist(), t, strict=True):
+                total = 0.0
+                for x, y in zip(a, b, strict=True):
+                    total += (x - y) * (x - y)
+                if tid != i:
+                    dist[tid] = min(dist.get(tid, np.inf), float(np.sqrt(total)))
+        best = sorted((d, tid) for tid, d in dist.items())[:5]
+        want += [(i, r, tid, d) for r, (d, tid) in enumerate(best, 1)]
+    assert rows(joined) == set(want)
+    assert count.pairs == len(ids) * 25
+    assert "query-places" not in saved
