@@ -75,7 +75,7 @@ def local_knn(
         stage, queries, q, training, k, own_cell_only=True, repeated=not unique
     )
     found = tile_candidates(stage, pairs, queries, k)
-    visits = query_visits(q, found, queries, k)
+    visits = query_visits(stage, q, found, queries, k)
     met = meet_points(
         stage, visits, t, found, queries, training, k, method, exclude_self=False, unique=unique
     )

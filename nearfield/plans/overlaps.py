@@ -254,7 +254,7 @@ def _overlaps(
     )
     pairs = candidate_leaves(stage, queries, q_in, training, k)
     found = tile_candidates(stage, pairs, queries, k)
-    visits = query_visits(q_in, found, queries, k)
+    visits = query_visits(stage, q_in, found, queries, k)
     index = [F.col(f"t_c{a}") for a in axes]
     if leaves is None:
         cell = index[0]

@@ -160,3 +160,34 @@ def test_places_of_an_id_meet_few_points_at_once(spark, monkeypatch, dims, crowd
     assert rows(joined) == set(want)
     assert count.pairs == len(ids) * 25
     assert "query-places" not in saved
+
+
+def test_tiles_get_the_points_of_visited_leaves_by_one_shuffle(spark, monkeypatch):
+    seen = {}
+
+    def noted(module, name):
+        made = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, **named: seen.setdefault(name, made(*a, **named)))
+
+    noted(aknn, "query_visits")
+    noted(meet, "_members")
+    monkeypatch.setattr(meet, "TILE_ROWS", 20)
+    rng = np.random.default_rng(12)
+    q, t = uniform(rng, 300, 3), uniform(rng, 3000, 3)
+    joined = nf.aknn_join(frame(spark, range(300), q), frame(spark, range(3000), t), 4, method="ps")
+    assert rows(joined) == brute_force(range(300), q, range(3000), t, 4)
+    leaf = ["tile", "t_lvl", "t_cx", "t_cy", "t_cz"]
+    copies, visited = (rows(seen[name].select(*leaf).distinct()) for name in ("_members", "query_visits"))
+    assert copies == visited
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        plan = joined.filter("rank > 0")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+    reused = [line for line in plan.splitlines() if "ReusedExchange" in line]
+    assert sum("tid#" in line for line in reused) == 1
+    assert sum("t_rows#" in line for line in reused) == 2
