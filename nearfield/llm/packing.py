@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.llm.steps import kept
 from nearfield.plans.staging import Stage
 
 CAPACITY = 4096
@@ -123,14 +124,9 @@ class WordTokenizer:
         return b"".join(map(self.chunks.__getitem__, chunks))
 
 
-_loaded: dict[str, WordTokenizer] = {}
-
-
 def tokenizer_at(path: str) -> WordTokenizer:
-    """One per Python worker, so that its cache outlives a task."""
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
+    """One per Python worker, so that its cache outlives a task; toxicity's tasks, which need the room, let it go."""
+    return kept(path, lambda: WordTokenizer(path))
 
 
 def _cut(path: str, id_column: str, text_column: str, end_id: int, capacity: int):

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.steps import Steps
+from nearfield.llm.steps import Steps, let_go
 from nearfield.llm.words import FOLDED_CODES, slices
 from nearfield.plans.staging import BROADCAST_ROWS
 
@@ -408,6 +408,7 @@ ENCODED = "codes binary, language int, size long"
 
 def _encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows with their text replaced by word and stem numbers side by side, compressed."""
+    let_go()
     for batch in batches:
         text, row = batch.schema.get_field_index("text"), 0
         others = [i for i in range(batch.num_columns) if i != text]
@@ -421,6 +422,7 @@ def _encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=[batch.schema.field(i).name for i in others] + ["codes", "language", "size"],
             )
             row += n
+    let_go()
 
 
 def _decoded(batch: pa.RecordBatch) -> Encoded:
@@ -553,6 +555,7 @@ def _fit_whole(rows: DataFrame, max_words: int | None) -> Model:
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The model of all rows, which are of bounded size, in their order."""
+    let_go()
     parts, labels = [], []
     for batch in batches:
         parts.append(_decoded(batch))
@@ -567,6 +570,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Encoded, np.ndarray, bool]]:
     """Rows that follow each other in one part, about ``LOT_WORDS`` words at most at once:
     (part, texts, labels, whether the part ends)."""
+    let_go()
     held: list[pa.RecordBatch] = []
 
     def lot(ends):
@@ -589,6 +593,8 @@ def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Encoded, np.
             words += int(size[a:b].sum())
     if held:
         yield lot(True)
+        held = []
+    let_go()
 
 
 def _blocks(part: int, values: np.ndarray) -> pa.RecordBatch:
@@ -639,12 +645,12 @@ def _fit_parts(steps: Steps, rows: DataFrame, seen: dict) -> Model:
         def change(batches, shared=shared, number=number):
             learner = None
             for part, x, y, ends in _lots(batches):
-                weights = _flat_weights(shared.value)
-                learner = learner or _Learner(_with_weights(shared.value, weights), [2, number, part])
+                if learner is None:
+                    learner = _Learner(_with_weights(shared.value, _flat_weights(shared.value)), [2, number, part])
                 learner.learn(x, y, np.arange(len(y)), BATCH_WORDS)
                 if ends:
-                    yield _blocks(part, _flat_weights(learner.model) - weights)
-                    learner = None
+                    moved, learner = learner.model, None
+                    yield _blocks(part, _flat_weights(moved) - _flat_weights(shared.value))
 
         weights = weights + _merged(steps, f"changes-{number}", fit.mapInArrow(change, blocks), "<f4", mean=True)
         shared.destroy()
@@ -678,12 +684,14 @@ def score_toxicity(
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
+        let_go()
         for batch in batches:
             score = scores(shared.value, batch.column(text_column))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(id_column), pa.array(score), pa.array(score >= 0.5).cast(pa.int32())],
                 names=[id_column, "score", "predicted"],
             )
+        let_go()
 
     out = docs.mapInArrow(run, f"`{id_column}` {kind}, score double, predicted int")
     held_out = F.coalesce(id_share(id_column) == 0, F.lit(False))
@@ -695,7 +703,9 @@ def drop_toxic(docs: DataFrame, model: Model, text_column: str = "text") -> Data
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        let_go()
         for batch in batches:
             yield batch.filter(pa.array(scores(shared.value, batch.column(text_column)) < 0.5))
+        let_go()
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import weakref
 import zlib
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from nearfield.llm import registry, toxicity
+from nearfield.llm import packing, registry, toxicity
 from nearfield.llm.secrets import find_secrets, mask_spans
 from tests.llm.test_minhash import brute as near_classes
 from tests.llm.test_substring_dedup import SEPARATORS
@@ -108,3 +109,15 @@ def test_empty_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, function in corpus_pipeline.STAGES:
         assert function(spark, docs, folder).count() == 0
+
+
+def test_toxicity_lets_go_of_the_words_that_packing_keeps():
+    path = registry.word_tokenizer()
+    tokenizer = packing.tokenizer_at(path)
+    assert packing.tokenizer_at(path) is tokenizer
+    tokenizer.encode("some words")
+    alive = weakref.ref(tokenizer)
+    del tokenizer
+    batch = pa.RecordBatch.from_pydict({"text": ["some words"]})
+    assert sum(b.num_rows for b in toxicity._encode_rows(iter([batch]))) == 1
+    assert alive() is None
