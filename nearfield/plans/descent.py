@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.geometry import axes_of, box_gap, box_span, longest_side
 from nearfield.plans.pyramid import POINT, ROOT, Pyramid, box_names, high, holds, key_names, low
-from nearfield.plans.staging import Stage
+from nearfield.plans.staging import Stage, merged_if_big
 
 # Candidate leaves, by dims, above which a query node is split if that can help; a query leaf
 # bears eight times as many.
@@ -89,13 +89,15 @@ def _children(nodes: DataFrame, prefix: str, dims: int, *extra: str) -> DataFram
     )
 
 
-def _replace(pairs: DataFrame, children: DataFrame, prefix: str, dims: int) -> DataFrame:
-    """Swap the ``prefix`` side of each pair for that node's children."""
+def _replace(
+    pairs: DataFrame, children: DataFrame, prefix: str, dims: int, *rows: int
+) -> DataFrame:
+    """Swap the ``prefix`` side of each pair for that node's children; ``rows`` are about those of the two tables."""
     keys = key_names(dims)
     gone = [c for c in children.columns if c.startswith(prefix)]
     kept = [c for c in pairs.columns if c not in gone]
     named = pairs.select(*kept, *[F.col(f"{prefix}{c}").alias(f"s_{c}") for c in keys])
-    joined = named.join(children, [f"s_{c}" for c in keys])
+    joined = named.join(merged_if_big(children, *rows), [f"s_{c}" for c in keys])
     return joined.select(*pairs.columns)
 
 
@@ -149,16 +151,20 @@ def candidate_leaves(
         live = frontier.filter("active")
         pairs = live.filter(~F.col("t_split"))
         if facts["t_split"]:
-            pairs = pairs.unionByName(_replace(live.filter("t_split"), t_moves, "t_", dims))
+            size = facts["t_split"], training.leaf_count
+            moved = _replace(live.filter("t_split"), t_moves, "t_", dims, *size)
+            pairs = pairs.unionByName(moved)
         branches = [pairs.filter(~F.col("q_split"))]
         if facts["q_nodes"]:
             split = pairs.filter(F.col("q_split") & ~F.col("q_leaf"))
-            branches.append(_replace(split, q_moves, "q_", dims))
+            size = facts["q_nodes"], queries.leaf_count
+            branches.append(_replace(split, q_moves, "q_", dims, *size))
         if facts["q_points"]:
             if point_moves is None:
                 point_moves = _point_children(queries, query_points)
             split = pairs.filter(F.col("q_split") & F.col("q_leaf"))
-            branches.append(_replace(split, point_moves, "q_", dims))
+            size = facts["q_points"], queries.rows
+            branches.append(_replace(split, point_moves, "q_", dims, *size))
         pairs = branches[0]
         for branch in branches[1:]:
             pairs = pairs.unionByName(branch)

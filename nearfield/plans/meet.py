@@ -32,6 +32,7 @@ from nearfield.plans.staging import (
     level_mask,
     lookup,
     masked_levels,
+    merged_if_big,
 )
 
 # Tiles per shuffle partition that a query table is cut into, however small.
@@ -82,7 +83,7 @@ def tile_candidates(
     marks = ["t_ids"] if "t_ids" in pairs.columns else []
     tiled = (
         pairs.drop("q_rows")
-        .join(nodes, q_keys)
+        .join(merged_if_big(nodes, facts["nodes"]), q_keys)
         .withColumn("salt", salts)
         .withColumn("tile", _tile())
         .select(
@@ -404,13 +405,13 @@ def _members(
     plain = needs
     if crowded:
         special = leaves.filter("crowded").select(*keys, "rows", "pile", "parts")
-        plain = needs.join(special, keys, "left_anti")
+        plain = needs.join(merged_if_big(special, crowded), keys, "left_anti")
     ordinary = spread
     if crowded:
         # Rows of a heavy pile must not travel to a join that drops them.
         heavy = special.filter(F.col("rows") >= training.rows / HEAVY_KEYS).select(*keys)
         ordinary = spread.join(F.broadcast(heavy), keys, "left_anti")
-    members = ordinary.join(plain, keys).select("tile", *keys, "id", *axes, *strip)
+    members = ordinary.join(merged_if_big(plain, training.rows), keys).select("tile", *keys, "id", *axes, *strip)
     if crowded:
         split = lookup(spread, special, keys, "rows", training.rows, crowded)
         if k:
@@ -421,13 +422,14 @@ def _members(
             thin = thin.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= k)
             split = split.filter("not pile").unionByName(thin.drop("nth"))
         split = split.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        apart = needs.join(special.select(*keys, "parts"), keys).select(
+        apart = needs.join(merged_if_big(special.select(*keys, "parts"), crowded), keys).select(
             "tile",
             *keys,
             *strip,
             F.pmod(F.xxhash64("tile"), F.col("parts")).cast("int").alias("part"),
         )
-        split = split.select(*keys, "id", *axes, "part").join(apart, [*keys, "part"])
+        split = split.select(*keys, "id", *axes, "part")
+        split = split.join(merged_if_big(apart, training.rows), [*keys, "part"])
         members = members.unionByName(split.select("tile", *keys, "id", *axes, *strip))
     if strip_rows:
         members = members.withColumn("strip", _strip(F.col("x"), "", strip_rows))

@@ -9,7 +9,7 @@ import pytest
 
 import nearfield as nf
 from nearfield.operators import leaves as leaves_module
-from nearfield.plans import aknn, meet, overlaps, within
+from nearfield.plans import aknn, meet, overlaps, staging, within
 from nearfield.plans.meet import PairCount
 from nearfield.plans.pyramid import Extent
 from nearfield.plans.staging import Stage
@@ -191,3 +191,18 @@ def test_tiles_get_the_points_of_visited_leaves_by_one_shuffle(spark, monkeypatc
     reused = [line for line in plan.splitlines() if "ReusedExchange" in line]
     assert sum("tid#" in line for line in reused) == 1
     assert sum("t_rows#" in line for line in reused) == 2
+
+
+def test_large_sides_are_not_broadcast_for_the_size_of_their_files(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(13)
+    q, t = uniform(rng, 400, 2), uniform(rng, 3000, 2)
+    for name, points in (("q", q), ("t", t)):
+        frame(spark, range(len(points)), points).write.parquet(str(tmp_path / name))
+    made, members = [], meet._members
+    monkeypatch.setattr(meet, "_members", lambda *a: made.append(members(*a)) or made[-1])
+    monkeypatch.setattr(staging, "BROADCAST_ROWS", 0)
+    sides = [spark.read.parquet(str(tmp_path / name)) for name in ("q", "t")]
+    joined = nf.aknn_join(*sides, 4)
+    assert rows(joined) == brute_force(range(400), q, range(3000), t, 4)
+    plan = made[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
