@@ -206,3 +206,27 @@ def test_large_sides_are_not_broadcast_for_the_size_of_their_files(spark, monkey
     assert rows(joined) == brute_force(range(400), q, range(3000), t, 4)
     plan = made[0]._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("dims, own", [(2, False), (2, True), (3, False)])
+def test_points_of_a_radius_join_go_to_few_tiles(spark, monkeypatch, dims, own):
+    made, members = [], meet._members
+    monkeypatch.setattr(meet, "_members", lambda *a: made.append(members(*a)) or made[-1])
+    monkeypatch.setattr(meet, "TILE_ROWS", 1)
+    monkeypatch.setattr(within, "LEAF_CAPACITY", 4)
+    monkeypatch.setattr(within, "COUNTED_ROWS", 100, raising=False)
+    rng = np.random.default_rng(14)
+    q, t = uniform(rng, 4000, dims), uniform(rng, 2000, dims)
+    far = 0.002 + 0.04 * q[:, 0] * q[:, 0] if own else np.full(4000, 0.02 if dims == 2 else 0.06)
+    apart = np.zeros((4000, 2000))
+    for axis in range(dims):
+        d = q[:, None, axis] - t[None, :, axis]
+        apart = apart + d * d
+    asked = frame(spark, range(4000), q)
+    if own:
+        asked = asked.selectExpr("*", "cast(0.002 as double) + cast(0.04 as double) * x * x as far")
+    got = nf.radius_join(asked, frame(spark, range(2000), t), "far" if own else float(far[0]))
+    near = np.argwhere(np.sqrt(apart) <= far[:, None])
+    assert rows(got.select("qid", "tid")) == {(int(a), int(b)) for a, b in near}
+    assert got.count() == len(near)
+    assert made[0].count() <= 12 * len(t)
