@@ -230,3 +230,18 @@ def test_points_of_a_radius_join_go_to_few_tiles(spark, monkeypatch, dims, own):
     assert rows(got.select("qid", "tid")) == {(int(a), int(b)) for a, b in near}
     assert got.count() == len(near)
     assert made[0].count() <= 12 * len(t)
+
+
+def test_query_nodes_of_a_radius_join_grow_with_the_radius(spark, monkeypatch):
+    made, tiled = [], within.tile_candidates
+    monkeypatch.setattr(within, "tile_candidates", lambda *a: made.append(tiled(*a)) or made[-1])
+    monkeypatch.setattr(within, "QUERY_CAPACITY", 4)
+    rng = np.random.default_rng(15)
+    q, t = uniform(rng, 4000, 3), uniform(rng, 300, 3)
+    apart = np.zeros((4000, 300))
+    for axis in range(3):
+        d = q[:, None, axis] - t[None, :, axis]
+        apart = apart + d * d
+    got = nf.radius_join(frame(spark, range(4000), q), frame(spark, range(300), t), 0.2)
+    assert got.count() == (np.sqrt(apart) <= 0.2).sum()
+    assert made[0].node_count <= 700
