@@ -181,9 +181,27 @@ def _pooled(model: Model, x: Encoded, keep: bool = False):
                     old = where[i, columns]
                     where[i, columns] = np.where((old < 0) | (top > pooled[i, columns]), place, old)
             pooled[own, columns] = np.maximum(best, pooled[own, columns])
+    if keep:
+        # Rounding decides between equal words at several places, and differs by piece: the first of them stands for all.
+        for k, first in enumerate(_first_alike(word, stem, begin)):
+            columns = slice(k * FILTERS, (k + 1) * FILTERS)
+            where[:, columns] = np.where(where[:, columns] < 0, -1, first[where[:, columns]])
     return pooled, where, word, stem
 
 
+def _first_alike(word: np.ndarray, stem: np.ndarray, begin: np.ndarray):
+    """For every width and place the first place in the same text that has the same words there."""
+    n = len(word)
+    tokens = np.unique(word.astype(np.int64) * (BUCKETS + 1) + stem, return_inverse=True)[1]
+    alike = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    for j in range(max(WIDTHS)):
+        alike = alike * n
+        alike[: n - j] += tokens[j:]
+        _, first, alike = np.unique(alike, return_index=True, return_inverse=True)
+        if j + 1 in WIDTHS:
+            yield first[alike]
+
+
 def logits(model: Model, x: Encoded) -> np.ndarray:
     pooled = _pooled(model, x)[0]
     return (pooled @ model.out + model.out_bias).astype(np.float64)
